@@ -1,8 +1,8 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids (with an end id) are cut into whole windows and a rest. Whole windows are sequences
-of their own. Rests are dealt evenly into batches of bounded size, and each batch is split into m windows of
-near-equal sums: partial partitions wait by their imbalance, and the two of the largest are merged so that
+A document's ids (with an end id) are cut into whole windows, which are sequences of their own, and a rest, which is cut into
+pieces of at most a quarter of a window: with several pieces to a window sums come out near-equal, so that little is padded. The pieces
+are dealt evenly into batches of bounded size, and each batch is split into m windows: partial partitions wait by their imbalance, and the two of the largest are merged so that
 the largest window of one meets the smallest of the other, until one partition is left. m begins at the least
 number of windows and rises whenever a window exceeds the capacity.
 
@@ -28,7 +28,8 @@ from .common import filled, written
 from .pretokens import IdCache
 
 CAPACITY = 2048
-BATCH = 2048  # rests that are packed together
+BATCH = 1024  # pieces that are packed together
+PARTS = 4  # of a window: the largest piece of a rest
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SCHEMA = f"{PIECES}, sequence_id long, offset long"
@@ -46,7 +47,7 @@ def encoder(path: str) -> IdCache:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every document's windows and rest: PIECES, and the ids themselves if asked for."""
+    """Every document's windows and pieces of its rest: PIECES, and the ids themselves if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +57,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 rows = []
                 for doc_id, a, b in zip(doc_ids, edges[:-1].tolist(), edges[1:].tolist()):
                     own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
-                    for start in range(0, len(own), capacity):
-                        part = own[start : start + capacity]
+                    whole = len(own) - len(own) % capacity
+                    for start in (*range(0, whole, capacity), *range(whole, len(own), capacity // PARTS)):
+                        part = own[start : start + (capacity if start < whole else capacity // PARTS)]
                         rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(own), part if with_ids else None))
                 columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]]
                 names = [x.split()[0] for x in PIECES.split(", ")]
@@ -110,9 +112,10 @@ def windows(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     m = max(1, -(-sum(lengths) // capacity))
     while lengths:
         found = differencing(lengths, m)
-        if max(sum(lengths[i] for i in w) for w in found) <= capacity:
+        most = max(sum(lengths[i] for i in w) for w in found)
+        if most <= capacity:
             return found
-        m += 1
+        m += max(1, m * (most - capacity) // (3 * capacity))
     return []
 
 
