@@ -51,7 +51,7 @@ def linear(e: DataFrame, normalized: bool = False) -> DataFrame:
     if normalized:
         d = d.withColumn("n", F.count("*").over(W.partitionBy("session_id")))
     g = d.groupBy(*TOUCH).agg(F.sum(F.col("c") / F.col("n")).alias("a"), F.sum(F.col("r") / F.col("n")).alias("m"), F.count_distinct("session_id").alias("touched_sessions"))
-    return labelled(g, "a", "touched_sessions", F.round("a", 2).alias("attributed_conversions"), F.round("m", 2).alias("attributed_revenue"))
+    return labelled(g, "a", "touched_sessions", F.round("a", 6).alias("attributed_conversions"), F.round("m", 6).alias("attributed_revenue"))
 
 
 def multi_touch(e: DataFrame, goals: tuple[str, ...] = ("conversion", "purchase", "signup"), n: int = 1000) -> DataFrame:

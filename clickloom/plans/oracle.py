@@ -113,7 +113,7 @@ def linear(divisor: str) -> str:
     return f""", won AS (SELECT session_id, count(*) FILTER (type = 'conversion') AS c, CAST(coalesce(sum(revenue) FILTER (type = 'conversion'), 0) AS DOUBLE) AS r, count(*) AS n FROM e GROUP BY 1 HAVING c > 0),
 d AS (SELECT DISTINCT session_id, {DIMS}, c, r, n FROM e JOIN won USING (session_id)), d2 AS (SELECT *, {divisor} AS m FROM d),
 a AS (SELECT {DIMS}, sum(c / m) AS ac, sum(r / m) AS ar, count(DISTINCT session_id) AS touched_sessions FROM d2 GROUP BY {DIMS})
-SELECT {LABELS}, touched_sessions, round(ac, 2) AS attributed_conversions, round(ar, 2) AS attributed_revenue, {p('ac', '(SELECT sum(ac) FROM a)')} AS attribution_pct FROM a ORDER BY attributed_revenue DESC, {BY_LABEL} LIMIT 50"""
+SELECT {LABELS}, touched_sessions, round(ac, 6) AS attributed_conversions, round(ar, 6) AS attributed_revenue, {p('ac', '(SELECT sum(ac) FROM a)')} AS attribution_pct FROM a ORDER BY attributed_revenue DESC, {BY_LABEL} LIMIT 50"""
 
 
 def landing(what: str) -> str:

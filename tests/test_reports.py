@@ -1,9 +1,11 @@
 """Every registered report against its SQL, on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -21,7 +23,7 @@ def tables():
 
 
 def normal(df):
-    value = lambda v: None if v is None or v is pd.NA or v != v else round(v, 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    value = lambda v: None if v is None or v is pd.NA or v != v else bool(v) if isinstance(v, (bool, np.bool_)) else round(float(v), 6) if isinstance(v, numbers.Number) else v
     return sorted(repr(tuple(map(value, row))) for row in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
