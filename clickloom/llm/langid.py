@@ -75,21 +75,26 @@ def train(texts: list[str], labels: list[str], size: int = 16, epochs: int = 5,
     names = tuple(sorted(set(labels)))
     target = np.array([names.index(x) for x in labels], dtype=np.int64)
     rng = np.random.default_rng(seed)
-    parts = subwords([t.lower() for t in texts])
-    rows = [np.unique(np.concatenate([x[e[i] : e[i + 1]] for x, e in parts]), return_counts=True) for i in range(len(texts))]
+    ids: list[np.ndarray] = []
+    weight: list[np.ndarray] = []
+    for a in range(0, len(texts), 256):  # in steps: only the distinct buckets of each text stay in memory
+        parts = subwords([t.lower() for t in texts[a : a + 256]])
+        for i in range(min(256, len(texts) - a)):
+            found, count = np.unique(np.concatenate([x[e[i] : e[i + 1]] for x, e in parts]), return_counts=True)
+            ids.append(found)
+            weight.append((count / max(1, count.sum())).astype(np.float32))
     embed = rng.normal(0, 0.1, (BUCKETS, size)).astype(np.float32)
     linear = np.zeros((size, len(names)), dtype=np.float32)
     bias = np.zeros(len(names), dtype=np.float32)
-    usable = np.array([i for i, (u, _) in enumerate(rows) if len(u)], dtype=np.int64)
+    usable = np.array([i for i, u in enumerate(ids) if len(u)], dtype=np.int64)
     fit, held = usable[usable % 5 != 0], usable[usable % 5 == 0]
-    weight = [(c / c.sum()).astype(np.float32) for _, c in rows]
     done, total = 0, max(1, epochs * len(fit))
     for _ in range(epochs):
         for i in rng.permutation(fit):
             step = rate * (1 - done / total)
             done += 1
-            ids, w = rows[i][0], weight[i]
-            mean = w @ embed[ids]
+            own, w = ids[i], weight[i]
+            mean = w @ embed[own]
             z = mean @ linear + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -97,9 +102,9 @@ def train(texts: list[str], labels: list[str], size: int = 16, epochs: int = 5,
             back = linear @ p
             linear -= step * np.outer(mean, p)
             bias -= 0.1 * step * p
-            embed[ids] -= step * np.outer(w * gain, back)
+            embed[own] -= step * np.outer(w * gain, back)
     scores = embed @ linear
-    z = np.array([weight[i] @ scores[rows[i][0]] + bias for i in held]) if len(held) else np.zeros((0, len(names)))
+    z = np.array([weight[i] @ scores[ids[i]] + bias for i in held]) if len(held) else np.zeros((0, len(names)))
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.1, 10, 41) if len(held) else ():
         logp = z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True)
