@@ -157,7 +157,7 @@ def fingerprints(docs: DataFrame, partition_bytes: int = 16 << 20) -> DataFrame:
         .select(F.col("target").alias("slot"), "r.doc_id", "r.text", F.lit(1).alias("copy"))
     )
     every = dealt.select("slot", "doc_id", "text", F.lit(0).alias("copy")).unionByName(copies)
-    laid = every.repartition(len(slots), "slot").sortWithinPartitions("slot", "copy", F.asc_nulls_first("doc_id"), "text")
+    laid = every.repartitionById(max(slots) + 1, F.col("slot")).sortWithinPartitions("slot", "copy", F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None  # the row that waits for its follower: slot, id, text, sums
