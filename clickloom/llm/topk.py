@@ -13,7 +13,8 @@ best of any query, so a very common vector does not weigh on the search.
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 vectors of different length are not compared; empty vectors score 0 with each other. Ties go to the smaller
 vec_id. Rows that share a vec_id are candidates of their own, but a query never meets its own id; a repeated query id
-with different vectors is searched once for each. Other columns are ignored. An empty table gives an empty result.
+with different vectors is searched once for each. Scores are exact whole numbers; those beyond 64 bits are given as the largest
+(smallest) long. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 CELLS = 16
 BLOCK, QUERY_BLOCK = 16_384, 2_048  # vectors of a candidate block, and of a query block
 STEP = 256  # queries bounded at a time
+LONGEST = (1 << 63) - 1
 
 
 def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
                 best_ids = np.concatenate([best_ids, ids[read]])
                 order = np.lexsort((best_ids, -best))[:k] if whole else np.array(sorted(range(len(best)), key=lambda j: (-best[j], best_ids[j]))[:k])
                 best, best_ids = best[order], best_ids[order]
-            out += [(a + i, int(v), int(s)) for v, s in zip(best_ids, best)]
+            out += [(a + i, int(v), max(-LONGEST - 1, min(LONGEST, int(s)))) for v, s in zip(best_ids, best)]
     return out
 
 

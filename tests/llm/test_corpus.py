@@ -326,8 +326,8 @@ def brute_top(rows, k):
 
 def test_top_k(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=6).tolist()) for i in range(150)] + [(i, [0.5, 0.5, -0.5, 0, 0, 0]) for i in range(150, 260)]
-    rows += [(300, None), (320, [1.0, None]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (380, [1.0, 2.0]), (381, [3.0, 1.0]), (400, []), (401, []), (None, [0.0] * 6), (420, [1e9] * 6)]
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(150)] + [(i, [0.5, 0.5, -0.5, 0.0, 0.0, 0.0]) for i in range(150, 260)]
+    rows += [(300, None), (320, [1.0, None]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (380, [1.0, 2.0]), (381, [3.0, 1.0]), (400, []), (401, []), (None, [0.0] * 6), (420, [1e6] * 6)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     v = topk.whole_vectors(table)
     got = [tuple(r) for r in topk.top_k(v, v.filter("id % 20 = 0"), 20).collect()]
