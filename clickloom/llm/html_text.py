@@ -42,25 +42,38 @@ BESIDE = frozenset(
     "newsletter subscribe subscription paywall sidebar widget menu nav navbar navigation navigations breadcrumb breadcrumbs masthead footer comment comments disqus reply replies "
     "respond share sharing social related recommended recommendations pagination pager toolbar login signin signup search contentinfo complementary alert form skip".split()
 )
-CLOSES = {  # a start tag ends these open elements, up to the border in the second place
+_ROWS = {"tr", "td", "th", "caption", "colgroup"}
+CLOSES = {  # a start tag ends the outermost of these open elements within the border in the second place
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (_ROWS | {"thead", "tbody", "tfoot"}, {"table"})),
+    "tr": (_ROWS, {"table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "rt": ({"rt", "rp"}, {"ruby"}),
+    "rp": ({"rt", "rp"}, {"ruby"}),
 }
 _ENDS_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 
 
+_KEEPS_P = frozenset(("table", "td", "button", "object"))  # a start tag within one of these ends no p outside of it
+_IN_HEAD = frozenset("base link meta title noscript script style template head".split())  # others end an open head
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "p", "in_article", "dropped")
 
-    def __init__(self, tag: str, parent: "Node | None"):
+    def __init__(self, tag: str, parent: "Node | None", depth: int = 0, dropped: bool = False):
         self.tag, self.parent = tag, parent
+        self.dropped = dropped
+        # place on the stack of the open p that a block ends, 0 for none
+        self.p = depth if tag == "p" else 0 if parent is None or tag in _KEEPS_P else parent.p
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
         self.children: list = []  # nodes and texts in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -86,15 +99,16 @@ def is_beside(tag: str, attributes: str, in_article: bool) -> bool:
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order, without dropped elements."""
     root = Node("#root", None)
-    nodes, stack = [root], [root]
-    skip: list[str] = []  # the open tags inside a dropped element
+    nodes, stack = [root], [root]  # dropped elements are on the stack, so that ends, implied ones too, work in them as elsewhere
     at, end = 0, len(page)
-    articles = 0
     while at < end:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
-        if text and not skip:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+        if text:
+            if stack[-1].tag == "head" and not text.isspace():
+                stack.pop()
+            if not stack[-1].dropped:
+                stack[-1].children.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -108,53 +122,44 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         tag = tag.lower()
         attributes = m.group(3) if m.group(2) else m.group(6)
         if m.group(1) or m.group(4):  # an end tag
-            if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    articles -= sum(x.tag == "article" for x in stack[depth:])
                     del stack[depth:]
                     break
-                if tag in INLINE and stack[depth].tag not in INLINE:
+                if tag in INLINE and stack[depth].tag not in INLINE and not stack[depth - 1].dropped:
                     break
             continue
         closed = attributes.rstrip().endswith("/") and tag not in RAW
+        if stack[-1].tag == "head" and tag not in _IN_HEAD:
+            stack.pop()
         if tag in RAW and not closed:
             close = re.compile("</" + re.escape(tag), re.I).search(page, at)
             at = close.start() if close else end
             if close:
                 at = page.find(">", at) + 1 or end
             continue
-        if skip:
-            if tag not in VOID and not closed:
-                skip.append(tag)
-            continue
-        if tag in _ENDS_P and any(x.tag == "p" for x in stack[-8:]):
-            depth = max(i for i, x in enumerate(stack) if x.tag == "p")
-            if not any(x.tag in ("table", "td", "button", "object") for x in stack[depth:]):
-                del stack[depth:]
+        if tag in _ENDS_P and stack[-1].p:
+            del stack[stack[-1].p :]
         elif tag in CLOSES:
             ends, border = CLOSES[tag]
+            ended = 0
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in border:
                     break
                 if stack[depth].tag in ends:
-                    del stack[depth:]
-                    break
-        if tag not in VOID and is_beside(tag, attributes, articles > 0):
-            if not closed:
-                skip.append(tag)
-            stack[-1].children.append("\n")
-            continue
-        node = Node(tag, stack[-1])
-        stack[-1].children.append(node)
-        nodes.append(node)
+                    ended = depth
+            if ended:
+                del stack[ended:]
+        above = stack[-1]
+        dropped = above.dropped or (tag not in VOID and is_beside(tag, attributes, above.in_article))
+        if dropped and not above.dropped:
+            above.children.append("\n")
+        node = Node(tag, above, len(stack), dropped)
+        if not dropped:
+            above.children.append(node)
+            nodes.append(node)
         if tag not in VOID and not closed:
             stack.append(node)
-            articles += tag == "article"
     return root, nodes
 
 

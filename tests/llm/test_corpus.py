@@ -311,6 +311,26 @@ def test_page_cases(spark, page, want):
     assert [tuple(r) for r in rows] == [(1, None, want, len(want))]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<ul><li class="share">Share<li>Item</ul><p>the article', "Item the article"),
+        ('<body><ul><li>Item<li class="share">Share</ul><p>the article</body>', "Item the article"),
+        ('<article><p class="ad">buy<p>the article</article>', "the article"),
+        ('<div><p class="ad">buy <b>now<div>the article</div></div>', "the article"),
+        ('<p class="ad">' + "<b>" * 12 + "buy<p>the article", "the article"),
+        ('<article><p>one <span class="ad">buy</p><p>two</article>', "one two"),
+        ('<table><tr class="ad"><td>buy<tr><td>the article</table>', "the article"),
+        ('<table><thead class="banner"><tr><th>buy<tbody><tr><td>the article</table>', "the article"),
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>the article", "the article"),
+        ("<head><title>T</title> the article", "the article"),
+        ('<span class="ad"><div>buy</span>the article', "the article"),
+    ],
+)
+def test_page_implied_ends(page, want):
+    assert html_text.main_text(page) == want
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
