@@ -29,7 +29,8 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 _TAG = re.compile(
     r"<!--|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
 )
-_MARKS = re.compile(r"(class|id|role|aria-hidden|hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One whole attribute: its name, and its value in double, single or no quotes; a quote that stays open holds the rest.
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
@@ -85,7 +86,7 @@ def is_beside(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    for name, a, b, c in _MARKS.findall(attributes):
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True

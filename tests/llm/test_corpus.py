@@ -331,6 +331,33 @@ def test_page_implied_ends(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "attributes, beside",
+    [
+        ('href="/hidden-gems"', False),
+        ('title="The hidden cost"', False),
+        ("title='role = menu'", False),
+        ('data-hidden="false"', False),
+        ('data-class="ad"', False),
+        ('href="/q?id=search"', False),
+        ("href=/q?a=1&id=ad", False),
+        ('title="the hidden cost', False),
+        ("title= hidden", False),
+        ("hidden", True),
+        ('HIDDEN=""', True),
+        ("title=x hidden", True),
+        ('title="a>b"hidden', True),
+        ('href="/x"class="ad"', True),
+        ("class = 'big ad'", True),
+        ("id=search", True),
+        ('aria-hidden="true"', True),
+        ("style='color:red; display: none'", True),
+    ],
+)
+def test_page_marks(attributes, beside):
+    assert html_text.is_beside("p", " " + attributes, False) == beside
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
