@@ -217,6 +217,42 @@ def test_fuzzy_licenses():
     assert found[1] == 2 and licenses.scan("permission to speak, all rights of the people")[5] == ""
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("under the bsd license", ""),
+        ("under the gpl license", ""),
+        ("under the isc license", ""),
+        ("under the new license", ""),
+        ("under the site license", ""),
+        ("under the submit license", ""),
+        ("apache license version 1", ""),
+        ("creative commons attribution commercial", ""),
+        ("under the site license, undr teh mit license", "mit"),
+        ("undr the mit licence", "mit"),
+        ("under themit license", "mit"),
+        ("under the mitlicense", "mit"),
+        ("apach licence version 2.0", "apache-2"),
+        ("apache license version two", "apache-2"),
+        ("apache license version2", "apache-2"),
+        ("creative commons attribution non commercial", "cc-by-nc"),
+        ("gnv general public license", "gpl"),
+        ("gnu leser general public license", "lgpl"),
+    ],
+)
+def test_telling_words(text, labels):
+    for whole in (text, f"one two {text} three four"):
+        assert licenses.scan(whole)[5] == labels
+
+
+@pytest.mark.parametrize("gap", [" ", " or ", " version "])
+def test_notices_in_a_row(gap):
+    text = f"mozila public license{gap}mozilla public license{gap}mozilla public licence"
+    found = licenses.scan(text)
+    assert [(text[s["start"] : s["end"]], s["edits"]) for s in found[7]] == [("mozila public license", 1), ("mozilla public license", 0), ("mozilla public licence", 1)]
+    assert found[6] == 1.0
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
