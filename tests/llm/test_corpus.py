@@ -160,6 +160,37 @@ def test_jaccard_components(spark, docs, odd, none, n, p, q):
     assert not jaccard.similarity_components(none, n, p, q).collect()
 
 
+@pytest.mark.parametrize("second", ["the same", "another set"])
+def test_jaccard_repeated_ids(spark, second):
+    """Buckets {1, 2, 2, 4} and {1, 3, 3, 4} have other members, though the hashes of 2 and of 3 cancel."""
+    base = [f"w{i}" for i in range(60)]
+    text = {i: " ".join([*base, f"x{i}"]) for i in (1, 2, 3, 4)}
+    keys = {1: [11, 12], 2: [11], 3: [12], 4: [11, 12]}
+    rows = [(i, i, text[i], keys[i]) for i in (1, 2, 3, 4)] + [(i, i if second == "the same" else -i, text[i], keys[i]) for i in (2, 3)]
+    docs = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, text string")
+    sketches = spark.createDataFrame([(i, 59, sig, sig, k, -1, [], -1) for i, sig, _, k in rows], jaccard.SKETCH)
+    found = jaccard.links(docs, sketches, spark.createDataFrame([], "doc_id long"), 3, 90, 100).collect()
+    assert {x for r in found for x in (r["a"], r["b"])} == {1, 2, 3, 4}
+
+
+def test_jaccard_components_of_repeated_rows(spark):
+    rng = random.Random(8)
+    rows, i = [], 0
+    for size in (12, 40, 90):
+        for _ in range(6):
+            base = [f"w{rng.randrange(500)}" for _ in range(size)]
+            for _ in range(12):
+                for _ in range(rng.choice((1, 1, 2, 3))):
+                    text = list(base)
+                    for _ in range(rng.randint(0, max(1, size // 25))):
+                        text[rng.randrange(size)] = f"w{rng.randrange(500)}"
+                    rows += [Row(doc_id=i, text=" ".join(text))] * rng.choice((1, 2))
+                i += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in jaccard.similarity_components(table, 3, 80, 100).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 3, 80, 100)
+
+
 def test_one_of_each_group(spark, odd):
     kept = jaccard.one_of_each_group(odd, 5, 90, 100)
     ids = [r["doc_id"] for r in kept.collect()]
