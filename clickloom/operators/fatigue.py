@@ -37,8 +37,8 @@ def rolling_ctr(daily: DataFrame, as_of: dt.date = AS_OF, length: int = 7, least
     return r.select(*CREATIVE, "day", (F.lit(100.0) * F.col("c") / F.col("v")).alias("ctr"))
 
 
-def creative_fatigue(e: DataFrame, as_of: dt.date = AS_OF, least_daily: int = 10, least_rolling: int = 50, n: int = 50) -> DataFrame:
-    """Creatives whose rolling CTR falls, scored from the decline over three days, the distance to the peak and its age."""
+def creative_fatigue(e: DataFrame, as_of: dt.date = AS_OF, least_daily: int = 10, least_rolling: int = 50, n: int | None = 50) -> DataFrame:
+    """Creatives whose rolling CTR falls, scored from the decline over three days, the distance to the peak and its age; the n first, or all in no order."""
     r = rolling_ctr(daily_creatives(e, as_of, least=least_daily), as_of, least=least_rolling)
     # one pass per creative: peak (earliest day that reaches it), yesterday's value and the value three days before
     yesterday, before = as_of - dt.timedelta(days=1), as_of - dt.timedelta(days=4)
@@ -58,6 +58,8 @@ def creative_fatigue(e: DataFrame, as_of: dt.date = AS_OF, least_daily: int = 10
         "creative_id", "headline", "image_id", "network", two("now").alias("current_ctr_7d_pct"), two("prior").alias("prior_ctr_7d_pct"), two("peak").alias("peak_ctr_pct"), F.round("decline", 1).alias("decline_from_3d_ago_pct"),
         F.col("age").alias("days_since_peak"), two("score").alias("fatigue_score"), F.when(F.col("decline") > 20, "YES").otherwise("NO").alias("is_fatigued"), rotation.alias("recommended_rotation_date"), action.alias("action_recommendation"),
     )
+    if n is None:
+        return out
     return top(out, n, F.desc("fatigue_score"), F.desc("decline_from_3d_ago_pct"), *[F.asc(c) for c in ("creative_id", "headline", "image_id", "network")])
 
 

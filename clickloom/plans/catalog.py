@@ -39,7 +39,7 @@ def _reports() -> list[Report]:
         r("r08_cross_network_creatives", "network", en.cross_network_creatives),
         r("r09_trending_campaigns", "campaign", en.trending_campaigns, params={"least": 4}, **anchored),
         r("r10a_creative_fatigue", "creative", fa.creative_fatigue, params={"least_daily": 1, "least_rolling": 5}, **anchored),
-        r("r10b_fatigue_summary", "creative", lambda e, **k: fa.fatigue_summary(fa.creative_fatigue(e, **k)), params={"least_daily": 1, "least_rolling": 5, "n": 1_000_000}, **anchored),
+        r("r10b_fatigue_summary", "creative", lambda e, **k: fa.fatigue_summary(fa.creative_fatigue(e, **k)), params={"least_daily": 1, "least_rolling": 5, "n": None}, **anchored),
         r("r11_session_flow", "session", se.flow),
         r("r12_landing_page_performance", "session", se.landing_pages),
         r("r12b_landing_page_by_time", "session", se.landing_pages, params={"by": "time"}),

@@ -45,3 +45,8 @@ def test_unknown_report(spark):
 def test_filters_reach_the_scan(spark):
     plan = catalog.run_report(spark, SF, "r02_ctr_by_campaign")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "event_id" not in plan.split("ReadSchema")[1]
+
+
+def test_summaries_see_all_rows(spark):
+    plan = catalog.run_report(spark, SF, "r10b_fatigue_summary")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
