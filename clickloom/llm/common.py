@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,10 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C55)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+#: Words that a worker keeps the hashes of, and the longest such word.
+KEPT_WORDS, LONGEST_WORD = 100_000, 48
 
 
 _SHIPPED: set[str] = set()
@@ -43,20 +46,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder. Where the session names none, a local master (tests) gets a temporary one; on a
+    cluster, whose executors do not share the driver's folders, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="clickloom-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clickloom-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+_TABLES: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/clickloom-{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back: its lineage ends there and survives lost executors.
+
+    Operators `discard` the tables that their result does not need; the others stay until `release`, at the latest the program's end.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_dir(spark)}/clickloom-{name}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(release, spark)
+    _TABLES.add(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_path", None)
+        if path in _TABLES:
+            _delete(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators have written. Call it when their results have been used."""
+    for path in list(_TABLES):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _TABLES.discard(path)
+    if spark.sparkContext._jsc is not None:  # else the application has ended, and the folder's owner clears it
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def steps(lengths: np.ndarray, most: int = STEP_BYTES):
@@ -101,42 +140,53 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z
 
 
-_POWERS = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+class _WordHashes(dict):
+    """64-bit values of words; the common ones are kept, and it starts anew when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"word").digest(), "little")
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
 
+_HASHES = _WordHashes()
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64, at least n; kept up to a few steps' length."""
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    made = []
-    for base in (BASE, BASE_INVERSE):
-        powers = np.full(n, base, dtype=U64)
-        powers[0] = 1
-        made.append(np.cumprod(powers, dtype=U64))
-    if n <= 4 * STEP_BYTES:
-        _POWERS[:] = made
-    return made[0], made[1]
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The first 64 bits of a BLAKE2b digest of each word."""
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=U64, count=len(words))
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] that depend on the content of the span alone."""
-    up, down = _powers(len(values) + 1)
-    sums = np.empty(len(values) + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
-_ASCII_SPACE = np.zeros(256, dtype=bool)
-_ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+
+def text_word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words between ASCII white space; those of a long text are made part by part."""
+    out, a = [], 0
+    while a < len(data):
+        m = _SPACE.search(data, a + STEP_BYTES)
+        b = m.start() if m else len(data)
+        out.append(word_hashes(data[a:b].split()))
+        a = b
+    return np.concatenate(out) if out else np.empty(0, dtype=U64)
 
 
-def word_spans(data: np.ndarray, separator: np.ndarray = _ASCII_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are no separators (data starts and ends with one)."""
-    edges = np.flatnonzero(np.diff(separator[data].view(np.int8))) + 1
-    return edges[0::2], edges[1::2]
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FACTORS = mix(np.arange(1, 65, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+
+
+def shingles_of(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n word hashes: their sum with an odd factor for each place, scrambled."""
+    last = len(words) - n + 1
+    if last <= 0:
+        return np.empty(0, dtype=U64)
+    full = words[:last] * _FACTORS[0]
+    for j in range(1, n):
+        full += words[j : last + j] * _FACTORS[j]
+    return mix(full)
 
 
 def shingle_hashes(texts: list[str], n: int) -> list[np.ndarray]:
@@ -145,25 +195,17 @@ def shingle_hashes(texts: list[str], n: int) -> list[np.ndarray]:
     A-Z are lower-cased; words are runs without ASCII white space. A text of fewer words has its
     whole sequence as one shingle; a text without words has none.
     """
-    data, first, end = joined(texts)
-    data = _LOWER[data]
-    starts, ends = word_spans(data)
-    words = span_hashes(data, starts, ends)
-    lo, hi = np.searchsorted(starts, first), np.searchsorted(starts, end)
-    out, empty = [], np.empty(0, dtype=U64)
-    factors = mix(np.arange(1, n + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
-    last = len(words) - n + 1
-    full = empty
-    if last > 0:
-        full = words[:last] * factors[0]
-        for j in range(1, n):
-            full += words[j : last + j] * factors[j]
-        full = mix(full)
-    for a, b in zip(lo.tolist(), hi.tolist()):
-        if b - a >= n:
-            out.append(np.unique(full[a : b - n + 1]))
-        elif b > a:
-            out.append(mix((words[a:b] * factors[: b - a]).sum(dtype=U64, keepdims=True) + U64(b - a)))
+    found = [text_word_hashes(t.encode("utf-8", "surrogatepass").translate(_LOWER)) for t in texts]
+    counts = list(map(len, found))
+    hashes = np.concatenate(found) if found else np.empty(0, dtype=U64)
+    full = shingles_of(hashes, n)
+    out, a = [], 0
+    for count in counts:
+        if count >= n:
+            out.append(np.unique(full[a : a + count - n + 1]))
+        elif count:
+            out.append(mix((hashes[a : a + count] * _FACTORS[:count]).sum(dtype=U64, keepdims=True) + U64(count)))
         else:
-            out.append(empty)
+            out.append(np.empty(0, dtype=U64))
+        a += count
     return out

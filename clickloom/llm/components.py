@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 ROWS = 500_000  # edges to a file of the tables between steps
 
@@ -34,5 +34,6 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         moved = F.array("high", "low")
         small = large.join(least, "high").select(F.col("m").alias("low"), F.explode(moved).alias("high"))
-        edges = written(small.filter("low < high").distinct().coalesce(files), "star")
+        before, edges = edges, written(small.filter("low < high").distinct().coalesce(files), "star")
+        discard(before)
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())

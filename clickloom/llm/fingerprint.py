@@ -4,16 +4,17 @@ Every paragraph (line) hashes to a wide vector; a document's fingerprint is the
 vectors, lane by lane modulo a power of two. So the order of paragraphs does not matter, and a paragraph
 is inserted or deleted by adding or subtracting its vector (`combine`). A vector has two parts:
 
-* IDENTITY lanes modulo 2^64, filled from a keyed hash of the whole paragraph: equal sums mean equal
-  multisets of paragraphs, but for a chance of about 2^-64 for each lane.
+* IDENTITY lanes modulo 2^64, each 64 bits of its own from a BLAKE2b digest of the whole paragraph: equal sums
+  mean equal multisets of paragraphs, but for a chance of about 2^-512.
 * CONTENT lanes modulo 2^32, into which each three-word shingle of the paragraph puts +1 or -1 at a
   hashed lane. The squared length of a difference of such sums estimates the size of the symmetric
   difference of two documents, which gives `likeness` (an estimate of their Jaccard similarity).
 
 Defined cases: null is the empty text, which has one empty paragraph. Equal texts have equal fingerprints;
-texts that are permutations of the same lines too. Rows are chained by ascending doc_id, then text; a
-null doc_id comes first; the document after the last is the first (itself, if it is alone). Repeated
-rows are documents of their own. Other columns are ignored. An empty table gives an empty result.
+texts that are permutations of the same lines too. Rows are chained by ascending doc_id, then by the text's hash (so that the
+rows of one doc_id can be dealt to many tasks), then text; a null doc_id counts as the smallest number; the document
+after the last is the first (itself, if it is alone). Repeated rows are documents of their own. A text of any length is hashed whole,
+a few lines at a time. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,53 +22,65 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, joined, mix, span_hashes, steps, word_spans
+from .common import _FACTORS, STEP_BYTES, U64, mix, ship, shingles_of, steps, text_word_hashes, word_hashes
 
 IDENTITY, CONTENT = 8, 256
 SHINGLE = 3
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_LINE = np.zeros(256, dtype=bool)
-_LINE[0x0A] = True
-_SALTS = mix(np.arange(1, IDENTITY + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
+
+
+def _line_sums(owners: np.ndarray, lines: list[bytes], identity: np.ndarray, content: np.ndarray) -> None:
+    """Add the vectors of some paragraphs to the sums of the texts that own them (in ascending order)."""
+    digests = b"".join(hashlib.blake2b(line, digest_size=8 * IDENTITY, person=b"paragraph").digest() for line in lines)
+    first = np.flatnonzero(np.diff(owners, prepend=-1))
+    identity[owners[first]] += np.add.reduceat(np.frombuffer(digests, dtype="<u8").reshape(-1, IDENTITY), first, axis=0)
+    if len(lines) == 1:
+        words = text_word_hashes(lines[0])
+        counts = np.array([len(words)])
+    else:
+        split = [line.split() for line in lines]
+        counts = np.array(list(map(len, split)))
+        words = word_hashes(list(chain.from_iterable(split)))
+    line = np.repeat(np.arange(len(lines)), counts)
+    whole = np.flatnonzero(line[: len(words) - SHINGLE + 1] == line[SHINGLE - 1 :]) if len(words) >= SHINGLE else np.empty(0, dtype=np.int64)
+    values, of = [shingles_of(words, SHINGLE)[whole]] if len(whole) else [], [line[whole]]
+    starts = np.cumsum(counts) - counts
+    for n in range(1, SHINGLE):  # a paragraph of fewer words gives one shingle of them all
+        short = np.flatnonzero(counts == n)
+        value = sum((words[starts[short] + j] * _FACTORS[j] for j in range(n)), np.zeros(len(short), dtype=U64))
+        values.append(mix(value + U64(n)))
+        of.append(short)
+    value, of = np.concatenate(values), owners[np.concatenate(of).astype(np.int64)]
+    sign = np.where(value & U64(1), 1.0, -1.0)
+    low = int(owners[0])
+    rows = int(owners[-1]) - low + 1
+    found = np.bincount((of - low) * CONTENT + (value >> U64(56)).astype(np.int64), weights=sign, minlength=rows * CONTENT)
+    content[low : low + rows] += found.astype(np.int64).reshape(rows, CONTENT)
 
 
 def sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Identity sums (texts x IDENTITY, modulo 2^64) and content sums (texts x CONTENT, modulo 2^32)."""
-    n = len(texts)
-    data, first, end = joined(texts)
-    # paragraphs: from each text's start or the byte after a line feed up to the next line feed or the text's end
-    feeds = np.flatnonzero(data == 0x0A)
-    starts = np.sort(np.concatenate([first, feeds + 1]))
-    ends = np.sort(np.concatenate([end, feeds]))
-    paragraph = span_hashes(data, starts, ends)
-    at = np.searchsorted(starts, first)
-    identity = np.add.reduceat(mix(paragraph[:, None] ^ _SALTS[None, :]), at, axis=0)
-    lo, hi = word_spans(data)
-    content = np.zeros((n, CONTENT), dtype=np.uint32)
-    if len(lo):
-        words = span_hashes(data, lo, hi)
-        line = np.searchsorted(starts, lo, side="right")
-        for j in range(1, SHINGLE):  # a paragraph of fewer words gives one shingle of them all
-            same = line[j:] == line[:-j]
-            words[:-j][same] = mix(words[:-j][same] * U64(0x8EBC6AF09C88C6E3) + span_hashes(data, lo[j:], hi[j:])[same])
-        whole = np.ones(len(lo), dtype=bool)
-        whole[-(SHINGLE - 1) :] = False
-        whole[: len(lo) - SHINGLE + 1] = line[SHINGLE - 1 :] == line[: len(lo) - SHINGLE + 1]
-        opens = np.ones(len(lo), dtype=bool)
-        opens[1:] = line[1:] != line[:-1]
-        kept = np.flatnonzero(whole | opens)
-        value = words[kept]
-        owner = np.searchsorted(first, lo[kept], side="right") - 1
-        lane = owner * CONTENT + (value >> U64(56)).astype(np.int64)
-        sign = np.where(value & U64(1), 1.0, -1.0)
-        content = np.bincount(lane, weights=sign, minlength=n * CONTENT).astype(np.int64).astype(np.uint32).reshape(n, CONTENT)
-    return identity, content
+    identity, content = np.zeros((len(texts), IDENTITY), dtype=U64), np.zeros((len(texts), CONTENT), dtype=np.int64)
+    owners, lines, size = [], [], 0
+    for i, text in enumerate(texts):
+        for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+            owners.append(i)
+            lines.append(line)
+            size += len(line) + 1
+            if size > STEP_BYTES:
+                _line_sums(np.array(owners), lines, identity, content)
+                owners, lines, size = [], [], 0
+    if lines:
+        _line_sums(np.array(owners), lines, identity, content)
+    return identity, content.astype(np.uint32)
 
 
 def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -119,50 +132,60 @@ def _rows(ids: list, texts: list[str], of_texts: tuple[np.ndarray, np.ndarray])
     assert n == len(changed)
 
 
-def fingerprints(docs: DataFrame, partition_bytes: int = 16 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, partition_bytes: int = 16 << 20, most_ranges: int = 10_000) -> DataFrame:
     """Fingerprints of all documents and their edited texts: SCHEMA.
 
-    Rows are dealt out by ranges of doc_id and sorted within them. The first row of each range is also
+    Rows are dealt out by ranges of (doc_id, hash of the text) and sorted within them. The first row of each range is also
     sent to the range before it (the first of all to the last), so that one shuffle of the texts is enough and
-    only one row a range is copied. Range borders are quantiles of (doc_id, hash): a few numbers.
+    only one row a range is copied. The ranges are those of a range partitioning of the keys alone; their borders (two
+    numbers each, at most `most_ranges`) are all that the driver sees. A larger table has larger ranges, which are sorted with spilling.
     """
     spark = docs.sparkSession
+    ship(spark)
+    least = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # chained by (doc_id, hash of the text): rows of one id are spread too, equal rows stay interchangeable
-    keys = rows.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"))
-    total = keys.agg(F.count("*").alias("rows"), F.sum("n").alias("chars")).first()
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(least)).alias("id"), F.xxhash64("text").alias("h"))
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("chars")).first()
     if not total["rows"]:
         return spark.createDataFrame([], SCHEMA)
-    parts = max(1, min(100_000, -(-int(total["chars"] or 0) // partition_bytes)))
-    position = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
-    borders = []
+    parts = max(1, min(most_ranges, -(-int(total["chars"] or 0) // partition_bytes)))
+    borders = [(least, least)]
     if parts > 1:
-        found = keys.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000)).first()[0] or []
-        borders = sorted(set(found))
-    @F.pandas_udf("int")
-    def slot_of(ids: pd.Series) -> pd.Series:  # how many borders are at or below the id
-        return pd.Series(np.searchsorted(np.array(borders, dtype=np.int64), ids.to_numpy(), side="right").astype(np.int32))
+        ranges = rows.select("id", "h").repartitionByRange(parts, "id", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "h")).alias("b"))
+        borders += sorted((r["b"]["id"], r["b"]["h"]) for r in ranges.collect())[1:]
+    ids, hashes = (np.array(x, dtype=np.int64) for x in zip(*borders))
 
-    slot = slot_of(F.coalesce("doc_id", F.lit(-(1 << 63)))) if borders else F.lit(0)
+    @F.pandas_udf("int")
+    def slot_of(id_: pd.Series, h: pd.Series) -> pd.Series:  # the last border at or below (id, h)
+        i, x = id_.to_numpy(), h.to_numpy()
+        low, high = np.searchsorted(ids, i, side="left"), np.searchsorted(ids, i, side="right")
+        found = high.copy()
+        for a in np.unique(low[high > low]):  # ids at a border
+            own = np.flatnonzero((low == a) & (high > low))
+            found[own] = a + np.searchsorted(hashes[a : high[own[0]]], x[own], side="right")
+        return pd.Series(np.maximum(found - 1, 0).astype(np.int32))
+
+    slot = slot_of("id", "h") if len(borders) > 1 else F.lit(0)
     dealt = rows.withColumn("slot", slot)
-    heads = keys.withColumn("slot", slot).groupBy("slot").agg(F.min(position).alias("head")).orderBy("slot").collect()
+    heads = rows.select("id", "h").withColumn("slot", slot).groupBy("slot").agg(F.min(F.struct("id", "h")).alias("head")).orderBy("slot").collect()
     slots = [r["slot"] for r in heads]
     before = {slots[i]: slots[i - 1] for i in range(len(slots))}
-    head_rows = spark.createDataFrame([(r["slot"], before[r["slot"]], r["head"]["doc_id"]) for r in heads], "slot int, target int, head long")
-    # of the rows with a range's smallest id, the first by text follows the range before
+    head_rows = spark.createDataFrame([(r["slot"], before[r["slot"]], r["head"]["id"], r["head"]["h"]) for r in heads], "of int, target int, first_id long, first_h long")
+    # of the rows with a range's smallest key, the first by text follows the range before; equal rows are told apart by nothing
+    first = (F.col("slot") == F.col("of")) & (F.col("id") == F.col("first_id")) & (F.col("h") == F.col("first_h"))
     copies = (
-        dealt.join(F.broadcast(head_rows), (dealt["slot"] == head_rows["slot"]) & dealt["doc_id"].eqNullSafe(head_rows["head"]))
+        dealt.join(F.broadcast(head_rows), first)
         .groupBy("target")
-        .agg(F.min(F.struct("doc_id", "text")).alias("r"))
-        .select(F.col("target").alias("slot"), "r.doc_id", "r.text", F.lit(1).alias("copy"))
+        .agg(F.min(F.struct("text", "doc_id", "id", "h")).alias("r"))
+        .select(F.col("target").alias("slot"), "r.doc_id", "r.text", "r.id", "r.h", F.lit(1).alias("copy"))
     )
-    every = dealt.select("slot", "doc_id", "text", F.lit(0).alias("copy")).unionByName(copies)
-    laid = every.repartitionById(max(slots) + 1, F.col("slot")).sortWithinPartitions("slot", "copy", F.asc_nulls_first("doc_id"), "text")
+    every = dealt.select("slot", "doc_id", "text", "id", "h", F.lit(0).alias("copy")).unionByName(copies)
+    laid = every.repartitionById(max(slots) + 1, F.col("slot")).sortWithinPartitions("slot", "copy", "id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None  # the row that waits for its follower: slot, id, text, sums
         for batch in batches:
-            lengths = np.array([len(t) for t in batch.column(2).to_pylist()], dtype=np.int64)
+            lengths = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
             for a, b in steps(lengths):
                 part = batch.slice(a, b - a).to_pydict()
                 own = sums(part["text"])

@@ -29,6 +29,7 @@ from .pretokens import IdCache
 
 CAPACITY = 2048
 BATCH = 1024  # pieces that are packed together
+STEP = 4096  # pre-tokens that the library encodes at a time
 PARTS = 4  # of a window: the largest piece of a rest
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -43,7 +44,14 @@ def encoder(path: str) -> IdCache:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return IdCache(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        ids = []
+        for a in range(0, len(pieces), STEP):  # an encoding is far larger than its ids
+            ids += [x.ids for x in tokenizer.encode_batch_fast(pieces[a : a + STEP], add_special_tokens=False)]
+        return ids
+
+    return IdCache(encode)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

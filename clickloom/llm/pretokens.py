@@ -6,11 +6,13 @@
 
 as spans of code points: runs of one class end at the next class; the last space character of a run of
 white space goes to what follows; an apostrophe that begins a match may form a contraction. Equal pre-tokens
-are encoded once: they are grouped by a 64-bit hash of their code points (long ones by themselves).
+are encoded once: they are grouped by a 64-bit hash of their code points (long ones by themselves) whose base each worker
+draws anew, so that no texts can be made to collide.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,12 +21,37 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import U64, span_hashes, steps, text_steps
+from .common import STEP_BYTES, U64, mix, steps, text_steps
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 LONG = 64  # code points; longer pre-tokens are encoded by themselves
-ROUND_BYTES = 32 << 20
-KEPT = 2_000_000  # encoded pre-tokens that a worker keeps
+ROUND_BYTES = 4 << 20  # of text whose new pre-tokens are encoded together
+KEPT = 400_000  # encoded pre-tokens that a worker keeps
+_BASE = int.from_bytes(os.urandom(8), "little") | 1
+_POWERS = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least n; kept up to a step's length."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(n, base, dtype=U64)
+        powers[0] = 1
+        made.append(np.cumprod(powers, dtype=U64))
+    if n <= STEP_BYTES + 1:
+        _POWERS[:] = made
+    return made
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end] that depend on the content of the span alone, within this process."""
+    up, down = _powers(len(values) + 1)
+    sums = np.empty(len(values) + 1, dtype=U64)
+    sums[0] = 0
+    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 @lru_cache(None)
