@@ -160,6 +160,54 @@ def test_jaccard_components(spark, docs, odd, none, n, p, q):
     assert not jaccard.similarity_components(none, n, p, q).collect()
 
 
+@pytest.mark.parametrize("changed", [{}, {"DIRECT": 0.02}, {"DIRECT": 0.02, "SMALL": 2}, {"LARGE": 4}, {"BROADCAST_ROWS": 0, "GROUP": 3}], ids=str)
+def test_jaccard_routes(spark, monkeypatch, changed):
+    """Every route (direct or further rounds, small or led buckets, broadcast or shuffle) gives the same components."""
+    for name, value in changed.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(4)
+    rows = []
+    for size, copies in ((40, 60), (90, 60), (14, 30)):
+        base = [f"w{rng.randrange(900)}" for _ in range(size)]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, size // 18))):
+                text[rng.randrange(size)] = f"w{rng.randrange(900)}"
+            rows.append(Row(doc_id=len(rows), text=" ".join(text)))
+    got = [tuple(r) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80, 100).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 3, 80, 100)
+
+
+def test_jaccard_large_group(spark):
+    """A group of near copies far beyond any bound of a bucket, and a larger one of exact copies."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for _ in range(700):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(120)] = f"x{rng.randrange(5000)}"
+        rows.append(Row(doc_id=len(rows), text=" ".join(text)))
+    rows += [Row(doc_id=i, text="the very same text of some words") for i in range(2000, 3500)]
+    got = [tuple(r) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90, 100).collect()]
+    near, same = [r for r in rows if r["doc_id"] < 2000], [r for r in rows if r["doc_id"] >= 2000]
+    assert sorted(got, key=str) == sorted(brute_components(near, 3, 90, 100) + [(r["doc_id"], 5, 2000) for r in same], key=str)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_thue_morse_texts_differ(spark, n):
+    """Texts that collide under polynomial hashing modulo 2^64 are told apart."""
+    a, b = thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"x y {a}"), (4, f"x y {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard.similarity_components(docs).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    assert len({r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}) == 4
+
+
 @pytest.mark.parametrize("second", ["the same", "another set"])
 def test_jaccard_repeated_ids(spark, second):
     """Buckets {1, 2, 2, 4} and {1, 3, 3, 4} have other members, though the hashes of 2 and of 3 cancel."""
