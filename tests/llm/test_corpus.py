@@ -473,6 +473,100 @@ def test_page_marks(attributes, beside):
     assert html_text.is_beside("p", " " + attributes, False) == beside
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div><p class="ad">Buy<p>More</div><article><h1>T</h1><p>long article text of many words<p>and more words</article>', "T long article text of many words and more words"),
+        ('<div class="content no-sidebar"><p>The article is here with many words.<p>And here.</div>', "The article is here with many words. And here."),
+        ('<nav><a href=x>a</a></nav><article class="post hentry category-social"><p>The article is here with many words.<p>And here.</article>', "The article is here with many words. And here."),
+        ('<div id="long-form"><p>The article is here with many words.<p>And here.</div><div class=sidebar><p>Buy this and that</div>', "The article is here with many words. And here."),
+        ('<form action=x><div><p>The article is here with many words.<p>And here.</div></form>', "The article is here with many words. And here."),
+        ('<div class="comment-list">' + "<p>I do not agree with a word of it.</p>" * 5 + "</div><div><p>The article is here with many words.<p>And here.</div>", "The article is here with many words. And here."),
+        ("<body><article><p>First article with its text.<p>More of it here.</article><article><p>Second article with text.<p>And more text.</article></body>", "First article with its text. More of it here. Second article with text. And more text."),
+        ("<body><h1>Headline</h1><div><p>The article is here with many words.<p>And here with some more.</div><div>short</div></body>", "Headline The article is here with many words. And here with some more."),
+        ("<body><div>" + "<a href=x>link text</a> " * 30 + "</div><div><p>The article is here.<p>And <a href=y>here</a> it ends.</div></body>", "The article is here. And here it ends."),
+    ],
+)
+def test_page_density_chooses(page, want):
+    assert html_text.main_text(page) == want
+
+
+def brute_measure(page):
+    """Densities and sums of a well-formed page's blocks in page order, straight from their definition."""
+    import math
+    import xml.etree.ElementTree as T
+
+    root = T.fromstring(page)
+
+    def text(e, skip=()):
+        return sum(len("".join(x.split())) for x in [e.text or "", *(c.tail or "" for c in e)]) + sum(text(c) for c in e if c not in skip)
+
+    def blocks(e):  # the blocks right below, through inline tags
+        return [y for c in e for y in ([c] if is_block(c) else blocks(c))]
+
+    def is_block(e):
+        return e.tag not in html_text.INLINE or any(is_block(c) for c in e)
+
+    def numbers(e):
+        inner = list(e.iter())[1:]
+        return text(e), sum(is_block(x) or x.tag == "a" for x in inner), sum(text(x) for x in e.iter("a")), len(list(e.iter("a")))
+
+    c, t, lc, lt = numbers(root)
+    share = lc / max(1, c)
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t, lt, l1 = max(1, t), max(1, lt), max(1, lc)
+        return c / t * max(0.0, math.log(c / l1 * t / lt) / math.log(math.log(c / max(1, c - lc) * l1 + share * c + math.e)))
+
+    out = []
+    for e in root.iter():
+        if is_block(e):
+            below = blocks(e)
+            own = [text(e) - sum(text(b) for b in below), sum(1 for x in e.iter("a") if not any(x in b.iter() for b in below) and x is not e)]
+            links = sum(text(x) for x in e.iter("a") if not any(x in b.iter() for b in below))
+            total = sum(density(*numbers(b)) for b in below) + density(own[0], own[1], links, own[1]) if below else 0.0
+            out.append((e.tag, density(*numbers(e)), total))
+    return out
+
+
+def test_page_measure():
+    rng = random.Random(9)
+
+    def make(depth):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            kind = rng.choice(["text", "p", "div", "a", "b", "section", "ul"] if depth else ["text", "p", "a", "b"])
+            words = " ".join("word"[: rng.randint(1, 4)] for _ in range(rng.randint(1, 12)))
+            if kind == "text":
+                parts.append(words)
+            elif kind in ("p", "a", "b") or not depth:
+                parts.append(f"<{kind}>{words}{' <i>x y</i> z' if rng.random() < 0.3 else ''}</{kind}>")
+            elif kind == "ul":
+                parts.append("<ul>" + "".join(f"<li>{make(0) if rng.random() < 0.2 else words}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
+            else:
+                parts.append(f"<{kind}>{make(depth - 1)}</{kind}>")
+        return " ".join(parts)
+
+    for _ in range(300):
+        page = f"<body>{make(3)}</body>"
+        nodes = html_text.prune(html_text.parse(page)[1])
+        html_text.measure(nodes)
+        got = [(x.tag, x.density, x.total) for x in nodes[1:] if x.block]
+        want = brute_measure(page)
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert np.allclose([x[1:] for x in got], [x[1:] for x in want]), page
+
+
+def test_page_repeated_and_long(spark):
+    page = "<article>" + "<p>some words of the article</p>" * 20_000 + "</article>"
+    rows = [(1, "u", page, 5), (1, "u", page, 5), (2, None, "<div>" * 30_000 + "deep", 5)]
+    got = html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
+    assert [r["n_chars"] for r in got if r["page_id"] == 1] == [20_000 * 26 - 1] * 2
+    assert [r["text"] for r in got if r["page_id"] == 2] == ["deep"]
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
