@@ -592,6 +592,38 @@ def test_top_k(spark):
     assert not topk.top_k(none, none, 20).collect()
 
 
+def test_top_k_repeated_rows(spark):
+    """Equal rows count once; a common vector does not hide other ids; vectors that share an id stand for themselves."""
+    rng = np.random.default_rng(4)
+    common = [0.25, 0.5, 0.75]
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [rows[20]] * 3 + [(20, common)] * 25 + [(41, common), (43, common)] + [(60, common)] * 2 + [(7, [0.5, 0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    v = topk.whole_vectors(table)
+    got = [tuple(r) for r in topk.top_k(v, v.filter("id % 20 = 0"), 20).collect()]
+    once = sorted({(i, tuple(x)) for i, x in rows})
+    assert sorted(got) == brute_top([{"id": i, "v": x} for i, x in once], 20)
+
+
+@pytest.mark.parametrize("scale, dims", [(1, 1), (3, 8), (1e6, 5), (1e12, 4), (2.0**61, 3)])
+def test_bounds_and_reads(scale, dims):
+    """No exact score exceeds its bound, and few exact vectors are read of a large block."""
+    rng = np.random.default_rng(dims)
+    x = np.floor(rng.normal(size=(3000, dims)) * scale)
+    q = np.floor(rng.normal(size=(40, dims)) * scale)
+    cells, low, width = topk.approximated(x)
+    bound = topk.upper_bounds(cells.astype(np.float32), low, width, q)
+    exact = [[sum(int(a) * int(b) for a, b in zip(u, w)) for w in x[:300]] for u in q]
+    assert all(b >= e for got, want in zip(bound, exact) for b, e in zip(got, want))
+    search = topk.Search(np.full(40, -1), q, 5)
+    for a in range(0, 3000, 1000):
+        search.block(np.arange(a, a + 1000), *topk.approximated(x[a : a + 1000]), topk.smallest(x[a : a + 1000]))
+    for i, (ids, scores) in enumerate(search.best):
+        every = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], w)), j) for j, w in enumerate(x))[:5]
+        assert [(-int(s), int(v)) for v, s in zip(ids, scores)] == every
+    assert search.read < 0.2 * 40 * 3000 or scale == 1
+
+
 # --- 8 and 9 ---------------------------------------------------------------------------------------------------------
 
 TIKTOKEN, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
