@@ -1,7 +1,7 @@
 """Licence notices: exact phrases of words, and fuzzy search for short notices.
 
 The fuzzy search cuts each notice of allowed edits e into e + 1 pieces. A text within e edits of the
-notice holds one piece unchanged (pigeonhole), so plain searches for the pieces locate candidates; the
+notice holds one piece unchanged (pigeonhole), so one exact search for all pieces (an automaton) locates candidates; the
 `regex` library then matches the whole notice with at most e errors around each candidate, and the match
 gives the edits and the span.
 
@@ -9,8 +9,8 @@ Texts are normalised first: A-Z lower-cased, words are runs of 0-9, a-z and char
 joined by one space. Spans are reported as code point offsets of the source text.
 
 Defined cases: null is the empty text (no words, no labels, score 0). Repeated rows each keep a row. Ties between
-overlapping matches of one label: fewest edits, then the first. The words that tell one notice from another text
-(TELLING) take fewer edits than would make them another word. Other columns are ignored. An empty
+overlapping matches of one label: fewest edits, then the first. The words that tell one licence from another
+take fewer edits than would make them another word. Very long texts are scanned whole, one at a time. Other columns are ignored. An empty
 table gives an empty result.
 """
 
@@ -20,43 +20,65 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, text_steps
+from .common import filled, ship, text_steps
 
 #: Exact phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Short notices and their labels, found within EDITS edits for each full seven characters, three at most.
-NOTICES = {
-    "under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2": "apache-2",
-    "apache license version 2": "apache-2",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "redistribution and use in source and binary forms": "bsd",
-    "permission to use copy modify and or distribute this software for any purpose": "isc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "all rights reserved": "all-rights-reserved",
-}
-#: The words of a notice that tell its licence, as alternatives, and the edits each takes.
-TELLING = {
-    "under the mit license": {"mit": 0},
-    "licensed under the apache license version 2": {"apache": 1, "2|two|ii": 0},
-    "apache license version 2": {"apache": 1, "2|two|ii": 0},
-    "creative commons attribution noncommercial": {"noncommercial": 2},
-    "creative commons attribution sharealike": {"sharealike": 2},
-    "gnu general public license": {"gnu": 1},
-    "gnu lesser general public license": {"lesser": 2},
-    "gnu affero general public license": {"affero": 2},
-    "mozilla public license": {"mozilla": 2},
-}
+#: Short notices: text, label, and the words that tell the licence (as alternatives) with the edits each takes. They are found within
+#: one edit for each full seven characters, three at most.
+NOTICES = (
+    ("under the mit license", "mit", {"mit": 0}),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", {}),
+    ("licensed under the apache license version 2", "apache-2", {"apache": 1, "2|two|ii": 0}),
+    ("apache license version 2", "apache-2", {"apache": 1, "2|two|ii": 0}),
+    ("apache software license", "apache", {"apache": 1}),
+    ("creative commons attribution noncommercial", "cc-by-nc", {"noncommercial": 2}),
+    ("creative commons attribution sharealike", "cc-by-sa", {"sharealike": 2}),
+    ("creative commons attribution noderivatives", "cc-by-nd", {"noderivatives": 2}),
+    ("creative commons attribution license", "cc-by", {"attribution": 2, "license": 2}),
+    ("creative commons zero", "cc0", {"zero": 0}),
+    ("cc0 1 0 universal", "cc0", {"cc0": 0}),
+    ("gnu general public license", "gpl", {"gnu": 1}),
+    ("gnu lesser general public license", "lgpl", {"lesser": 2}),
+    ("gnu library general public license", "lgpl", {"library": 2}),
+    ("gnu affero general public license", "agpl", {"affero": 2}),
+    ("gnu free documentation license", "gfdl", {"documentation": 3}),
+    ("mozilla public license", "mpl", {"mozilla": 2}),
+    ("eclipse public license", "epl", {"eclipse": 2}),
+    ("eclipse distribution license", "edl", {"eclipse": 2, "distribution": 3}),
+    ("european union public licence", "eupl", {"european": 2, "union": 1}),
+    ("common development and distribution license", "cddl", {"development": 2}),
+    ("common public license", "cpl", {"common": 1}),
+    ("microsoft public license", "ms-pl", {"microsoft": 2}),
+    ("microsoft reciprocal license", "ms-rl", {"reciprocal": 2}),
+    ("boost software license", "bsl", {"boost": 1}),
+    ("academic free license", "afl", {"academic": 2}),
+    ("artistic license", "artistic", {"artistic": 1}),
+    ("educational community license", "ecl", {"educational": 2}),
+    ("open software license", "osl", {"open": 0}),
+    ("sil open font license", "ofl", {"font": 0}),
+    ("open database license", "odbl", {"database": 2}),
+    ("python software foundation license", "psf", {"python": 1}),
+    ("server side public license", "sspl", {"server": 1, "side": 0}),
+    ("business source license", "busl", {"business": 2}),
+    ("universal permissive license", "upl", {"universal": 2}),
+    ("zope public license", "zpl", {"zope": 0}),
+    ("redistribution and use in source and binary forms", "bsd", {}),
+    ("under the bsd license", "bsd", {"bsd": 0}),
+    ("bsd 3 clause license", "bsd", {"bsd": 0}),
+    ("bsd 2 clause license", "bsd", {"bsd": 0}),
+    ("under the isc license", "isc", {"isc": 0}),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", {}),
+    ("under the zlib license", "zlib", {"zlib": 0}),
+    ("this software is provided as is without any express or implied warranty", "zlib", {}),
+    ("do what the fuck you want to public license", "wtfpl", {}),
+    ("this is free and unencumbered software released into the public domain", "unlicense", {}),
+)
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label:string,start:int,end:int,edits:int>>"
@@ -70,22 +92,30 @@ class Notice:
     text: bytes
     label: str
     edits: int
-    pieces: tuple[tuple[bytes, int], ...]  # exact seeds and their offsets
     pattern: regex.Pattern
     telling: tuple[regex.Pattern, ...]  # each has to be in a match
 
 
+def allowed(notice: str) -> int:
+    return max(1, min(3, len(notice) // 7))
+
+
 @lru_cache(None)
-def compiled() -> tuple[Notice, ...]:
-    made = []
-    for text, label in NOTICES.items():
-        raw = text.encode()
-        edits = max(1, min(3, len(raw) // 7))
-        cuts = [round(i * len(raw) / (edits + 1)) for i in range(edits + 2)]
-        pieces = tuple((raw[a:b], a) for a, b in zip(cuts[:-1], cuts[1:]))
-        pattern = regex.compile(rb"(?b)(?<![^ ])(?:" + regex.escape(raw) + rb"){e<=%d}(?![^ ])" % edits)
-        made.append(Notice(raw, label, edits, pieces, pattern, tuple(telling(text.split(), word, e) for word, e in TELLING.get(text, {}).items())))
-    return tuple(made)
+def compiled() -> tuple[tuple[Notice, ...], ahocorasick.Automaton]:
+    """The notices, and an automaton of their pieces: (number of the notice, offset in it, length)."""
+    made, seeds = [], {}
+    for i, (text, label, words) in enumerate(NOTICES):
+        raw, edits = text.encode(), allowed(text)
+        cuts = [round(j * len(raw) / (edits + 1)) for j in range(edits + 2)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            seeds.setdefault(text[a:b], []).append((i, a, b - a))
+        pattern = regex.compile(rb"(?b)(?<= )(?=[^ ])(?:" + regex.escape(raw) + rb"){e<=%d}(?<=[^ ])(?= )" % edits)
+        made.append(Notice(raw, label, edits, pattern, tuple(telling(text.split(), word, e) for word, e in words.items())))
+    automaton = ahocorasick.Automaton()
+    for seed, places in seeds.items():
+        automaton.add_word(seed, places)
+    automaton.make_automaton()
+    return tuple(made), automaton
 
 
 def telling(notice: list[str], word: str, edits: int) -> regex.Pattern:
@@ -108,15 +138,16 @@ def places(words: bytes, phrase: bytes) -> list[int]:
 
 def fuzzy(words: bytes) -> list[tuple[str, int, int, int]]:
     """(label, first byte, end byte, edits) of the notices within their edits, in place order."""
+    notices, automaton = compiled()
+    windows_of: dict[int, list[tuple[int, int]]] = {}
+    for last, hits in automaton.iter(words.decode("latin-1")):  # a character for each byte
+        for i, offset, length in hits:
+            start, notice = last + 1 - length - offset, notices[i]
+            windows_of.setdefault(i, []).append((max(0, start - notice.edits - 1), min(len(words), start + len(notice.text) + notice.edits + 1)))
     found = {}
-    for notice in compiled():
+    for i, windows in windows_of.items():
+        notice = notices[i]
         size, e = len(notice.text), notice.edits
-        windows = []
-        for piece, offset in notice.pieces:
-            at = words.find(piece)
-            while at >= 0:
-                windows.append((max(0, at - offset - e - 1), min(len(words), at - offset + size + e + 1)))
-                at = words.find(piece, at + 1)
         windows.sort()
         reach = 0
         for a, b in windows:
@@ -164,6 +195,7 @@ def scan(text: str) -> tuple:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """Scan every whole text: SCHEMA."""
+    ship(docs.sparkSession)
     schema = docs.sparkSession.createDataFrame([], SCHEMA).schema
     names = schema.names
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
