@@ -1,34 +1,38 @@
 """Personal data: offset-preserving deobfuscation.
 
 Plain patterns find identifiers in the text as it stands. For disguised ones a chain of transducers
-rewrites the text piece by piece, and keeps for each character of the result the span of source characters
-that it stands for:
+rewrites the text piece by piece, and keeps its edits, so that each character of the result leads back to the source
+characters that it stands for:
 
 1. homoglyphs and width variants of letters, digits and signs become ASCII;
 2. runs of spelled digits ("four one five") become digits;
-3. "at" and "dot" disguises ("name [at] site (dot) org") become "@" and ".".
+3. spaced-out letters beside an "@" move together;
+4. "at" and "dot" disguises ("name [at] site (dot) org", "name_at_site_dot_org", "name @ site . org", "192[.]168 dot 1 dot 10") become
+   "@" and "." where a name, a domain that ends in letters or four numbers stand around them. A bare "at" needs a disguised dot as well.
 
 The same patterns run on the result, and what they find is mapped back to source characters. A found span
-is added unless it overlaps a plain one of its kind, so plain spans always stay.
+is added unless it overlaps a plain one of its kind, so plain spans always stay. Blanks, names and domains may be of any length. All steps
+are linear in the length of the text. Credentials (`secrets`) are found by patterns of their own; they are no spans.
 
 Defined cases: null is the empty text. Spans are code points, end exclusive, leftmost and
-non-overlapping in each kind. Repeated rows each keep a row. Other columns are ignored (`redacted` keeps
-them as they are). An empty table gives an empty result.
+non-overlapping in each kind. Very long texts are searched whole, one at a time. Repeated rows each keep a row. Other columns are ignored
+(`redacted` keeps them as they are, of whatever type). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, text_steps
+from .common import filled, ship, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, private boolean"
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,40 +94,62 @@ LOOKALIKES |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}  # full-width
 _LOOKALIKE = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_DIGIT_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[\s,.-]{{0,2}})?{_DIGIT_WORD}(?:[\s,.-]{{0,2}}(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z]))+(?![A-Za-z0-9])", re.I)
+_GAP = r"\s*+[,.-]?+\s*+"
+_DIGIT_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+){_GAP})?{_DIGIT_WORD}(?:{_GAP}(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z]))+(?![A-Za-z0-9])", re.I)
 _DIGIT_PIECE = re.compile(rf"plus|{_DIGIT_WORD}|[\s,.-]+", re.I)
-_SIGN = re.compile(r"\s{0,3}(?:[\[({<]\s{0,2}(at|dot|punkt|arroba|punto)\s{0,2}[\])}>])\s{0,3}|(?<=\S)\s{1,3}(at|dot)\s{1,3}(?=[A-Za-z0-9])", re.I)
-#: A bare " at " counts only with a dot disguise soon after it.
-_DISGUISE = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}(?:\s{0,3}[\[({<]\s{0,2}(?:at|arroba)\s{0,2}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})"
-    r"[A-Za-z0-9-]{1,63}(?:(?:\s{0,3}[\[({<]\s{0,2}(?:dot|punkt|punto)\s{0,2}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63})+",
+#: Single characters with a blank after (before) each, up to (from) an "@".
+_SPACED_LEFT = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-][ ]){2,}(?=@)")
+_SPACED_RIGHT = re.compile(r"(?<=@)(?:[ ][A-Za-z0-9.-](?!\S)){2,}")
+#: What stands for a sign, with the blanks around it. Blanks are looked at from the start of their run only.
+_RUN = r"(?<!\s)\s*+"
+_AT = re.compile(rf"{_RUN}[\[({{<]\s*+(?:at|arroba|@)\s*+[\])}}>]\s*+|(?<!\s)\s++at\s++|(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9])|(?<!\s)\s++@\s*+|@\s++", re.I)
+_DOT = re.compile(rf"{_RUN}[\[({{<]\s*+(?:dot|punkt|punto|\.)\s*+[\])}}>]\s*+|(?<!\s)\s++dot\s++|(?<=[A-Za-z0-9])_dot_(?=[A-Za-z0-9])|(?<!\s)\s++\.\s++", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_NUMBER = re.compile(r"[0-9]++")
+_HINT = re.compile(r"[\[({<]\s*+(?:at|arroba|dot|punkt|punto|\.|@)\s*+[\])}>]|[\s_]dot[\s_]|\s@|@\s|\s\.\s", re.I)
+
+#: Credentials: a named value, or a value of a well-known form.
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\s*+[:=]\s*+[\"']?+(?=[A-Za-z]*+[0-9])[A-Za-z0-9+/_.=-]{12,}+"
+    r"|(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}|-----BEGIN [A-Z ]*PRIVATE KEY-----",
     re.I,
 )
-_HINT = re.compile(r"[\[({<]\s{0,2}(?:at|arroba|dot|punkt|punto)\s{0,2}[\])}>]|\sdot\s", re.I)
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Spans of credentials."""
+    return [m.span() for m in _SECRET.finditer(text)]
 
 
 class Traced:
-    """A text and, for each of its characters, where its source characters start and end (None: as it stands)."""
+    """A rewritten text and the edits that led to it, one list for each rewriting."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, layers: tuple = ()):
+        self.text, self.layers = text, layers
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> "Traced":
         """Replace each (start, end, text), in order and without overlap; new characters stand for the whole of the old."""
         if not edits:
             return self
-        starts = self.starts or list(range(len(self.text)))
-        ends = self.ends or list(range(1, len(self.text) + 1))
-        parts, s, e, at = [], [], [], 0
+        parts, at, moved = [], 0, 0
+        starts, ends, old = [], [], []  # of the new texts in the result, and what they stand for
         for a, b, new in edits:
             parts += [self.text[at:a], new]
-            s += starts[at:a] + [starts[a]] * len(new)
-            e += ends[at:a] + [ends[b - 1]] * len(new)
+            starts.append(a + moved)
+            moved += len(new) - (b - a)
+            ends.append(b + moved)
+            old.append((a, b))
             at = b
-        return Traced("".join(parts) + self.text[at:], s + starts[at:], e + ends[at:])
+        return Traced("".join(parts) + self.text[at:], (*self.layers, (starts, ends, old)))
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return (self.starts[start], self.ends[end - 1]) if self.starts else (start, end)
+        """The source characters that the characters from start to end stand for."""
+        last = end - 1
+        for starts, ends, old in reversed(self.layers):
+            i, j = bisect_right(starts, start) - 1, bisect_right(starts, last) - 1
+            start = start if i < 0 else old[i][0] if start < ends[i] else start - ends[i] + old[i][1]
+            last = last if j < 0 else old[j][1] - 1 if last < ends[j] else last - ends[j] + old[j][1]
+        return start, last + 1
 
 
 def homoglyphs(t: Traced) -> Traced:
@@ -144,14 +170,66 @@ def spelled_digits(t: Traced) -> Traced:
     return t.rewritten([x for x in edits if x[0] < x[1]])
 
 
-def disguises(t: Traced) -> Traced:
+def spaced(t: Traced) -> Traced:
     edits = []
-    for m in _DISGUISE.finditer(t.text):
-        for s in _SIGN.finditer(t.text, m.start(), m.end()):
-            word = (s.group(1) or s.group(2)).lower()
-            edits.append((s.start(), s.end(), "@" if word in ("at", "arroba") else "."))
-        for s in re.compile(r"\s+@\s*|\s*@\s+").finditer(t.text, m.start(), m.end()):
-            edits.append((s.start(), s.end(), "@"))
+    for pattern in (_SPACED_LEFT, _SPACED_RIGHT):
+        for m in pattern.finditer(t.text):
+            edits += [(i, i + 1, "") for i in range(m.start(), m.end()) if t.text[i] == " "]
+    return t.rewritten(sorted(edits))
+
+
+def disguises(t: Traced) -> Traced:
+    text = t.text
+    dots = {m.start(): m.end() for m in _DOT.finditer(text)}
+
+    def chain(at: int, part: re.Pattern) -> tuple[list[tuple[int, int]], int, int, str]:
+        """From a part on: the disguised dots, how many dots in all, the end, the last part."""
+        found, count, last = [], 0, ""
+        while m := part.match(text, at):
+            at, last = m.end(), m.group()
+            if at in dots and part.match(text, dots[at]):
+                found.append((at, dots[at]))
+                at = dots[at]
+            elif text.startswith(".", at) and part.match(text, at + 1):
+                at += 1
+            else:
+                break
+            count += 1
+        return found, count, at, last
+
+    edits, floor = [], 0
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        if a < floor or not a or text[a - 1] not in _LOCAL_CHARS:
+            continue
+        found, count, end, last = chain(b, _LABEL)
+        bare = m.group().strip().lower() == "at"
+        if count and (found or not bare) and len(last) > 1 and last.isascii() and last.isalpha():
+            edits += [(a, b, "@"), *((x, y, ".") for x, y in found)]
+            floor = end
+    # domains after a plain "@", and four numbers, with disguised dots
+    taken = {a for a, _, _ in edits}
+    seen = -1
+    for x in dots:
+        if x <= seen or x in taken or not x:
+            continue
+        start = x
+        while start > max(seen, 0) and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "-.")):
+            start -= 1
+        whole = text[start:x]
+        if start and text[start - 1] == "@" and whole and whole[0] != ".":
+            found, count, end, last = chain(start, _LABEL)
+            if count and len(last) > 1 and last.isalpha():
+                edits += [(p, q, ".") for p, q in found if p not in taken]
+            seen = max(seen, end - 1)
+            continue
+        number = re.fullmatch(r"(?:.*[^0-9.])?((?:[0-9]+\.)*[0-9]+)", whole)
+        if not number:
+            continue
+        found, count, end, last = chain(start + number.start(1), _NUMBER)
+        if count == 3:
+            edits += [(p, q, ".") for p, q in found if p not in taken]
+            seen = max(seen, end - 1)
     return t.rewritten(sorted(edits))
 
 
@@ -162,9 +240,11 @@ def disguised(text: str) -> Traced | None:
         t = homoglyphs(t)
     if _DIGIT_RUN.search(t.text):
         t = spelled_digits(t)
+    if " @" in t.text or "@ " in t.text:
+        t = spaced(t)
     if _HINT.search(t.text):
         t = disguises(t)
-    return t if t.starts is not None else None
+    return t if t.layers else None
 
 
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -174,12 +254,14 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     t = disguised(text)
     if t is not None:
         for kind, spans in plain(t.text).items():
-            for span in spans:
+            known, at, more = base[kind], 0, []
+            for span in spans:  # both lists ascend
                 a, b = t.source(*span)
-                if all(b <= x or a >= y for x, y in every[kind]):
-                    every[kind].append((a, b))
-        for kind in KINDS:
-            every[kind].sort()
+                while at < len(known) and known[at][1] <= a:
+                    at += 1
+                if (at == len(known) or b <= known[at][0]) and (not more or more[-1][1] <= a):
+                    more.append((a, b))
+            every[kind] = sorted(known + more)
     return base, every
 
 
@@ -193,7 +275,7 @@ def redact(text: str | None) -> str | None:
         return text
     _, every = find(text)
     out, at = [], 0
-    for a, b, kind in sorted((a, b, k) for k in KINDS for a, b in every[k]):
+    for a, b, kind in sorted([(a, b, k) for k in KINDS for a, b in every[k]] + [(a, b, "secret") for a, b in secrets(text)]):
         if b <= at:
             continue
         out += [text[at : max(a, at)], f"<{kind.upper()}>" if a >= at else ""]
@@ -202,7 +284,8 @@ def redact(text: str | None) -> str | None:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Identifiers of every whole text: SCHEMA."""
+    """Identifiers of every whole text: SCHEMA. `private`: whether a span or a credential was found."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +294,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 counts = [pa.array([len(b[k]) for b, _ in found], pa.int64()) for k in KINDS]
                 digest = pa.array([hashlib.sha256(span_list(b).encode()).hexdigest() for b, _ in found], pa.string())
                 spans = pa.array([span_list(e) for _, e in found], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *counts, digest, spans], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                secret = [len(secrets(t)) for t in texts]
+                private = [bool(n) or any(e.values()) for n, (_, e) in zip(secret, found)]
+                more = [pa.array(secret, pa.int64()), pa.array(private, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *counts, digest, spans, *more], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows with identifiers replaced by tags; n_chars, if there, follows the text. The columns stay as they are."""
+    ship(docs.sparkSession)
     names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
