@@ -146,10 +146,14 @@ def top_creatives(e: DataFrame, as_of: dt.date = AS_OF, least: int = 10) -> Data
 
 
 def ctr_change(e: DataFrame, keys: tuple[str, ...] = ("network", "creative_id", "headline"), as_of: dt.date = AS_OF, least: int = 100, n: int = 50) -> DataFrame:
-    """Mean daily CTR of the last week against the two weeks before."""
+    """Mean daily CTR of the last week against the two weeks before.
+
+    Rates have two digits; their means are taken as decimals, so that a mean on a rounding border does not hang on the order of the days.
+    """
+    mean = lambda days_: F.avg(F.when(days_, F.col("ctr").cast("decimal(30,12)"))).cast("double")
     daily = since(e, 30, as_of).dropna(subset=[keys[-1]]).groupBy("day", *keys).agg(pct(clicks(), views()).alias("ctr"), views().alias("v")).filter(F.col("v") >= least)
     recent, prior = F.col("day") >= ago(7, as_of), (F.col("day") < ago(7, as_of)) & (F.col("day") >= ago(21, as_of))
-    g = daily.groupBy(*keys).agg(F.avg(F.when(recent, F.col("ctr"))).alias("r"), F.avg(F.when(prior, F.col("ctr"))).alias("p")).filter("p > 0")
+    g = daily.groupBy(*keys).agg(mean(recent).alias("r"), mean(prior).alias("p")).filter("p > 0")
     out = g.select(*keys, F.round("r", 4).alias("recent_ctr"), F.round("p", 4).alias("prior_ctr"), F.round(100 * (F.col("r") - F.col("p")) / F.col("p"), 2).alias("fatigue_change_pct"))
     return top(out, n, F.asc_nulls_last("fatigue_change_pct"), *map(F.asc, keys))
 
