@@ -43,6 +43,10 @@ def lower_keys(params: Column) -> Column:
 
 
 def scalars(json_object: Column) -> Column:
-    """A JSON object's values as text, without nulls, arrays and objects."""
-    found = F.from_json(json_object, "map<string,string>")
-    return F.coalesce(F.map_filter(found, lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[{\[]")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    """A JSON object's values as text, without nulls, arrays and objects; a string may begin with a bracket, the last of equal keys wins."""
+    found = one_per_key(F.map_entries(F.from_json(json_object, "map<string,string>")), last=True)
+    kinds = F.try_variant_get(F.try_parse_json(json_object), "$", "map<string,variant>")
+    flat = F.map_zip_with(found, kinds, lambda k, v, kind: F.when(~F.coalesce(F.schema_of_variant(kind), F.lit("")).rlike("^(ARRAY|OBJECT)"), v))
+    # an object with a repeated key has no variant
+    flat = F.coalesce(flat, F.map_filter(found, lambda k, v: ~v.rlike(r"^\s*[{\[]")))
+    return F.coalesce(F.map_filter(flat, lambda k, v: v.isNotNull()), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))

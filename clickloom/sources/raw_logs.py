@@ -30,6 +30,10 @@ def client_ip(line: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(line["client_ip"]), F.lit("")), first_hop(line["headers"]["x_forwarded_for"]), first_hop(line["headers"]["x_real_ip"]))
 
 
+#: A full date and time with an offset.
+RFC_3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Events from lines (value, file), with `error` for those that are rejected.
 
@@ -38,7 +42,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     e = lines.withColumn("line", F.from_json("value", LINE, {"mode": "PERMISSIVE"}))
-    e = e.withColumns({"ts": F.try_to_timestamp(line["ts"]), "post": F.upper(line["method"]) == "POST"})
+    e = e.withColumns({"ts": F.when(line["ts"].rlike(RFC_3339), F.try_to_timestamp(line["ts"])), "post": F.upper(line["method"]) == "POST"})
     body = F.when(F.col("post"), line["body"])
     e = e.withColumns({"query": query_map(line["query_params"]), "own": scalars(body), "nested": scalars(F.get_json_object(body, "$.params"))})
     error = F.when(line.isNull() | line["ts"].isNull(), "not a request").when(F.col("ts").isNull(), "bad timestamp").when(F.col("post") & F.from_json(line["body"], "map<string,string>").isNull(), "bad body")
