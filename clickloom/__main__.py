@@ -12,6 +12,11 @@ from .sources.events import events
 from .sources.sinks import write_report
 
 
+def _dates(name: str) -> set[str]:
+    """The dates that a report takes."""
+    return {"start", "end"} if REPORTS[name].ranged else {"as_of"} if REPORTS[name].looks_back else set()
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="clickloom")
     parser.add_argument("--tables", default="/root/testdata/sf0.01", help="folder of the tables")
@@ -24,7 +29,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         command.add_argument("--format", choices=("json", "csv", "both"), default="json")
         command.add_argument("--output")
         command.add_argument("--start", type=dt.datetime.fromisoformat)
-        command.add_argument("--end", type=dt.datetime.fromisoformat)
+        command.add_argument("--end", type=dt.datetime.fromisoformat, help="of reports over a range")
+        command.add_argument("--as-of", type=dt.date.fromisoformat, help="the day that all other reports look back from")
     query = commands.add_parser("query")
     query.add_argument("sql")
     a = parser.parse_args(args)
@@ -39,11 +45,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         events(spark, a.tables).createOrReplaceTempView("events")
         spark.sql(a.sql).show(1000, truncate=False)
         return 0
-    dates = {k: v for k, v in (("start", a.start), ("end", a.end)) if v}
+    given = {k: v for k, v in (("start", a.start), ("end", a.end), ("as_of", a.as_of)) if v}
+    if a.command == "run" and a.name in REPORTS:
+        wrong = set(given) - _dates(a.name)
+        if wrong:
+            parser.error(f"{a.name} does not take {', '.join(sorted(wrong))}")
     for name in [a.name] if a.command == "run" else REPORTS:
+        dates = {k: v for k, v in given.items() if name in REPORTS and k in _dates(name)}
         report = run_report(spark, a.tables, name, **dates)
         if a.output:
-            print(*write_report(report, a.output, name, dt.date.today(), ("json", "csv") if a.format == "both" else (a.format,)), sep="\n")
+            print(*write_report(report, a.output, name, a.as_of or dt.date.today(), ("json", "csv") if a.format == "both" else (a.format,)), sep="\n")
         else:
             report.show(1000, truncate=False)
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from ..sources.events import END, START, between, events
 
 @dataclass(frozen=True)
 class Report:
-    """A report over canonical events. `ranged` reports see start <= ts < end; the others look back from a day themselves."""
+    """A report over canonical events. `ranged` reports see start <= ts < end; the others take no range: they look back from `as_of` or read all."""
 
     name: str
     category: str
@@ -22,8 +23,15 @@ class Report:
     ranged: bool = True
     params: dict = field(default_factory=dict)
 
-    def over(self, e: DataFrame, start: dt.datetime = START, end: dt.datetime = END, **params) -> DataFrame:
-        return self.run(between(e, start, end) if self.ranged else e, **{**self.params, **params})
+    @property
+    def looks_back(self) -> bool:
+        found = inspect.signature(self.run).parameters.values()
+        return not self.ranged and any(p.name == "as_of" or p.kind is p.VAR_KEYWORD for p in found)
+
+    def over(self, e: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None, **params) -> DataFrame:
+        if not self.ranged and (start or end):
+            raise ValueError(f"{self.name} takes no start or end" + ", but as_of" * self.looks_back)
+        return self.run(between(e, start or START, end or END) if self.ranged else e, **{**self.params, **params})
 
 
 def _reports() -> list[Report]:

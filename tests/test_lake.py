@@ -79,6 +79,25 @@ def test_network_of_report_params(spark):
     assert rows == 0
 
 
+def test_body_values(spark):
+    body = {"h": "[Video] 5 tips", "g": "{x}", "o": {"a": 1}, "l": [1], "n": None, "i": 7, "b": False, "params": {"q": "[1]", "deep": []}}
+    twice = '{"a": 1, "a": 2, "o": {}, "s": "x"}'
+    rows = parsed(spark, line(body), line(twice), line("[1]"), line({})).collect()
+    assert rows[0]["params"] == {"h": "[Video] 5 tips", "g": "{x}", "i": "7", "b": "false", "q": "[1]"}
+    assert rows[1]["params"]["s"] == "x" and "o" not in rows[1]["params"]
+    assert rows[2]["params"] in ({}, None) and rows[3]["params"] == {}
+
+
+@pytest.mark.parametrize("ts", ["2024-01-05", "2024-01-05T10:00:00", "2024-01-05 10", "10:00:00Z", "2024-01-05T10:00Z", "2024-13-05T10:00:00Z"])
+def test_timestamps_need_all_parts(spark, ts):
+    assert parsed(spark, line({}, ts=ts)).first()["error"] == "bad timestamp"
+
+
+def test_timestamps_with_offsets(spark):
+    found = parsed(spark, line({}, ts="2024-01-05T10:00:00.25+02:00"), line({}, ts="2024-01-05T08:00:00.25Z")).select("ts", "error").distinct().collect()
+    assert len(found) == 1 and found[0]["error"] is None
+
+
 def test_ingest_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/raw-20240105-10.jsonl.ready").write_text("\n".join([line({"type": "click", "sid": "s", "scroll": 1}), "bad", line({"type": "pv"}, ts="2024-01-04T23:59:00Z")]))
@@ -165,6 +184,9 @@ def test_cli_and_sinks(spark, tmp_path, capsys):
     assert spark.read.json(paths[0]).count() == spark.read.option("header", True).csv(paths[1]).count() > 0
     with pytest.raises(SystemExit):
         main(["run", "x", "--format", "both"], spark)
+    with pytest.raises(SystemExit):
+        main(["run", "v22_creative_ctr_change", "--end", "2024-01-20"], spark)
+    assert main(["--tables", SF, "run", "v22_creative_ctr_change", "--as-of", "2024-01-20", "--output", str(tmp_path / "day")], spark) == 0
     m = spark.createDataFrame([(20240105, 1), (20240106, 2)], "date int, x int")
     sinks.write_metrics(m, str(tmp_path / "m"))
     sinks.write_metrics(m.filter("x = 2").withColumn("x", F.lit(9)), str(tmp_path / "m"))

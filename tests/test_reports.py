@@ -1,5 +1,6 @@
 """Every registered report against its SQL, on the smallest tables."""
 
+import datetime as dt
 import glob
 import numbers
 import os
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from clickloom.operators import views as vi
 from clickloom.plans import catalog, extras, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +52,23 @@ def test_filters_reach_the_scan(spark):
 def test_summaries_see_all_rows(spark):
     plan = catalog.run_report(spark, SF, "r10b_fatigue_summary")._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan
+
+
+def test_look_back_reports_take_a_day(spark):
+    for report in catalog.REPORTS.values():
+        if not report.ranged:
+            with pytest.raises(ValueError, match="no start or end"):
+                report.over(None, end=dt.datetime(2024, 1, 20))
+    assert catalog.REPORTS["v22_creative_ctr_change"].looks_back and catalog.REPORTS["r10b_fatigue_summary"].looks_back
+    assert not catalog.REPORTS["v10_cross_network_assets"].looks_back and not catalog.REPORTS["r01_daily_summary"].looks_back
+    early, late = (catalog.run_report(spark, SF, "v03_network_daily", as_of=dt.date(2024, 1, day)).count() for day in (1, 31))
+    assert early >= late
+
+
+def test_means_on_a_rounding_border(spark):
+    """Eight rates add up to 314.29; an eighth of it is 39.28625."""
+    clicks = dict(enumerate([(1, 3), (2, 3), (1, 7), (2, 7), (3, 7), (4, 7), (5, 7), (0, 1)], 1))
+    rows = [(dt.datetime(2024, 1, 10 + d), dt.date(2024, 1, 10 + d), "x", kind) for d, (c, v) in clicks.items() for kind in ["click"] * c + ["pageview"] * v]
+    rows += [(dt.datetime(2024, 1, 30), dt.date(2024, 1, 30), "x", kind) for kind in ("click", "pageview")]
+    got = vi.ctr_change(spark.createDataFrame(rows, "ts timestamp_ntz, day date, h string, type string"), keys=("h",), least=1).first()
+    assert (got["recent_ctr"], got["prior_ctr"]) == (100.0, 39.2863)
