@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled
+from .common import filled, tidied
 from .pretokens import IdCache
 
 MANY = 30_000  # bytes of new pre-tokens from which on buckets are merged as arrays
@@ -249,7 +249,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -261,7 +261,7 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decoded_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -273,4 +273,4 @@ def decoded_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else words.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,13 +26,19 @@ STEP_BYTES = 1 << 20
 KEPT_WORDS, LONGEST_WORD = 100_000, 48
 
 
+BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, unless their Python path has it already."""
+    """Send this package to the executors once for each application, unless their Python path has it already.
+
+    Batches of whole texts are cut at BATCH_BYTES where the session has the default of 64 MB; a longer text is a batch of its own.
+    """
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH_BYTES_KEY).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
     if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _SHIPPED.add(app)
@@ -174,6 +183,28 @@ def text_word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=U64)
 
 
+def tidy() -> None:
+    """Empty the worker's cache of words and give its free memory back to the system."""
+    _HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, and `tidy` after each partition: idle workers stand beside the JVM of later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = mix(np.arange(1, 65, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 

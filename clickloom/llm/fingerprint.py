@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _FACTORS, STEP_BYTES, U64, mix, ship, shingles_of, steps, text_word_hashes, word_hashes
+from .common import _FACTORS, STEP_BYTES, U64, mix, shingles_of, ship, steps, text_word_hashes, tidied, word_hashes
 
 IDENTITY, CONTENT = 8, 256
 SHINGLE = 3
@@ -199,4 +199,4 @@ def fingerprints(docs: DataFrame, partition_bytes: int = 16 << 20, most_ranges:
                         yield from _rows(ids[x:y], texts[x:y], tuple(v[x:y] for v in own))
                 kept = (slot[-1], ids[-1], texts[-1], tuple(v[-1:] for v in own))
 
-    return laid.select("slot", "doc_id", "text").mapInArrow(run, SCHEMA)
+    return laid.select("slot", "doc_id", "text").mapInArrow(tidied(run), SCHEMA)

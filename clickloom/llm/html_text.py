@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, ship, text_steps
+from .common import filled, ship, text_steps, tidied
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -355,4 +355,4 @@ def page_texts(pages: DataFrame) -> DataFrame:
                     names=["page_id", "url", "text", "n_chars"],
                 )
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(tidied(run), SCHEMA)

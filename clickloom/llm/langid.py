@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, joined, ship, text_steps
+from .common import filled, joined, ship, text_steps, tidied
 
 BUCKETS = 1 << 16
 BUCKET_SHIFT, KNOWN_BITS = np.uint32(16), 20
@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidied(run), SCHEMA)
 
 
 def accepted_documents(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -299,4 +299,4 @@ def accepted_documents(docs: DataFrame, model: LanguageModel | None) -> DataFram
             keep = [predict(sent.value, texts)[2] for _, texts in text_steps(pc.utf8_lower(filled(batch.column(at))))]
             yield batch.filter(pa.array(np.concatenate(keep).astype(bool) if keep else np.empty(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

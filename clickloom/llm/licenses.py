@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, ship, text_steps
+from .common import filled, ship, text_steps, tidied
 
 #: Exact phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -208,4 +208,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(v, t) for v, t in zip(rows, [*arrow, span])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)

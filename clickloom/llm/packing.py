@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, written
+from .common import filled, tidied, written
 from .pretokens import IdCache
 
 CAPACITY = 2048
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(tidied(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def differencing(lengths: list[int], m: int) -> list[list[int]]:

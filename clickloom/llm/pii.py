@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, ship, text_steps
+from .common import filled, ship, text_steps, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, private boolean"
@@ -308,7 +308,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 more = [pa.array(secret, pa.int64()), pa.array(private, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *counts, digest, spans, *more], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -328,4 +328,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                     columns[count] = pa.array([len(c) if c is not None and c != t else n for c, t, n in zip(clean, texts, old)], columns[count].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
