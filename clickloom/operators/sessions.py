@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.metrics import bucket, is_type, n_if, pct, seconds, top, with_total
+from ..sources.events import AS_OF, since
 
 
 def gap_sessions(e: DataFrame, key: str = "user_id", timeout_minutes: float = 30.0) -> DataFrame:
@@ -110,7 +113,7 @@ def session_table(e: DataFrame) -> DataFrame:
     first, last = (lambda c: F.min_by(c, "ts")), (lambda c: F.max_by(c, "ts"))
     s = e.filter("session_id is not null").groupBy("session_id", "user_id").agg(
         F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("event_count"), n_if(is_type("pageview")).alias("pageviews"), n_if(is_type("click")).alias("clicks"),
-        n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("conversion")).alias("conversions"), F.count_distinct("url").alias("unique_pages"), first("url").alias("landing_page"), last("url").alias("exit_page"),
+        n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("dwell")).alias("dwells"), n_if(is_type("conversion")).alias("conversions"), F.count_distinct("url").alias("unique_pages"), first("url").alias("landing_page"), last("url").alias("exit_page"),
         first("network").alias("network"), first("campaign_id").alias("campaign_id"), first("creative_id").alias("creative_id"), first("device_type").alias("device_type"),
         F.coalesce(F.sum("dwell_time_ms"), F.lit(0)).alias("dwell_ms"), F.max("scroll_depth_pct").alias("max_scroll_pct"),
     )
@@ -122,26 +125,48 @@ def session_table(e: DataFrame) -> DataFrame:
 DURATIONS = [(10, "0-10s"), (30, "10-30s"), (60, "30-60s"), (180, "1-3m"), (300, "3-5m")]
 
 
-def session_daily(e: DataFrame) -> DataFrame:
-    s = session_table(e).withColumn("date", F.to_date("session_start"))
-    return s.groupBy("date", "network").agg(
-        F.count("*").alias("sessions"), F.count_distinct("user_id").alias("users"), F.round(F.avg("duration_seconds"), 2).alias("avg_duration_seconds"), F.round(F.avg("pageviews"), 2).alias("avg_pageviews"),
-        pct(n_if(F.col("is_bounce")), F.count("*")).alias("bounce_rate_pct"), pct(n_if(F.col("converted")), F.count("*")).alias("conversion_rate_pct"),
+def recent_sessions(e: DataFrame, days: int, as_of: dt.date) -> DataFrame:
+    """The sessions that began in the last days before a day (or on it), whole."""
+    start = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)
+    return session_table(e).filter(F.col("session_start") >= F.lit(start).cast("timestamp_ntz"))
+
+
+def session_rows(e: DataFrame, as_of: dt.date = AS_OF, days: int = 7) -> DataFrame:
+    """The sessions table of the last days' events."""
+    return session_table(since(e, days, as_of))
+
+
+def session_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+    """Totals, conversions, bounces and depth of each day and network."""
+    s = recent_sessions(e, 90, as_of).groupBy(F.to_date("session_start").alias("date"), "network")
+    won, bounced = n_if(F.col("converted")), n_if(F.col("is_bounce"))
+    return s.agg(
+        F.count("*").alias("sessions"), F.sum("pageviews").alias("total_pageviews"), F.sum("clicks").alias("total_clicks"), F.sum("scrolls").alias("total_scroll_events"), F.sum("dwells").alias("total_dwell_events"),
+        won.alias("converted_sessions"), pct(won, F.count("*")).alias("conversion_rate_pct"), F.round(F.avg("duration_seconds"), 4).alias("avg_duration_seconds"),
+        bounced.alias("bounces"), pct(bounced, F.count("*")).alias("bounce_rate_pct"), F.round(F.avg("unique_pages"), 4).alias("avg_depth"),
     )
 
 
-def session_funnel(e: DataFrame) -> DataFrame:
-    """Landing, engaged, browsing (three pages or more) and converted sessions of each network."""
-    s = session_table(e)
-    return s.groupBy("network").agg(
-        F.count("*").alias("landed"), n_if((F.col("clicks") > 0) | (F.col("scrolls") > 0)).alias("engaged"), n_if(F.col("unique_pages") >= 3).alias("browsing"), n_if(F.col("converted")).alias("converted"),
+def session_funnel(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+    """Sessions of each day, network and campaign with a page view, a click, three pages, a conversion."""
+    g = recent_sessions(e, 30, as_of).groupBy(F.to_date("session_start").alias("date"), "network", "campaign_id").agg(
+        n_if(F.col("pageviews") >= 1).alias("landing_sessions"), n_if(F.col("clicks") >= 1).alias("engaged_sessions"),
+        n_if(F.col("unique_pages") >= 3).alias("browsing_sessions"), n_if(F.col("converted")).alias("converted_sessions"),
     )
+    return g.withColumns({
+        "landing_to_engagement_pct": pct("engaged_sessions", "landing_sessions"), "engagement_to_browsing_pct": pct("browsing_sessions", "engaged_sessions"),
+        "browsing_to_conversion_pct": pct("converted_sessions", "browsing_sessions"),
+    })
 
 
-def session_quality(e: DataFrame) -> DataFrame:
-    s = session_table(e)
-    g = s.groupBy(bucket(F.col("duration_seconds"), DURATIONS, "5m+").alias("duration_bucket"))
-    return g.agg(F.count("*").alias("sessions"), F.round(F.avg("pageviews"), 2).alias("avg_pageviews"), pct(n_if(F.col("converted")), F.count("*")).alias("conversion_rate_pct"))
+def session_quality(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+    """Conversions, bounces and depth of sessions by network, campaign and duration."""
+    g = recent_sessions(e, 30, as_of).groupBy("network", "campaign_id", bucket(F.col("duration_seconds"), DURATIONS, "5m+").alias("duration_bucket"))
+    won, bounced = n_if(F.col("converted")), n_if(F.col("is_bounce"))
+    return g.agg(
+        F.count("*").alias("sessions"), won.alias("conversions"), pct(won, F.count("*")).alias("conversion_rate_pct"), F.round(F.avg("unique_pages"), 4).alias("avg_depth"),
+        bounced.alias("bounces"), pct(bounced, F.count("*")).alias("bounce_rate_pct"),
+    )
 
 
 def live_sessions(stream: DataFrame, timeout: str = "30 minutes", late: str = "30 minutes") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.metrics import bucket, days, is_type, n_if, pct, seconds, top, with_total
+from ..schema import DEFAULTS, EVENTS, VERSIONS, columns_of, evolved
 from ..sources.events import AS_OF, since
 from .engagement import click_rates, clicks, views
 
@@ -39,21 +40,27 @@ def network_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
 
 
 def compatible(e: DataFrame) -> DataFrame:
-    """Defaults for columns that older files lack."""
-    fill = {"referrer": "", "referrer_network": "unknown", "device_type": "unknown", "quality_score": 1.0, "bot_probability": 0.0, "fraud_score": 0.0, "is_valid": True, "is_verified": True}
-    return e.select("event_id", "ts", "type", "network", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()])
+    """All columns of the newest schema version: defaults for those that older files lack, else null."""
+    have, ts = set(e.columns), e.schema["ts"].dataType
+
+    def one(f: T.StructField) -> Column:
+        c = F.col(f.name) if f.name in have else F.lit(None).cast(ts if isinstance(f.dataType, T.TimestampType) else f.dataType)
+        return (F.coalesce(c, F.lit(DEFAULTS[f.name])) if f.name in DEFAULTS else c).alias(f.name)
+
+    return e.select(*map(one, EVENTS))
 
 
 def quality_filtered(e: DataFrame) -> DataFrame:
     """Valid, verified events of good quality; what is unknown counts as good."""
-    c = F.coalesce
-    good = c("is_valid", F.lit(True)) & c("is_verified", F.lit(True)) & (c("quality_score", F.lit(1.0)) >= 0.5) & (c("bot_probability", F.lit(0.0)) < 0.5) & (c("fraud_score", F.lit(0.0)) < 0.5)
-    return e.filter(good).select("event_id", "ts", "type", "network", "quality_score", "bot_probability", "fraud_score")
+    good = F.col("is_valid") & F.col("is_verified") & (F.col("quality_score") >= 0.5) & (F.col("bot_probability") < 0.5) & (F.col("fraud_score") < 0.5)
+    return compatible(e).filter(good).select(*[n for n, _ in columns_of(1)], "referrer", "device_type")
 
 
 def engagement_events(e: DataFrame) -> DataFrame:
-    kept = ("event_id", "ts", "network", "campaign_id", "creative_id", "headline", "type", "device_type", "scroll_depth_pct", "dwell_time_ms", "dwell_visible_pct")
-    return e.filter(is_type("scroll", "dwell", "pageview")).select(*kept, F.coalesce("quality_score", F.lit(1.0)).alias("quality_score"))
+    """Page views, scrolls and dwells with their measures; only the score has a default."""
+    kept = ("ts", "network", "campaign_id", "creative_id", "headline", "type", "device_type", "device_os", *[n for n, _ in VERSIONS[3]])
+    found = evolved(e.filter(is_type("scroll", "dwell", "pageview")).withColumn("at", F.col("ts"))).withColumn("ts", F.col("at"))
+    return found.select(*kept, F.coalesce("quality_score", F.lit(1.0)).alias("quality_score"), "attribution_touches", "attribution_days_to_convert")
 
 
 def attribution_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
@@ -63,9 +70,19 @@ def attribution_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
     )
 
 
-def column_presence(e: DataFrame) -> DataFrame:
-    """Rows that have a value in a column of each schema version."""
-    return e.agg(F.count("*").alias("total"), F.count("referrer").alias("v2"), F.count("scroll_depth_pct").alias("v3"), F.count("quality_score").alias("v4")).selectExpr("stack(4, 1, total, 2, v2, 3, v3, 4, v4) as (version, present)", "total").select("version", "present", (F.col("present") > 0).alias("available"), pct("present", "total").alias("present_pct"))
+#: Schema levels, the column that tells of each, and what is said if it has values or not; fixed values.
+LEVELS = (
+    ("V001 (base)", "referrer", "YES - Compatible", "YES - Native"),
+    ("V002 (referrer/attribution)", "referrer", "YES - Native", "NO - Missing columns"),
+    ("V003 (engagement)", "scroll_depth_pct", "YES - Native", "NO - Missing columns"),
+    ("V004 (quality)", "quality_score", "YES - Native", "NO - Missing columns"),
+)
+
+
+def column_presence(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+    """Which schema levels the events of the last day have values of."""
+    said = [F.struct(F.lit(level).alias("schema_level"), F.when(F.count(c) > 0, yes).otherwise(no).alias("status")) for level, c, yes, no in LEVELS]
+    return since(e, 1, as_of).agg(F.array(*said).alias("said")).select(F.inline("said"))
 
 
 # --- assets ----------------------------------------------------------------------------------------------------------

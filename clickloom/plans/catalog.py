@@ -88,25 +88,25 @@ def _reports() -> list[Report]:
         r("v01_campaign_daily", "view", vi.campaign_daily, **anchored),
         r("v02_creative_performance", "view", vi.creative_performance, params={"least": 10}, **anchored),
         r("v03_network_daily", "view", vi.network_daily, **anchored),
-        r("v04_daily_session_summary", "view", se.session_daily),
-        r("v05_session_funnels", "view", se.session_funnel),
-        r("v06_session_quality", "view", se.session_quality),
+        r("v04_daily_session_summary", "view", se.session_daily, **anchored),
+        r("v05_session_funnels", "view", se.session_funnel, **anchored),
+        r("v06_session_quality", "view", se.session_quality, **anchored),
         r("v07_asset_summary", "view", vi.asset_summary, **anchored),
         r("v08_top_headlines", "view", vi.asset_headlines, params={"least": 20}, **anchored),
         r("v09_asset_fatigue", "view", vi.asset_fatigue, **anchored),
         r("v10_cross_network_assets", "view", vi.cross_network_flat, params={"least": 20}, **anchored),
         r("v11_asset_trends", "view", vi.asset_trends, params={"least": 5}, **anchored),
-        r("v12_compatible", "view", vi.compatible),
-        r("v13_quality_filtered", "view", vi.quality_filtered),
-        r("v14_engagement", "view", vi.engagement_events),
+        r("v12_compatible", "view", vi.compatible, **anchored),
+        r("v13_quality_filtered", "view", vi.quality_filtered, **anchored),
+        r("v14_engagement", "view", vi.engagement_events, **anchored),
         r("v15_attribution_daily", "view", vi.attribution_daily, **anchored),
-        r("v16_column_presence", "view", vi.column_presence),
+        r("v16_column_presence", "view", vi.column_presence, **anchored),
         r("v20_network_performance", "view", vi.network_daily, **anchored),
         r("v21_top_creatives", "view", vi.top_creatives, params={"least": 2}, **anchored),
         r("v22_creative_ctr_change", "view", vi.ctr_change, params={"least": 1}, **anchored),
         r("v23_headline_fingerprints", "view", vi.headline_fingerprints, **anchored),
-        r("v24_sessions", "view", se.session_table),
-        r("v25_assets", "view", vi.assets),
+        r("v24_sessions", "view", se.session_rows, **anchored),
+        r("v25_assets", "view", vi.assets, **anchored),
         r("q01_campaign_roi", "query", vi.campaign_roi, **anchored),
         r("q02_session_histogram", "query", vi.session_histogram, **anchored),
         r("q03_session_journeys", "query", vi.session_journeys, **anchored),
@@ -114,7 +114,7 @@ def _reports() -> list[Report]:
         r("q05_session_sources", "query", vi.session_sources, **anchored),
         r("q06_engagement_levels", "query", vi.engagement_levels, **anchored),
         r("q07_link_decoration", "query", vi.link_decoration, **anchored),
-        r("q08_source_daily", "query", vi.source_daily),
+        r("q08_source_daily", "query", vi.source_daily, **anchored),
         r("q10_headline_ctr_change", "query", vi.ctr_change, params={"keys": ("tb_headline",), "least": 1, "n": 20}, **anchored),
     ]
 
@@ -130,8 +130,8 @@ def run_report(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFra
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Dates and lists as text, so that results compare across engines."""
-    text = {n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"} | {n: F.array_join(n, " > ") for n, t in df.dtypes if t.startswith("array<string")}
+    """Dates, lists and maps as text, so that results compare across engines."""
+    text = {n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"} | {n: F.array_join(n, " > ") for n, t in df.dtypes if t.startswith("array<string")} | {n: F.to_json(n) for n, t in df.dtypes if t.startswith("map<")}
     return df.withColumns(text) if text else df
 
 

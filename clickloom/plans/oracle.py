@@ -61,10 +61,21 @@ COUNTS = f"min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_c
 STAGES = """st AS (SELECT session_id, min(network) AS network, min(campaign_id) AS campaign_id, min(creative_id) AS creative_id, min(headline) AS headline, min(ts) AS a, max(ts) AS b,
   count(*) FILTER (type = 'pageview') AS views, count(*) FILTER (type = 'click') AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, count(DISTINCT url) AS pages,
   count(*) FILTER (type = 'conversion') > 0 OR count(DISTINCT url) >= 3 AS conv FROM e GROUP BY session_id)"""
-SESSIONS = f"""ses AS (SELECT session_id, user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_count, {V} AS pageviews, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls,
+BOUNCED, WON = "count(*) FILTER (is_bounce)", "count(*) FILTER (converted)"
+
+
+def sessions(where: str = "true") -> str:
+    return f"""ses AS (SELECT session_id, user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_count, {V} AS pageviews, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells,
   count(*) FILTER (type = 'conversion') AS conversions, count(DISTINCT url) AS unique_pages, arg_min(url, ts) AS landing_page, arg_max(url, ts) AS exit_page, arg_min(network, ts) AS network, arg_min(campaign_id, ts) AS campaign_id,
   arg_min(creative_id, ts) AS creative_id, arg_min(device_type, ts) AS device_type, CAST(coalesce(sum(dwell_time_ms), 0) AS BIGINT) AS dwell_ms, max(scroll_depth_pct) AS max_scroll_pct,
-  CAST(round_even({us('min(ts)', 'max(ts)')} / 1e6, 0) AS BIGINT) AS duration_seconds, count(*) = 1 AS is_bounce, count(*) FILTER (type = 'conversion') > 0 AS converted FROM e GROUP BY session_id, user_id)"""
+  CAST(round_even({us('min(ts)', 'max(ts)')} / 1e6, 0) AS BIGINT) AS duration_seconds, count(*) = 1 AS is_bounce, count(*) FILTER (type = 'conversion') > 0 AS converted FROM ev WHERE {where} GROUP BY session_id, user_id)"""
+
+#: All columns of the newest schema version; those that the tables lack are null or have their default.
+COMPATIBLE = """c AS (SELECT ts, NULL::VARCHAR AS ip, NULL::VARCHAR AS ua, url, type, session_id, user_id, NULL::VARCHAR AS cookie_id, network, campaign_id, NULL::VARCHAR AS campaign_name, creative_id, headline, image_id, NULL::VARCHAR AS item_id, NULL::VARCHAR AS params,
+  coalesce(referrer, '') AS referrer, coalesce(referrer_network, 'unknown') AS referrer_network, NULL::VARCHAR AS attribution_campaign_id, NULL::VARCHAR AS attribution_creative_id, 0::BIGINT AS attribution_touches, 0::BIGINT AS attribution_days_to_convert,
+  coalesce(device_type, 'unknown') AS device_type, 'unknown' AS device_os, 'unknown' AS device_browser, scroll_depth_pct, NULL::BIGINT AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, NULL::BIGINT AS viewport_width, NULL::BIGINT AS viewport_height,
+  CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, CAST(coalesce(bot_probability, 0) AS DOUBLE) AS bot_probability, CAST(coalesce(fraud_score, 0) AS DOUBLE) AS fraud_score, coalesce(is_valid, true) AS is_valid, coalesce(is_verified, true) AS is_verified,
+  NULL::VARCHAR AS validation_reason, NULL::TIMESTAMP AS enriched_at, NULL::VARCHAR AS enrichment_version FROM ev)"""
 
 
 def assets(source: str) -> str:
@@ -225,9 +236,10 @@ count(*) FILTER (x BETWEEN 30 AND 120) AS between_30s_2m, count(*) FILTER (x > 1
     "v01_campaign_daily": f" SELECT day AS date, network, campaign_id, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, count(DISTINCT session_id) AS sessions, count(DISTINCT creative_id) AS creatives, {CTR} AS ctr_pct, {p('count(*) FILTER (type = ' + chr(39) + 'scroll' + chr(39) + ')', C)} AS scroll_rate_pct FROM ev WHERE {last(90)} GROUP BY 1, 2, 3",
     "v02_creative_performance": clicks_by(f"(SELECT * FROM ev WHERE {last(30)})", "network, creative_id, headline, image_id", ", count(DISTINCT campaign_id) AS campaigns", "views >= 10"),
     "v03_network_daily": _NETWORK_DAILY,
-    "v04_daily_session_summary": f", {SESSIONS} SELECT CAST(session_start AS DATE) AS date, network, count(*) AS sessions, count(DISTINCT user_id) AS users, round(avg(duration_seconds), 2) AS avg_duration_seconds, round(avg(pageviews), 2) AS avg_pageviews, {p('count(*) FILTER (is_bounce)', 'count(*)')} AS bounce_rate_pct, {p('count(*) FILTER (converted)', 'count(*)')} AS conversion_rate_pct FROM ses GROUP BY 1, 2",
-    "v05_session_funnels": f", {SESSIONS} SELECT network, count(*) AS landed, count(*) FILTER (clicks > 0 OR scrolls > 0) AS engaged, count(*) FILTER (unique_pages >= 3) AS browsing, count(*) FILTER (converted) AS converted FROM ses GROUP BY 1",
-    "v06_session_quality": f", {SESSIONS} SELECT {case('duration_seconds', [(10, '0-10s'), (30, '10-30s'), (60, '30-60s'), (180, '1-3m'), (300, '3-5m')], '5m+')} AS duration_bucket, count(*) AS sessions, round(avg(pageviews), 2) AS avg_pageviews, {p('count(*) FILTER (converted)', 'count(*)')} AS conversion_rate_pct FROM ses GROUP BY 1",
+    "v04_daily_session_summary": f", {sessions()} SELECT CAST(session_start AS DATE) AS date, network, count(*) AS sessions, {n('pageviews')} AS total_pageviews, {n('clicks')} AS total_clicks, {n('scrolls')} AS total_scroll_events, {n('dwells')} AS total_dwell_events, {WON} AS converted_sessions, {p(WON, 'count(*)')} AS conversion_rate_pct, round(avg(duration_seconds), 4) AS avg_duration_seconds, {BOUNCED} AS bounces, {p(BOUNCED, 'count(*)')} AS bounce_rate_pct, round(avg(unique_pages), 4) AS avg_depth FROM ses WHERE session_start >= DATE '2024-01-31' - 90 GROUP BY 1, 2",
+    "v05_session_funnels": f""", {sessions()}, f AS (SELECT CAST(session_start AS DATE) AS date, network, campaign_id, count(*) FILTER (pageviews >= 1) AS landing_sessions, count(*) FILTER (clicks >= 1) AS engaged_sessions, count(*) FILTER (unique_pages >= 3) AS browsing_sessions, {WON} AS converted_sessions FROM ses WHERE session_start >= DATE '2024-01-31' - 30 GROUP BY 1, 2, 3)
+SELECT *, {p('engaged_sessions', 'landing_sessions')} AS landing_to_engagement_pct, {p('browsing_sessions', 'engaged_sessions')} AS engagement_to_browsing_pct, {p('converted_sessions', 'browsing_sessions')} AS browsing_to_conversion_pct FROM f""",
+    "v06_session_quality": f", {sessions()} SELECT network, campaign_id, {case('duration_seconds', [(10, '0-10s'), (30, '10-30s'), (60, '30-60s'), (180, '1-3m'), (300, '3-5m')], '5m+')} AS duration_bucket, count(*) AS sessions, {WON} AS conversions, {p(WON, 'count(*)')} AS conversion_rate_pct, round(avg(unique_pages), 4) AS avg_depth, {BOUNCED} AS bounces, {p(BOUNCED, 'count(*)')} AS bounce_rate_pct FROM ses WHERE session_start >= DATE '2024-01-31' - 30 GROUP BY 1, 2, 3",
     "v07_asset_summary": f""", {assets('ev')} SELECT network, kind, count(*) AS total_assets, {n('total_views')} AS views, {n('total_clicks')} AS clicks, {p('sum(total_clicks)', 'sum(total_views)')} AS overall_ctr, {n('total_conversions')} AS conversions, {p('sum(total_conversions)', 'sum(total_sessions)')} AS overall_conversion_rate,
 round(avg(avg_quality_score), 4) AS quality, count(*) FILTER (first_seen >= DATE '2024-01-24') AS new_assets_7d, count(*) FILTER (last_seen >= DATE '2024-01-24') AS active_assets_7d FROM ast WHERE first_seen >= DATE '2023-11-02' GROUP BY 1, 2""",
     "v08_top_headlines": f", {assets('ev')} SELECT network, asset_id, content AS headline, total_views, total_clicks, {p('total_clicks', 'total_views')} AS ctr, total_conversions, campaign_count, first_seen, last_seen FROM ast WHERE kind = 'headline' AND last_seen >= DATE '2024-01-01' AND total_views >= 20",
@@ -240,18 +252,19 @@ SELECT g.*, b.network AS one_network, {p('total_clicks', 'total_views')} AS one_
     "v11_asset_trends": f""", g AS (SELECT headline, network, {C} AS clicks_total, {V} AS views_total, count(*) FILTER (type = 'click' AND day >= DATE '2024-01-24') AS clicks_7d, count(*) FILTER (type = 'pageview' AND day >= DATE '2024-01-24') AS views_7d,
   count(*) FILTER (type = 'click' AND day >= DATE '2024-01-17' AND day < DATE '2024-01-24') AS clicks_7d_prev, count(*) FILTER (type = 'pageview' AND day >= DATE '2024-01-17' AND day < DATE '2024-01-24') AS views_7d_prev FROM ev WHERE {last(30)} GROUP BY 1, 2 HAVING views_7d >= 5)
 SELECT *, {p('clicks_7d', 'views_7d')} AS ctr_7d, {p('clicks_7d_prev', 'views_7d_prev')} AS ctr_7d_prev, CASE WHEN views_7d_prev > 0 THEN round(100.0::DOUBLE * (CAST(clicks_7d AS DOUBLE) / views_7d) / nullif(CAST(clicks_7d_prev AS DOUBLE) / views_7d_prev, 0) - 100, 2) END AS ctr_trend_pct, {p('clicks_total', 'views_total')} AS ctr_overall FROM g""",
-    "v12_compatible": " SELECT event_id, ts, type, network, coalesce(referrer, '') AS referrer, coalesce(referrer_network, 'unknown') AS referrer_network, device_type, CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, CAST(coalesce(bot_probability, 0) AS DOUBLE) AS bot_probability, CAST(coalesce(fraud_score, 0) AS DOUBLE) AS fraud_score, coalesce(is_valid, true) AS is_valid, coalesce(is_verified, true) AS is_verified FROM e",
-    "v13_quality_filtered": " SELECT event_id, ts, type, network, CAST(quality_score AS DOUBLE) AS quality_score, CAST(bot_probability AS DOUBLE) AS bot_probability, CAST(fraud_score AS DOUBLE) AS fraud_score FROM e WHERE is_valid IS NOT false AND is_verified IS NOT false AND (quality_score IS NULL OR quality_score >= 0.5) AND (bot_probability IS NULL OR bot_probability < 0.5) AND (fraud_score IS NULL OR fraud_score < 0.5)",
-    "v14_engagement": " SELECT event_id, ts, network, campaign_id, creative_id, headline, type, device_type, scroll_depth_pct, dwell_time_ms, dwell_visible_pct, CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score FROM e WHERE type IN ('scroll', 'dwell', 'pageview')",
+    "v12_compatible": f", {COMPATIBLE} SELECT * FROM c",
+    "v13_quality_filtered": f", {COMPATIBLE} SELECT ts, ip, ua, url, type, session_id, user_id, cookie_id, network, campaign_id, campaign_name, creative_id, headline, image_id, item_id, params, referrer, device_type FROM c WHERE is_valid AND is_verified AND quality_score >= 0.5 AND bot_probability < 0.5 AND fraud_score < 0.5",
+    "v14_engagement": " SELECT ts, network, campaign_id, creative_id, headline, type, device_type, CAST(NULL AS VARCHAR) AS device_os, scroll_depth_pct, CAST(NULL AS BIGINT) AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, CAST(NULL AS BIGINT) AS viewport_width, CAST(NULL AS BIGINT) AS viewport_height, CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, CAST(NULL AS BIGINT) AS attribution_touches, CAST(NULL AS BIGINT) AS attribution_days_to_convert FROM ev WHERE type IN ('scroll', 'dwell', 'pageview')",
     "v15_attribution_daily": f" SELECT day AS date, network, campaign_id, creative_id, headline, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, count(DISTINCT device_type) AS device_types, round(avg(CAST(coalesce(quality_score, 1) AS DOUBLE)), 6) AS avg_quality_score, count(*) FILTER (bot_probability > 0.5) AS bot_count, min(ts) AS first_event, max(ts) AS last_event FROM ev WHERE {last(90)} GROUP BY 1, 2, 3, 4, 5",
-    "v16_column_presence": f""", t AS (SELECT count(*) AS total, count(referrer) AS v2, count(scroll_depth_pct) AS v3, count(quality_score) AS v4 FROM e), u AS (SELECT 1 AS version, total AS present, total FROM t UNION ALL SELECT 2, v2, total FROM t UNION ALL SELECT 3, v3, total FROM t UNION ALL SELECT 4, v4, total FROM t)
-SELECT version, present, present > 0 AS available, {p('present', 'total')} AS present_pct FROM u""",
+    "v16_column_presence": f""", t AS (SELECT count(referrer) > 0 AS a, count(scroll_depth_pct) > 0 AS b, count(quality_score) > 0 AS c FROM ev WHERE {last(1)}),
+u(schema_level, has, yes, no) AS (SELECT 'V001 (base)', a, 'YES - Compatible', 'YES - Native' FROM t UNION ALL SELECT 'V002 (referrer/attribution)', a, 'YES - Native', 'NO - Missing columns' FROM t UNION ALL SELECT 'V003 (engagement)', b, 'YES - Native', 'NO - Missing columns' FROM t
+UNION ALL SELECT 'V004 (quality)', c, 'YES - Native', 'NO - Missing columns' FROM t) SELECT schema_level, CASE WHEN has THEN yes ELSE no END AS status FROM u""",
     "v20_network_performance": _NETWORK_DAILY,
     "v21_top_creatives": f" SELECT network, headline, creative_id, {C} AS clicks, {V} AS views, {CTR} AS ctr_pct, count(DISTINCT campaign_id) AS campaigns_used, min(ts) AS first_seen, max(ts) AS last_seen FROM ev WHERE {last(7)} GROUP BY 1, 2, 3 HAVING clicks >= 2 ORDER BY clicks DESC, network, headline, creative_id LIMIT 100",
     "v22_creative_ctr_change": ", " + ctr_change("network, creative_id, headline", "true", 50),
     "v23_headline_fingerprints": f" SELECT regexp_replace(lower(headline), '[^a-z0-9\\s]', '', 'g') AS normalized_headline, count(DISTINCT network) AS num_networks, array_to_string(list_sort(list(DISTINCT network)), ',') AS networks, {C} AS total_clicks, {V} AS total_views, {CTR} AS overall_ctr FROM ev WHERE {last(14)} GROUP BY 1 HAVING num_networks > 1 AND total_clicks >= 20 ORDER BY total_clicks DESC, 1 LIMIT 50",
-    "v24_sessions": f", {SESSIONS} SELECT * FROM ses",
-    "v25_assets": f", {assets('e')} SELECT * FROM ast",
+    "v24_sessions": f", {sessions(last(7))} SELECT * FROM ses",
+    "v25_assets": f", {assets('ev')} SELECT * FROM ast",
     "q01_campaign_roi": f", g AS (SELECT campaign_id AS campaign, utm_source AS source, utm_medium AS medium, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'conversion') AS conversions, CAST(coalesce(sum(revenue) FILTER (type = 'conversion'), 0) AS DOUBLE) AS revenue FROM ev WHERE {last(30)} GROUP BY 1, 2, 3) SELECT *, round(revenue / nullif(clicks, 0), 2) AS revenue_per_click FROM g ORDER BY revenue DESC, campaign, source NULLS LAST, medium NULLS LAST LIMIT 20",
     "q02_session_histogram": f", {session_counts()} SELECT pageviews, clicks, scrolls, dwells, round(avg(minutes), 2) AS avg_duration_minutes, count(*) AS num_sessions FROM sc GROUP BY 1, 2, 3, 4 ORDER BY num_sessions DESC, 1, 2, 3, 4 LIMIT 20",
     "q03_session_journeys": f" SELECT session_id, user_id, string_agg(url, ' -> ' ORDER BY ts) AS journey, count(*) AS events, min(ts) AS session_start, max(ts) AS session_end FROM ev WHERE {last(7)} GROUP BY 1, 2 HAVING events >= 2 ORDER BY events DESC, session_id LIMIT 50",
@@ -259,14 +272,14 @@ SELECT version, present, present > 0 AS available, {p('present', 'total')} AS pr
     "q05_session_sources": f", s AS (SELECT session_id, utm_source AS source, campaign_id AS campaign, utm_medium AS medium, min(day) AS d FROM ev WHERE {last(7)} GROUP BY 1, 2, 3, 4) SELECT source, campaign, medium, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (d >= DATE '2024-01-30') AS sessions_last_day FROM s GROUP BY 1, 2, 3 ORDER BY sessions DESC, 1 NULLS LAST, 2, 3 NULLS LAST LIMIT 20",
     "q06_engagement_levels": f", {session_counts()}, g AS (SELECT CASE WHEN pageviews >= 5 AND minutes >= 5 THEN 'high' WHEN pageviews >= 3 OR minutes >= 2 THEN 'medium' WHEN pageviews >= 2 THEN 'low' ELSE 'bounce' END AS engagement_level, count(*) AS num_sessions, round(avg(pageviews), 2) AS avg_pageviews, round(avg(clicks), 2) AS avg_clicks, round(avg(minutes), 2) AS avg_duration_minutes FROM sc GROUP BY 1) SELECT *, {p('num_sessions', '(SELECT sum(num_sessions) FROM g)')} AS pct_sessions FROM g",
     "q07_link_decoration": f", {session_counts()} SELECT {case('urls', [(2, 'single_page'), (4, 'multi_page_low')], 'multi_page_high')} AS session_type, count(*) AS num_sessions, round(avg(events), 2) AS avg_events_per_session FROM sc GROUP BY 1",
-    "q08_source_daily": f", d AS (SELECT day AS date, utm_source AS source, campaign_id, {V} AS v, {C} AS c, count(DISTINCT session_id) AS s FROM e GROUP BY 1, 2, 3) SELECT date, source, count(DISTINCT campaign_id) AS active_campaigns, {n('v')} AS total_views, {n('c')} AS total_clicks, {p('sum(c)', 'sum(v)')} AS overall_ctr, {n('s')} AS total_sessions FROM d GROUP BY 1, 2",
+    "q08_source_daily": f", d AS (SELECT day AS date, utm_source AS source, campaign_id, {V} AS v, {C} AS c, count(DISTINCT session_id) AS s FROM ev GROUP BY 1, 2, 3) SELECT date, source, count(DISTINCT campaign_id) AS active_campaigns, {n('v')} AS total_views, {n('c')} AS total_clicks, {p('sum(c)', 'sum(v)')} AS overall_ctr, {n('s')} AS total_sessions FROM d GROUP BY 1, 2",
     "q10_headline_ctr_change": ", " + ctr_change("tb_headline", "tb_headline IS NOT NULL", 20),
 }
 
 
 #: Columns that hold dates or lists: the registered queries give them as text.
 DATES: dict[str, str] = {
-    **dict.fromkeys("r01_daily_summary c03_ctr_network_daily c04_ctr_matrix c14_funnel_daily v01_campaign_daily v03_network_daily v04_daily_session_summary v15_attribution_daily v20_network_performance q08_source_daily".split(), "date"),
+    **dict.fromkeys("r01_daily_summary c03_ctr_network_daily c04_ctr_matrix c14_funnel_daily v01_campaign_daily v03_network_daily v04_daily_session_summary v05_session_funnels v15_attribution_daily v20_network_performance q08_source_daily".split(), "date"),
     "r10a_creative_fatigue": "recommended_rotation_date",
     "c02_ctr_creative": "first_day last_day",
     "v08_top_headlines": "first_seen last_seen",
