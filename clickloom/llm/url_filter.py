@@ -50,15 +50,23 @@ def longest_rule(host: Column, path: Column, value) -> Column:
     return F.coalesce(*[F.when(f, F.lit(value(*r))) for f, r in zip(fits, ordered)])
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its "." and ".." parts resolved."""
+    none = F.array().cast("array<string>")
+    step = lambda kept, part: F.when(part == ".", kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(part)))
+    folder = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.contains("/."), F.concat(F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"), folder)).otherwise(path)
+
+
 def address(rest: Column) -> Column:
-    """The node of an address: host, path and query, without scheme and fragment."""
-    path = path_of(rest)
+    """The node of an address: host, path and query, without scheme and fragment; dots in the path resolved."""
+    path = without_dots(path_of(rest))
     query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
     return F.concat(host_of(rest), F.when(path == "", F.lit("/")).otherwise(path), query)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): addresses of pages and of their canonical links and meta refreshes."""
+    """(a, b): addresses of pages and of their canonical links and meta refreshes, if not in comments or scripts."""
     url, page = F.col("url"), F.col("html")
     attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
     value = lambda text: F.regexp_replace(F.regexp_replace(text, r"(?is)^[^=]*=\s*[\"']?", ""), r"[\"']$", "")
@@ -66,7 +74,8 @@ def page_edges(pages: DataFrame) -> DataFrame:
     refresh = F.regexp_extract(page, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>", 0)
     later = F.regexp_extract(value(attribute(refresh, "content")), r"(?is)\burl\s*=\s*[\"']?([^\"']+)", 1)
     links = pages.filter(url.isNotNull() & page.isNotNull() & page.rlike(r"(?i)canonical|http-equiv"))
-    links = links.select(url.alias("url"), F.explode(F.array(value(attribute(canonical, "href")), later)).alias("to"))
+    links = links.select(url, F.regexp_replace(page, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?</\1\s*>", " ").alias("html"))
+    links = links.select("url", F.explode(F.array(value(attribute(canonical, "href")), later)).alias("to"))
     links = links.select("url", F.regexp_replace(F.trim("to"), "&amp;", "&").alias("to")).filter("to != '' and instr(url, '://') > 0")
     links = written(links, "canonical")
 

@@ -790,10 +790,15 @@ def test_url_aliases(spark):
         (7, "http://d.com/x", "<p>no links, though canonical"),
         (8, "http://e.com/x", link("http://evil.net/r")),
         (9, "http://e.org/fr/x", link("http://evil.net/r")),  # an explicit allow among the aliases
+        (10, "http://f.com/x", "<!-- " + link("http://evil.net/t") + " --><script>'" + link("http://evil.net/t") + "'</script>"),
+        (11, "http://g.com/a/b/x", link("../y")),
+        (12, "http://g.com/a/./c/../y", link("http://evil.net/u")),
+        (12, "http://g.com/a/./c/../y", link("http://evil.net/u")),  # a repeated row
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow"}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "block", 12: "block"}
+    assert url_filter.judge(pages).count() == len(rows)
     more = spark.createDataFrame([("http://d.com/x", "http://evil.net/s"), (None, "x")], "source string, target string")
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, more).collect()}[7] == "block"
 
