@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, html_text, jaccard, langid, licenses, packing, pii, topk, url_filter
+from . import bpe, codes, fill_middle, fingerprint, html_text, jaccard, langid, licenses, packing, pii, topk, url_filter
 from .common import table
 
 
@@ -58,6 +58,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,9 +79,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_packing,
         op10_url_filter,
+        op11_vector_codes,
+        op13_fill_middle,
     )
 }
 
+def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The rounds of op11 one after the other, each from all parts anew."""
+    apart = "CAST(list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(parts.v, b.v)]) AS BIGINT)"
+    steps = [
+        f"""kept AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS (
+  SELECT vec_id, label, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS v FROM kept, range({parts}) AS t(p)
+), firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}),
+b0 AS (SELECT p, entry, v FROM parts JOIN firsts USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, p, any_value(label) AS label, any_value(v) AS v, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT vec_id, label, parts.p, parts.v, entry, {apart} AS d FROM parts JOIN b{r} b ON b.p = parts.p) GROUP BY vec_id, p
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT p, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+  FROM (SELECT p, entry, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, 4096) AS t(i) WHERE i <= len(v) GROUP BY p, entry, i) GROUP BY p, entry
+), b{r + 1} AS (SELECT b.p, b.entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.entry = b.entry)""")
+    return f"""WITH {", ".join(steps)},
+rows AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, entry)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM rows, books"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
@@ -115,5 +154,21 @@ fits AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
 )
 SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id AND r = 1
+""",
+    "op11_vector_codes": vector_codes_sql(),
+    "op13_fill_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, t, u, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM units
+), places AS (
+  SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), pieces AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM places
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM pieces
 """,
 }
