@@ -86,6 +86,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for files that tasks write themselves; it goes with the written tables."""
+    if not _TABLES:
+        atexit.register(release, spark)
+    path = f"{shared_dir(spark)}/clickloom-{name}-{uuid.uuid4().hex}"
+    _TABLES.add(path)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, codes, fill_middle, fingerprint, html_text, jaccard, langid, licenses, packing, pii, topk, url_filter
+from . import bpe, codes, fill_middle, fingerprint, html_text, jaccard, langid, licenses, lm, packing, pii, topk, url_filter
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(table(spark, sf_dir, "documents"), order=2)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_url_filter,
         op11_vector_codes,
+        op12_lm_scores,
         op13_fill_middle,
     )
 }
