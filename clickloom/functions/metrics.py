@@ -20,6 +20,13 @@ def pct(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     return F.round(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), digits)
 
 
+def ratio(part: Column, whole: Column, digits: int = 2) -> Column:
+    """part / whole of whole numbers, rounded half away from zero without going through a fraction; null for an empty whole."""
+    whole = F.nullif(whole.cast("long"), F.lit(0).cast("long"))
+    scaled = F.abs(part.cast("long")) * F.lit(2 * 10**digits) + whole
+    return F.signum(part.cast("double")) * F.call_function("div", scaled, 2 * whole) / F.lit(float(10**digits))
+
+
 def ctr(digits: int = 2) -> Column:
     """Click-through rate of the grouped events in per cent."""
     return pct(n_if(is_type("click")), n_if(is_type("pageview")), digits)
@@ -44,6 +51,12 @@ def days(a: Column, b: Column) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", a, b) / F.lit(86_400_000_000.0)).cast("long")
 
 
+def rank_in(column: Column | str, labels: list[str]) -> Column:
+    """The place of a label in a list, to sort by; others come last."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(*[F.when(column == label, i) for i, label in enumerate(labels)], F.lit(len(labels)))
+
+
 def bucket(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
     """The label of the first edge above the value, else the last label."""
     out = None

@@ -54,8 +54,8 @@ def linear(e: DataFrame, normalized: bool = False) -> DataFrame:
     return labelled(g, "a", "touched_sessions", F.round("a", 6).alias("attributed_conversions"), F.round("m", 6).alias("attributed_revenue"))
 
 
-def multi_touch(e: DataFrame, goals: tuple[str, ...] = ("conversion", "purchase", "signup"), n: int = 1000) -> DataFrame:
-    """Every session of a user that began before a goal, in order, with the days up to it."""
+def multi_touch(e: DataFrame, goals: tuple[str, ...] = ("conversion", "purchase", "signup"), n: int | None = None) -> DataFrame:
+    """Every session of a user that began before a goal, in order, with the days up to it; all of them, or the n first by user."""
     first = F.min_by(F.struct("network", "campaign_id", "creative_id", "url", F.col("type").alias("event_type")), "ts")
     t = e.filter("user_id is not null").groupBy("user_id", "session_id").agg(first.alias("f"), F.min("ts").alias("session_ts")).select("user_id", "session_id", "f.*", "session_ts")
     c = e.filter(F.col("type").isin(*goals)).groupBy("user_id", "session_id", F.col("type").alias("conversion_type")).agg(F.min("ts").alias("conversion_ts")).drop("session_id")
@@ -66,7 +66,7 @@ def multi_touch(e: DataFrame, goals: tuple[str, ...] = ("conversion", "purchase"
         "days_to_conversion": days(F.col("session_ts"), F.col("conversion_ts")),
     })
     j = j.withColumns({"attribution_model_first": F.when(F.col("touch_position") == 1, "first_touch"), "attribution_model_last": F.when(F.col("touch_position") == F.col("total_touches"), "last_touch")})
-    return top(j, n, F.asc("user_id"), F.asc("touch_position"))
+    return j if n is None else top(j, n, F.asc("user_id"), F.asc("touch_position"))
 
 
 def cohorts(e: DataFrame, by: str = "network") -> DataFrame:

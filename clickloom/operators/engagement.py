@@ -6,11 +6,10 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.metrics import bucket, ctr, is_type, n_if, pct, top, with_total
+from ..functions.metrics import bucket, ctr, is_type, n_if, pct, rank_in, top, with_total
 from ..sources.events import AS_OF, since
 
 
-
 def views() -> Column:
     return n_if(is_type("pageview"))
 
@@ -83,25 +82,27 @@ def click_rates(e: DataFrame, keys: list[Column], least: int = 0, *more: Column)
     return e.groupBy(*keys).agg(views().alias("views"), clicks().alias("clicks"), ctr().alias("ctr_pct"), *more).filter(F.col("views") >= least)
 
 
-def ctr_campaign(e: DataFrame) -> DataFrame:
-    g = click_rates(e.filter("campaign_id is not null"), ["network", "campaign_id"], 10, F.count_distinct("session_id").alias("sessions"), F.count_distinct("creative_id").alias("creatives"))
-    return top(g, 100, F.desc("clicks"), F.asc("network"), F.asc("campaign_id"))
+def ctr_campaign(e: DataFrame, least: int = 10) -> DataFrame:
+    more = (F.count_distinct("session_id").alias("unique_sessions"), F.count_distinct("user_id").alias("unique_users"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    g = click_rates(e.filter("campaign_id is not null"), ["network", "campaign_id", "campaign_name"], least, *more)
+    return top(g, 100, F.desc("clicks"), F.asc("network"), F.asc("campaign_id"), F.asc_nulls_last("campaign_name"))
 
 
-def ctr_creative(e: DataFrame) -> DataFrame:
-    g = click_rates(e.filter("creative_id is not null"), ["network", "campaign_id", "creative_id", "headline"], 20, F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    return top(g, 50, F.desc("ctr_pct"), F.asc("network"), F.asc("campaign_id"), F.asc("creative_id"), F.asc("headline"))
+def ctr_creative(e: DataFrame, least: int = 20) -> DataFrame:
+    keys = ["network", "creative_id", "headline", "image_id"]
+    g = click_rates(e.filter("creative_id is not null"), keys, least, F.count_distinct("campaign_id").alias("num_campaigns"), F.count_distinct("session_id").alias("unique_sessions"))
+    return top(g, 50, F.desc("ctr_pct"), F.desc("clicks"), *map(F.asc, keys))
 
 
 def ctr_network_daily(e: DataFrame) -> DataFrame:
     return click_rates(e, [F.col("day").alias("date"), "network"], 0, F.count_distinct("campaign_id").alias("active_campaigns"), F.count_distinct("creative_id").alias("active_creatives"))
 
 
-def ctr_matrix(e: DataFrame) -> DataFrame:
-    """Daily CTR of each creative of a campaign with its views so far."""
+def ctr_matrix(e: DataFrame, least: int = 5) -> DataFrame:
+    """Daily CTR of each creative of a campaign, with its views so far on the days that have enough of them."""
     g = e.filter("campaign_id is not null and creative_id is not null").groupBy("campaign_id", "creative_id", "headline", F.col("day").alias("date"))
-    g = g.agg(views().alias("views"), clicks().alias("clicks"), ctr().alias("ctr_pct")).filter("views >= 1")
-    so_far = W.partitionBy("campaign_id", "creative_id", "headline").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    g = g.agg(views().alias("views"), clicks().alias("clicks"), ctr().alias("ctr_pct")).filter(F.col("views") >= least)
+    so_far = W.partitionBy("campaign_id", "creative_id").orderBy("date", F.asc_nulls_last("headline")).rowsBetween(W.unboundedPreceding, W.currentRow)
     return g.withColumn("cumulative_views", F.sum("views").over(so_far))
 
 
@@ -161,4 +162,5 @@ def dwell_inferred(e: DataFrame) -> DataFrame:
 def dwell_histogram(e: DataFrame) -> DataFrame:
     d = e.filter("type = 'dwell' and dwell_time_ms is not null")
     g = d.groupBy(bucket(F.col("dwell_time_ms"), DWELL_BUCKETS, "5m+").alias("dwell_bucket")).agg(F.count("*").alias("dwell_events"), F.count_distinct("session_id").alias("unique_sessions"))
-    return with_total(g, "unique_sessions", "t").select("dwell_bucket", "dwell_events", "unique_sessions", pct("unique_sessions", "t", 1).alias("session_pct"))
+    g = with_total(g, "unique_sessions", "t").select("dwell_bucket", "dwell_events", "unique_sessions", pct("unique_sessions", "t", 1).alias("session_pct"))
+    return g.orderBy(rank_in("dwell_bucket", [*[label for _, label in DWELL_BUCKETS], "5m+"]))

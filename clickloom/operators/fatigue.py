@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.metrics import days, is_type, n_if, top
-from ..sources.events import AS_OF, since
+from ..sources.events import AS_OF, at, since
 
 CREATIVE = ("creative_key", "creative_id", "headline", "image_id", "network")
 
@@ -85,5 +85,4 @@ def silent_campaigns(e: DataFrame, as_of: dt.date = AS_OF, hours: int = 24) -> D
     """Campaigns with events in the last week but none in the last hours."""
     now = dt.datetime.combine(as_of, dt.time())
     g = since(e, 7, as_of).groupBy(F.col("campaign_id").alias("campaign")).agg(F.max("ts").alias("last_event"), F.count("*").alias("total_events"))
-    at = F.lit(now).cast("timestamp_ntz")
-    return g.filter(F.col("last_event") < F.lit(now - dt.timedelta(hours=hours)).cast("timestamp_ntz")).withColumn("days_since_last_event", days(F.col("last_event"), at))
+    return g.filter(F.col("last_event") < at(e, now - dt.timedelta(hours=hours))).withColumn("days_since_last_event", days(F.col("last_event"), at(e, now)))

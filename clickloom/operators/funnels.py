@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.metrics import is_type, n_if, pct, seconds, top
+from ..functions.metrics import is_type, n_if, pct, rank_in, seconds, top
 from .sessions import in_order
 
 DEEP = 3  # distinct pages that count as a conversion by depth
@@ -34,13 +34,20 @@ def full_funnel(e: DataFrame, least: int = 10) -> DataFrame:
 
 
 def creative_funnel(e: DataFrame, least: int = 10) -> DataFrame:
-    s = session_stages(e).filter("creative_id is not null")
-    g = s.groupBy("creative_id", "headline", "network", "campaign_id").agg(
-        F.count("*").alias("sessions"), n_if(F.col("clicks") > 0).alias("clicked"), n_if(F.col("scrolls") > 0).alias("scrolled"), n_if(F.col("converted")).alias("conversions"),
-        pct(n_if(F.col("clicks") > 0), F.count("*")).alias("click_rate_pct"), pct(n_if(F.col("converted")), F.count("*")).alias("conversion_rate_pct"),
-        F.round(F.avg(seconds(F.col("start"), F.col("end"))), 1).alias("avg_session_seconds"),
+    """Sessions with a creative, each counted once for each creative that it shows, with what they did while it was shown."""
+    keys = ["creative_id", "headline", "network"]
+    s = e.filter("session_id is not null and creative_id is not null").groupBy("session_id", *keys).agg(
+        seconds(F.min("ts"), F.max("ts")).alias("sec"), n_if(is_type("click")).alias("clicks"), n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("conversion")).alias("goals"), F.count_distinct("url").alias("pages"),
+    )
+    won, clicked = n_if((F.col("goals") > 0) | (F.col("pages") >= DEEP)), n_if(F.col("clicks") > 0)
+    g = s.groupBy(*keys).agg(
+        F.count("*").alias("sessions"), clicked.alias("clicked"), n_if(F.col("scrolls") > 0).alias("scrolled"), n_if(F.col("pages") >= 2).alias("multi_page"), won.alias("conversions"),
+        pct(won, F.count("*")).alias("conversion_rate_pct"), pct(clicked, F.count("*")).alias("click_rate_pct"), F.round(F.avg("sec"), 1).alias("avg_duration_seconds"),
     ).filter(F.col("sessions") >= least)
-    return top(g, 50, F.desc("conversions"), F.asc("creative_id"), F.asc("headline"), F.asc("network"), F.asc("campaign_id"))
+    return top(g, 50, F.desc("conversion_rate_pct"), F.desc("sessions"), *map(F.asc, keys))
+
+
+DROP_STAGES = ["no_engagement", "view_only", "clicked_no_scroll", "single_page", "multi_page_no_convert", "converted"]
 
 
 def drop_stages(e: DataFrame, least: int = 5) -> DataFrame:
@@ -60,7 +67,8 @@ def drop_stages(e: DataFrame, least: int = 5) -> DataFrame:
     )
     g = s.groupBy("campaign_id", "network", "converted", stage.alias("drop_stage")).agg(F.count("*").alias("sessions"), F.round(F.avg("n"), 1).alias("avg_events"), F.round(F.avg("pages"), 1).alias("avg_pages"))
     g = g.filter(F.col("sessions") >= least).withColumn("t", F.sum("sessions").over(W.partitionBy("campaign_id", "network")))
-    return g.select("campaign_id", "network", "drop_stage", "sessions", pct("sessions", "t", 1).alias("stage_pct"), "avg_events", "avg_pages")
+    g = g.select("campaign_id", "network", "drop_stage", "sessions", pct("sessions", "t", 1).alias("stage_pct"), "avg_events", "avg_pages")
+    return g.orderBy("campaign_id", "network", rank_in("drop_stage", DROP_STAGES))
 
 
 def time_to_convert(e: DataFrame, least: int = 3) -> DataFrame:

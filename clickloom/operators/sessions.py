@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.metrics import bucket, is_type, n_if, pct, seconds, top, with_total
-from ..sources.events import AS_OF, since
+from ..functions.metrics import bucket, is_type, n_if, pct, rank_in, seconds, top, with_total
+from ..sources.events import AS_OF, at, since
 
 
 def gap_sessions(e: DataFrame, key: str = "user_id", timeout_minutes: float = 30.0) -> DataFrame:
@@ -35,12 +35,12 @@ def reconstruct(e: DataFrame, timeout_minutes: float = 30.0, most_hours: float =
     return top(s.drop("seq", "event_types"), n, F.desc("session_start"), F.asc("session_id"))
 
 
-def journeys(e: DataFrame, user_id: str | None = None, timeout_minutes: float = 30.0, n: int = 500) -> DataFrame:
-    """Gap sessions of each user (or of one) with the event types they hold."""
+def journeys(e: DataFrame, user_id: str | None = None, timeout_minutes: float = 30.0, n: int | None = None) -> DataFrame:
+    """Gap sessions of each user (or of one) with the event types they hold; all of them, or the n first by user and time."""
     if user_id is not None:
         e = e.filter(F.col("user_id") == F.lit(user_id))
     s = summed(gap_sessions(e, "user_id", timeout_minutes), "user_id", "seq").withColumnRenamed("seq", "session_seq").drop("device_type")
-    return top(s, n, F.asc("user_id"), F.asc("session_start"))
+    return s if n is None else top(s, n, F.asc("user_id"), F.asc("session_start"))
 
 
 def flow(e: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def returning_users(e: DataFrame) -> DataFrame:
     return g.agg(
         F.count("*").alias("user_count"), F.sum("s").alias("total_sessions"), F.sum("n").alias("total_events"),
         mean("s").alias("avg_sessions_per_user"), mean("d").alias("avg_active_days"), mean("p").alias("avg_unique_pages"),
-    )
+    ).orderBy(rank_in("user_segment", [label for _, label in SEGMENTS]))
 
 
 def session_table(e: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ DURATIONS = [(10, "0-10s"), (30, "10-30s"), (60, "30-60s"), (180, "1-3m"), (300,
 def recent_sessions(e: DataFrame, days: int, as_of: dt.date) -> DataFrame:
     """The sessions that began in the last days before a day (or on it), whole."""
     start = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)
-    return session_table(e).filter(F.col("session_start") >= F.lit(start).cast("timestamp_ntz"))
+    return session_table(e).filter(F.col("session_start") >= at(e, start))
 
 
 def session_rows(e: DataFrame, as_of: dt.date = AS_OF, days: int = 7) -> DataFrame:

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.metrics import bucket, days, is_type, n_if, pct, seconds, top, with_total
+from ..functions.metrics import bucket, days, is_type, n_if, pct, ratio, seconds, top, with_total
 from ..schema import DEFAULTS, EVENTS, VERSIONS, columns_of, evolved
 from ..sources.events import AS_OF, since
 from .engagement import click_rates, clicks, views
@@ -24,15 +24,16 @@ def ago(days_: int, as_of: dt.date):
 
 
 def campaign_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
-    g = since(e, 90, as_of).filter("campaign_id is not null").groupBy(day(), "network", "campaign_id")
+    g = since(e, 90, as_of).groupBy(day(), "network", "campaign_id")
     return g.agg(
-        views().alias("views"), clicks().alias("clicks"), n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("dwell")).alias("dwells"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("creative_id").alias("creatives"),
-        pct(clicks(), views()).alias("ctr_pct"), pct(n_if(is_type("scroll")), clicks()).alias("scroll_rate_pct"),
+        views().alias("views"), clicks().alias("clicks"), n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("dwell")).alias("dwells"), F.count_distinct("session_id").alias("unique_sessions"), F.count_distinct("user_id").alias("unique_users"),
+        pct(clicks(), views()).alias("ctr_pct"), pct(n_if(is_type("scroll")), views()).alias("scroll_rate_pct"),
     )
 
 
 def creative_performance(e: DataFrame, as_of: dt.date = AS_OF, least: int = 100) -> DataFrame:
-    return click_rates(since(e, 30, as_of).filter("creative_id is not null"), ["network", "creative_id", "headline", "image_id"], least, F.count_distinct("campaign_id").alias("campaigns"))
+    more = (F.count_distinct("campaign_id").alias("num_campaigns"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return click_rates(since(e, 30, as_of).filter("creative_id is not null"), ["network", "creative_id", "headline"], least, *more)
 
 
 def network_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
@@ -64,9 +65,11 @@ def engagement_events(e: DataFrame) -> DataFrame:
 
 
 def attribution_daily(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
-    return since(e, 90, as_of).groupBy(day(), "network", "campaign_id", "creative_id", "headline").agg(
-        views().alias("views"), clicks().alias("clicks"), n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("dwell")).alias("dwells"), F.count_distinct("device_type").alias("device_types"),
-        F.round(F.avg(F.coalesce("quality_score", F.lit(1.0))), 6).alias("avg_quality_score"), n_if(F.coalesce("bot_probability", F.lit(0.0)) > 0.5).alias("bot_count"), F.min("ts").alias("first_event"), F.max("ts").alias("last_event"),
+    mean = lambda c, default=None: F.round(F.avg(c if default is None else F.coalesce(c, F.lit(default))), 6)
+    return since(e, 90, as_of).groupBy(day(), "network", "campaign_id", "campaign_name", "creative_id", "headline").agg(
+        views().alias("views"), clicks().alias("clicks"), n_if(is_type("scroll")).alias("scrolls"), n_if(is_type("dwell")).alias("dwells"),
+        mean("attribution_touches").alias("avg_touches_to_convert"), mean("attribution_days_to_convert").alias("avg_days_to_convert"), F.count_distinct("device_type").alias("device_types"), F.count_distinct("device_os").alias("os_types"),
+        mean("quality_score", 1.0).alias("avg_quality_score"), n_if(F.coalesce("bot_probability", F.lit(0.0)) > 0.5).alias("bot_count"), F.min("ts").alias("first_event"), F.max("ts").alias("last_event"),
     )
 
 
@@ -109,7 +112,7 @@ def asset_summary(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
 
 def asset_headlines(e: DataFrame, as_of: dt.date = AS_OF, least: int = 100) -> DataFrame:
     a = assets(e).filter((F.col("kind") == "headline") & (F.col("last_seen") >= ago(30, as_of)) & (F.col("total_views") >= least))
-    return a.select("network", "asset_id", F.col("content").alias("headline"), "total_views", "total_clicks", pct("total_clicks", "total_views").alias("ctr"), "total_conversions", "campaign_count", "first_seen", "last_seen")
+    return a.select("network", "asset_id", F.col("content").alias("headline"), "total_views", "total_clicks", pct("total_clicks", "total_views").alias("ctr"), "total_conversions", "campaign_count", "avg_quality_score", "first_seen", "last_seen")
 
 
 def asset_fatigue(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
@@ -162,16 +165,17 @@ def top_creatives(e: DataFrame, as_of: dt.date = AS_OF, least: int = 10) -> Data
     return top(g.filter(F.col("clicks") >= least), 100, F.desc("clicks"), F.asc("network"), F.asc("headline"), F.asc("creative_id"))
 
 
-def ctr_change(e: DataFrame, keys: tuple[str, ...] = ("network", "creative_id", "headline"), as_of: dt.date = AS_OF, least: int = 100, n: int = 50) -> DataFrame:
-    """Mean daily CTR of the last week against the two weeks before.
+def ctr_change(e: DataFrame, keys: tuple[str, ...] = ("network", "creative_id", "headline"), known: str = "creative_id", as_of: dt.date = AS_OF, least: int = 100, n: int = 50) -> DataFrame:
+    """Mean daily CTR of the last week against the two weeks before, where `known` is not null.
 
-    Rates have two digits; their means are taken as decimals, so that a mean on a rounding border does not hang on the order of the days.
+    Daily rates have two digits; their means and the change are ratios of whole numbers, so that a value on a rounding border is rounded alike everywhere.
     """
-    mean = lambda days_: F.avg(F.when(days_, F.col("ctr").cast("decimal(30,12)"))).cast("double")
-    daily = since(e, 30, as_of).dropna(subset=[keys[-1]]).groupBy("day", *keys).agg(pct(clicks(), views()).alias("ctr"), views().alias("v")).filter(F.col("v") >= least)
+    daily = since(e, 30, as_of).dropna(subset=[known]).groupBy("day", *keys).agg(F.round(pct(clicks(), views()) * 100).cast("long").alias("hundredths"), views().alias("v")).filter(F.col("v") >= least)
     recent, prior = F.col("day") >= ago(7, as_of), (F.col("day") < ago(7, as_of)) & (F.col("day") >= ago(21, as_of))
-    g = daily.groupBy(*keys).agg(mean(recent).alias("r"), mean(prior).alias("p")).filter("p > 0")
-    out = g.select(*keys, F.round("r", 4).alias("recent_ctr"), F.round("p", 4).alias("prior_ctr"), F.round(100 * (F.col("r") - F.col("p")) / F.col("p"), 2).alias("fatigue_change_pct"))
+    of = lambda days_, s, c: (F.sum(F.when(days_, F.col("hundredths"))).alias(s), F.count(F.when(days_, F.col("hundredths"))).alias(c))
+    g = daily.groupBy(*keys).agg(*of(recent, "r", "rn"), *of(prior, "p", "pn")).filter("p > 0")
+    change = ratio(100 * (F.col("r") * F.col("pn") - F.col("p") * F.col("rn")), F.col("p") * F.col("rn"), 2)
+    out = g.select(*keys, ratio(F.col("r"), 100 * F.col("rn"), 4).alias("recent_ctr"), ratio(F.col("p"), 100 * F.col("pn"), 4).alias("prior_ctr"), change.alias("fatigue_change_pct"))
     return top(out, n, F.asc_nulls_last("fatigue_change_pct"), *map(F.asc, keys))
 
 

@@ -10,12 +10,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import attribution as at, engagement as en, fatigue as fa, funnels as fu, sessions as se, views as vi
-from ..sources.events import END, START, between, events
+from ..sources.events import between, events
 
 
 @dataclass(frozen=True)
 class Report:
-    """A report over canonical events. `ranged` reports see start <= ts < end; the others take no range: they look back from `as_of` or read all."""
+    """A report over canonical events. `ranged` reports see start <= ts < end (all, if neither is given); the others take no range: they look back from `as_of` or read all."""
 
     name: str
     category: str
@@ -31,7 +31,7 @@ class Report:
     def over(self, e: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None, **params) -> DataFrame:
         if not self.ranged and (start or end):
             raise ValueError(f"{self.name} takes no start or end" + ", but as_of" * self.looks_back)
-        return self.run(between(e, start or START, end or END) if self.ranged else e, **{**self.params, **params})
+        return self.run(between(e, start, end) if self.ranged else e, **{**self.params, **params})
 
 
 def _reports() -> list[Report]:
@@ -52,7 +52,7 @@ def _reports() -> list[Report]:
         r("r12_landing_page_performance", "session", se.landing_pages),
         r("r12b_landing_page_by_time", "session", se.landing_pages, params={"by": "time"}),
         r("r13_traffic_spike_detection", "alert", fa.traffic_spikes, **anchored),
-        r("r14_zero_traffic_alert", "alert", fa.silent_campaigns, params={"hours": 2}, **anchored),
+        r("r14_zero_traffic_alert", "alert", fa.silent_campaigns, params={"as_of": dt.date(2024, 2, 1)}, **anchored),
         r("r15_hourly_traffic_pattern", "daily", en.hourly_pattern, **anchored),
         r("r16_attribution_first_touch", "attribution", at.first_touch),
         r("r17_attribution_last_touch", "attribution", at.last_touch),
@@ -115,7 +115,7 @@ def _reports() -> list[Report]:
         r("q06_engagement_levels", "query", vi.engagement_levels, **anchored),
         r("q07_link_decoration", "query", vi.link_decoration, **anchored),
         r("q08_source_daily", "query", vi.source_daily, **anchored),
-        r("q10_headline_ctr_change", "query", vi.ctr_change, params={"keys": ("tb_headline",), "least": 1, "n": 20}, **anchored),
+        r("q10_headline_ctr_change", "query", vi.ctr_change, params={"keys": ("tb_headline",), "known": "tb_headline", "least": 1, "n": 20}, **anchored),
     ]
 
 

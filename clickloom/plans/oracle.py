@@ -18,8 +18,10 @@ ev AS (SELECT *, CASE WHEN type IN ('purchase', 'conversion') THEN CAST(value AS
   CASE WHEN network = 'taboola' THEN headline END AS tb_headline, CASE WHEN network = 'taboola' THEN image_id END AS tb_image, CASE WHEN network = 'outbrain' THEN image_id END AS ob_creative,
   CASE WHEN k % 4 <> 0 THEN k / 100.0 END AS quality_score, CASE WHEN k % 3 <> 0 THEN (k % 10) / 10.0 END AS bot_probability, CASE WHEN k % 5 <> 0 THEN (k % 7) / 10.0 END AS fraud_score,
   CASE WHEN k % 13 <> 0 THEN k % 9 <> 0 END AS is_valid, CASE WHEN k % 17 <> 0 THEN k % 11 <> 0 END AS is_verified,
-  CASE WHEN k % 6 = 0 THEN 'https://www.' || network || '.com/x' END AS referrer, CASE WHEN k % 6 = 0 THEN network END AS referrer_network FROM k1),
-e AS (SELECT * FROM ev WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-29')"""
+  CASE WHEN k % 6 = 0 THEN 'https://www.' || network || '.com/x' END AS referrer, CASE WHEN k % 6 = 0 THEN network END AS referrer_network,
+  CASE WHEN k % 10 <> 9 THEN 'Campaign ' || (k % 10) END AS campaign_name, CASE k % 4 WHEN 0 THEN 'ios' WHEN 1 THEN 'android' WHEN 2 THEN 'windows' ELSE 'linux' END AS device_os,
+  CASE WHEN type = 'conversion' THEN CAST(k % 5 + 1 AS BIGINT) END AS attribution_touches, CASE WHEN type = 'conversion' THEN CAST(k % 9 AS BIGINT) END AS attribution_days_to_convert FROM k1),
+e AS (SELECT * FROM ev)"""
 
 
 def last(days: int) -> str:
@@ -71,9 +73,9 @@ def sessions(where: str = "true") -> str:
   CAST(round_even({us('min(ts)', 'max(ts)')} / 1e6, 0) AS BIGINT) AS duration_seconds, count(*) = 1 AS is_bounce, count(*) FILTER (type = 'conversion') > 0 AS converted FROM ev WHERE {where} GROUP BY session_id, user_id)"""
 
 #: All columns of the newest schema version; those that the tables lack are null or have their default.
-COMPATIBLE = """c AS (SELECT ts, NULL::VARCHAR AS ip, NULL::VARCHAR AS ua, url, type, session_id, user_id, NULL::VARCHAR AS cookie_id, network, campaign_id, NULL::VARCHAR AS campaign_name, creative_id, headline, image_id, NULL::VARCHAR AS item_id, NULL::VARCHAR AS params,
-  coalesce(referrer, '') AS referrer, coalesce(referrer_network, 'unknown') AS referrer_network, NULL::VARCHAR AS attribution_campaign_id, NULL::VARCHAR AS attribution_creative_id, 0::BIGINT AS attribution_touches, 0::BIGINT AS attribution_days_to_convert,
-  coalesce(device_type, 'unknown') AS device_type, 'unknown' AS device_os, 'unknown' AS device_browser, scroll_depth_pct, NULL::BIGINT AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, NULL::BIGINT AS viewport_width, NULL::BIGINT AS viewport_height,
+COMPATIBLE = """c AS (SELECT ts, NULL::VARCHAR AS ip, NULL::VARCHAR AS ua, url, type, session_id, user_id, NULL::VARCHAR AS cookie_id, network, campaign_id, campaign_name, creative_id, headline, image_id, NULL::VARCHAR AS item_id, NULL::VARCHAR AS params,
+  coalesce(referrer, '') AS referrer, coalesce(referrer_network, 'unknown') AS referrer_network, NULL::VARCHAR AS attribution_campaign_id, NULL::VARCHAR AS attribution_creative_id, coalesce(attribution_touches, 0) AS attribution_touches, coalesce(attribution_days_to_convert, 0) AS attribution_days_to_convert,
+  coalesce(device_type, 'unknown') AS device_type, coalesce(device_os, 'unknown') AS device_os, 'unknown' AS device_browser, scroll_depth_pct, NULL::BIGINT AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, NULL::BIGINT AS viewport_width, NULL::BIGINT AS viewport_height,
   CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, CAST(coalesce(bot_probability, 0) AS DOUBLE) AS bot_probability, CAST(coalesce(fraud_score, 0) AS DOUBLE) AS fraud_score, coalesce(is_valid, true) AS is_valid, coalesce(is_verified, true) AS is_verified,
   NULL::VARCHAR AS validation_reason, NULL::TIMESTAMP AS enriched_at, NULL::VARCHAR AS enrichment_version FROM ev)"""
 
@@ -89,10 +91,15 @@ def session_counts(days: int = 7) -> str:
   count(*) AS events, count(DISTINCT url) AS urls FROM ev WHERE {last(days)} GROUP BY session_id)"""
 
 
+def ratio(a: str, b: str, digits: int) -> str:
+    return f"sign({a}) * ((2 * {10**digits} * abs({a}) + ({b})) // (2 * ({b}))) / {10**digits}.0::DOUBLE"
+
+
 def ctr_change(keys: str, filters: str, limit: int) -> str:
-    return f"""d AS (SELECT day, {keys}, {CTR} AS ctr, {V} AS v FROM ev WHERE {last(30)} AND {filters} GROUP BY day, {keys}),
-m AS (SELECT {keys}, avg(ctr) FILTER (day >= DATE '2024-01-24') AS r, avg(ctr) FILTER (day < DATE '2024-01-24' AND day >= DATE '2024-01-10') AS q FROM d WHERE v >= 1 GROUP BY {keys})
-SELECT {keys}, round(r, 4) AS recent_ctr, round(q, 4) AS prior_ctr, round(100 * (r - q) / q, 2) AS fatigue_change_pct FROM m WHERE q > 0 ORDER BY fatigue_change_pct NULLS LAST, {keys} LIMIT {limit}"""
+    return f"""d AS (SELECT day, {keys}, CAST(round({CTR} * 100) AS BIGINT) AS h, {V} AS v FROM ev WHERE {last(30)} AND {filters} GROUP BY day, {keys}),
+m AS (SELECT {keys}, CAST(sum(h) FILTER (day >= DATE '2024-01-24') AS BIGINT) AS r, nullif(count(h) FILTER (day >= DATE '2024-01-24'), 0) AS rn,
+  CAST(sum(h) FILTER (day < DATE '2024-01-24' AND day >= DATE '2024-01-10') AS BIGINT) AS q, count(h) FILTER (day < DATE '2024-01-24' AND day >= DATE '2024-01-10') AS qn FROM d WHERE v >= 1 GROUP BY {keys})
+SELECT {keys}, {ratio('r', '100 * rn', 4)} AS recent_ctr, {ratio('q', '100 * qn', 4)} AS prior_ctr, {ratio('(100 * (r * qn - q * rn))', 'q * rn', 2)} AS fatigue_change_pct FROM m WHERE q > 0 ORDER BY fatigue_change_pct NULLS LAST, {keys} LIMIT {limit}"""
 
 
 FATIGUE = """d AS (SELECT day, creative_id, headline, image_id, network, count(*) FILTER (type = 'pageview') AS v, count(*) FILTER (type = 'click') AS c FROM ev WHERE day >= DATE '2023-12-02' GROUP BY ALL HAVING v >= 1),
@@ -169,7 +176,7 @@ count(*) FILTER (action_recommendation LIKE 'LOW%') AS low, round(avg(fatigue_sc
     "r12b_landing_page_by_time": landing("arg_min(url, ts)"),
     "r13_traffic_spike_detection": f""", h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS events FROM ev WHERE {last(14)} GROUP BY 1), b AS (SELECT *, avg(events) OVER w AS m, stddev_samp(events) OVER w AS s FROM h WINDOW w AS (PARTITION BY extract(hour FROM hour) ORDER BY hour ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
 SELECT hour, events, round(m, 2) AS baseline_avg, round(s, 2) AS baseline_stddev, round(100 * (events - m) / nullif(m, 0), 2) AS deviation_pct FROM b WHERE events > m + 2 * s ORDER BY hour DESC LIMIT 10""",
-    "r14_zero_traffic_alert": f" SELECT campaign_id AS campaign, max(ts) AS last_event, count(*) AS total_events, CAST(floor({us('max(ts)', chr(39) + '2024-01-31' + chr(39) + '::TIMESTAMP')} / 86400000000.0) AS BIGINT) AS days_since_last_event FROM ev WHERE {last(7)} GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 22:00:00'",
+    "r14_zero_traffic_alert": f" SELECT campaign_id AS campaign, max(ts) AS last_event, count(*) AS total_events, CAST(floor({us('max(ts)', chr(39) + '2024-02-01' + chr(39) + '::TIMESTAMP')} / 86400000000.0) AS BIGINT) AS days_since_last_event FROM ev WHERE day >= DATE '2024-01-25' GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-31'",
     "r15_hourly_traffic_pattern": f" SELECT CAST(extract(hour FROM ts) AS BIGINT) AS hour_of_day, type, count(*) AS events FROM ev WHERE {last(7)} GROUP BY 1, 2",
     "r16_attribution_first_touch": f""", s AS (SELECT session_id, arg_min(utm_source, event_id) AS x, min(ts) AS t, count(*) FILTER (type = 'conversion') AS c, coalesce(sum(revenue) FILTER (type = 'conversion'), 0) AS r FROM e GROUP BY 1),
 j AS (SELECT e.session_id, {DIMS}, c, r FROM s JOIN e ON e.session_id = s.session_id AND e.ts = s.t), g AS (SELECT {DIMS}, sum(c) AS conversions, sum(r) AS r, count(*) AS attributed_sessions FROM j GROUP BY {DIMS} HAVING sum(c) > 0 OR sum(r) > 0)
@@ -181,13 +188,13 @@ SELECT {LABELS}, attributed_sessions, conversions, round(CAST(r AS DOUBLE), 2) A
     "r18_attribution_linear": linear("n"),
     "r18b_attribution_linear_normalized": linear("count(*) OVER (PARTITION BY session_id)"),
     "r19_session_reconstruction": f""", {gap_sessions('session_id')} SELECT session_id || '_' || seq AS session_id, user_id, {COUNTS}, {FIRSTS}, arg_min(device_type, ts) AS device_type, count(*) = 1 AS is_bounce FROM s GROUP BY s.session_id, seq, user_id HAVING duration_seconds <= 14400 ORDER BY session_start DESC, 1 LIMIT 1000""",
-    "r20_user_journey": f", {gap_sessions('user_id')} SELECT user_id, seq AS session_seq, {COUNTS}, {FIRSTS}, list_sort(list(DISTINCT type)) AS event_types FROM s GROUP BY user_id, seq ORDER BY user_id, session_start LIMIT 500",
-    "r20b_user_journey_of_one": f", {gap_sessions('user_id', 45, 'user_id = ' + chr(39) + '7' + chr(39))} SELECT user_id, seq AS session_seq, {COUNTS}, {FIRSTS}, list_sort(list(DISTINCT type)) AS event_types FROM s GROUP BY user_id, seq ORDER BY user_id, session_start LIMIT 500",
+    "r20_user_journey": f", {gap_sessions('user_id')} SELECT user_id, seq AS session_seq, {COUNTS}, {FIRSTS}, list_sort(list(DISTINCT type)) AS event_types FROM s GROUP BY user_id, seq",
+    "r20b_user_journey_of_one": f", {gap_sessions('user_id', 45, 'user_id = ' + chr(39) + '7' + chr(39))} SELECT user_id, seq AS session_seq, {COUNTS}, {FIRSTS}, list_sort(list(DISTINCT type)) AS event_types FROM s GROUP BY user_id, seq",
     "r21_attribution_analysis": f""", t AS (SELECT user_id, session_id, arg_min(network, ts) AS network, arg_min(campaign_id, ts) AS campaign_id, arg_min(creative_id, ts) AS creative_id, arg_min(url, ts) AS url, arg_min(type, ts) AS event_type, min(ts) AS session_ts FROM e GROUP BY 1, 2),
 c AS (SELECT user_id, session_id AS sid, type AS conversion_type, min(ts) AS conversion_ts FROM e WHERE type IN ('conversion', 'purchase', 'signup') GROUP BY 1, 2, 3),
 j AS (SELECT t.*, conversion_ts, conversion_type, row_number() OVER (PARTITION BY user_id ORDER BY session_ts, conversion_ts, conversion_type) AS touch_position, count(*) OVER (PARTITION BY user_id) AS total_touches,
   CAST(floor({us('session_ts', 'conversion_ts')} / 86400000000.0) AS BIGINT) AS days_to_conversion FROM t JOIN c USING (user_id) WHERE session_ts <= conversion_ts)
-SELECT *, CASE WHEN touch_position = 1 THEN 'first_touch' END AS attribution_model_first, CASE WHEN touch_position = total_touches THEN 'last_touch' END AS attribution_model_last FROM j ORDER BY user_id, touch_position LIMIT 1000""",
+SELECT *, CASE WHEN touch_position = 1 THEN 'first_touch' END AS attribution_model_first, CASE WHEN touch_position = total_touches THEN 'last_touch' END AS attribution_model_last FROM j""",
     "r22_common_paths": f", s AS (SELECT session_id, list(url ORDER BY ts) AS path, count(*) AS steps FROM e WHERE type = 'pageview' GROUP BY 1 HAVING steps <= 10), f AS (SELECT path, steps, count(*) AS frequency FROM s GROUP BY 1, 2) SELECT path, steps, frequency, {p('frequency', '(SELECT sum(frequency) FROM f)')} AS percentage FROM f ORDER BY frequency DESC, path LIMIT 50",
     "r23_session_flow_matrix": ", s AS (SELECT session_id, url AS from_page, lead(url) OVER (PARTITION BY session_id ORDER BY ts) AS to_page FROM e WHERE type = 'pageview') SELECT from_page, to_page, count(*) AS transition_count, count(DISTINCT session_id) AS unique_sessions FROM s WHERE to_page IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 100",
     "r24_cohort_journey": cohort("arg_min(network, ts)"),
@@ -202,10 +209,11 @@ FROM s GROUP BY 1, 2, 3 ORDER BY sessions DESC, 1, 2, 3 NULLS LAST LIMIT 50""",
     "r27_returning_user_analysis": f""", u AS (SELECT user_id, count(DISTINCT session_id) AS s, count(*) AS c, count(DISTINCT url) AS q, count(DISTINCT day) AS d FROM e GROUP BY 1)
 SELECT {case('s', [(2, 'new'), (3, 'returning_2'), (6, 'returning_3_5'), (11, 'returning_6_10')], 'returning_11_plus')} AS user_segment, count(*) AS user_count, {n('s')} AS total_sessions, {n('c')} AS total_events,
 round(avg(s), 4) AS avg_sessions_per_user, round(avg(d), 4) AS avg_active_days, round(avg(q), 4) AS avg_unique_pages FROM u GROUP BY 1""",
-    "c01_ctr_campaign": clicks_by("e", "network, campaign_id", ", count(DISTINCT session_id) AS sessions, count(DISTINCT creative_id) AS creatives", "views >= 10", "ORDER BY clicks DESC, network, campaign_id LIMIT 100"),
-    "c02_ctr_creative": clicks_by("e", "network, campaign_id, creative_id, headline", ", min(day) AS first_day, max(day) AS last_day", "views >= 20", "ORDER BY ctr_pct DESC NULLS LAST, network, campaign_id, creative_id, headline LIMIT 50"),
+    "c01_ctr_campaign": clicks_by("e", "network, campaign_id, campaign_name", ", count(DISTINCT session_id) AS unique_sessions, count(DISTINCT user_id) AS unique_users, min(ts) AS first_seen, max(ts) AS last_seen", "views >= 10", "ORDER BY clicks DESC, network, campaign_id, campaign_name NULLS LAST LIMIT 100"),
+    "c02_ctr_creative": clicks_by("e", "network, creative_id, headline, image_id", ", count(DISTINCT campaign_id) AS num_campaigns, count(DISTINCT session_id) AS unique_sessions", "views >= 20", "ORDER BY ctr_pct DESC NULLS LAST, clicks DESC, network, creative_id, headline, image_id LIMIT 50"),
     "c03_ctr_network_daily": clicks_by("e", "day AS date, network", ", count(DISTINCT campaign_id) AS active_campaigns, count(DISTINCT creative_id) AS active_creatives"),
-    "c04_ctr_matrix": f""", d AS (SELECT campaign_id, creative_id, headline, day AS date, {V} AS views, {C} AS clicks, {CTR} AS ctr_pct FROM e GROUP BY 1, 2, 3, 4 HAVING views >= 1) SELECT *, CAST(sum(views) OVER (PARTITION BY campaign_id, creative_id, headline ORDER BY date) AS BIGINT) AS cumulative_views FROM d""",
+    "c04_ctr_matrix": f""", d AS (SELECT campaign_id, creative_id, headline, day AS date, {V} AS views, {C} AS clicks, {CTR} AS ctr_pct FROM e GROUP BY 1, 2, 3, 4 HAVING views >= 5)
+SELECT *, CAST(sum(views) OVER (PARTITION BY campaign_id, creative_id ORDER BY date, headline ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_views FROM d""",
     "c05_dwell_session": dwell_session("sum"),
     "c05b_dwell_session_max": dwell_session("max"),
     "c06_dwell_landing": f""" SELECT url, network, campaign_id, count(DISTINCT session_id) AS sessions, {sec('avg(dwell_time_ms)')} AS avg_dwell_seconds, {sec('min(dwell_time_ms)')} AS min_dwell_seconds, {sec('max(dwell_time_ms)')} AS max_dwell_seconds,
@@ -222,8 +230,10 @@ SELECT *, {p('unique_sessions', '(SELECT sum(unique_sessions) FROM b)', 1)} AS s
     "c10_funnel_full": f""", {STAGES}, g AS (SELECT campaign_id, network, count(*) AS landing_sessions, count(*) FILTER (clicks > 0) AS click_sessions, count(*) FILTER (scrolls > 0) AS scroll_sessions, count(*) FILTER (pages >= 2 OR dwells > 0) AS engaged_sessions, count(*) FILTER (conv) AS converted_sessions FROM st GROUP BY 1, 2 HAVING landing_sessions >= 10)
 SELECT *, {p('click_sessions', 'landing_sessions')} AS landing_to_click_pct, {p('scroll_sessions', 'click_sessions')} AS click_to_scroll_pct, {p('engaged_sessions', 'scroll_sessions')} AS scroll_to_engage_pct, {p('converted_sessions', 'engaged_sessions')} AS engage_to_convert_pct,
 {p('converted_sessions', 'landing_sessions')} AS overall_conversion_pct FROM g ORDER BY converted_sessions DESC, campaign_id, network LIMIT 50""",
-    "c11_funnel_creative": f""", {STAGES} SELECT creative_id, headline, network, campaign_id, count(*) AS sessions, count(*) FILTER (clicks > 0) AS clicked, count(*) FILTER (scrolls > 0) AS scrolled, count(*) FILTER (conv) AS conversions, {p('count(*) FILTER (clicks > 0)', 'count(*)')} AS click_rate_pct,
-{p('count(*) FILTER (conv)', 'count(*)')} AS conversion_rate_pct, round(avg({us('a', 'b')} / 1e6), 1) AS avg_session_seconds FROM st GROUP BY 1, 2, 3, 4 HAVING sessions >= 10 ORDER BY conversions DESC, 1, 2, 3, 4 LIMIT 50""",
+    "c11_funnel_creative": f""", s AS (SELECT session_id, creative_id, headline, network, {us('min(ts)', 'max(ts)')} / 1e6 AS sec, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(DISTINCT url) AS pages, count(*) FILTER (type = 'conversion') > 0 OR count(DISTINCT url) >= 3 AS conv FROM e GROUP BY 1, 2, 3, 4)
+SELECT creative_id, headline, network, count(*) AS sessions, count(*) FILTER (clicks > 0) AS clicked, count(*) FILTER (scrolls > 0) AS scrolled, count(*) FILTER (pages >= 2) AS multi_page, count(*) FILTER (conv) AS conversions,
+  {p('count(*) FILTER (conv)', 'count(*)')} AS conversion_rate_pct, {p('count(*) FILTER (clicks > 0)', 'count(*)')} AS click_rate_pct, round(avg(sec), 1) AS avg_duration_seconds
+FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 10 ORDER BY conversion_rate_pct DESC, sessions DESC, creative_id, headline, network LIMIT 50""",
     "c12_funnel_drop_off": f""", s AS (SELECT session_id, network, campaign_id, list(type ORDER BY ts) AS t, count(*) AS c, count(DISTINCT url) AS u, count(*) FILTER (type = 'conversion') > 0 AS v FROM e GROUP BY 1, 2, 3),
 d AS (SELECT campaign_id, network, v, CASE WHEN c = 1 THEN 'no_engagement' WHEN t[1] = 'pageview' AND NOT list_contains(t, 'click') AND NOT list_contains(t, 'scroll') THEN 'view_only' WHEN list_contains(t, 'click') AND NOT list_contains(t, 'scroll') THEN 'clicked_no_scroll'
   WHEN list_contains(t, 'scroll') AND u < 2 THEN 'single_page' WHEN u >= 2 AND NOT v THEN 'multi_page_no_convert' WHEN v THEN 'converted' ELSE 'other' END AS drop_stage, count(*) AS sessions, round(avg(c), 1) AS avg_events, round(avg(u), 1) AS avg_pages FROM s GROUP BY 1, 2, 3, 4 HAVING sessions >= 5)
@@ -233,8 +243,8 @@ SELECT campaign_id, network, count(*) AS conversions, round(avg(x), 1) AS avg_se
 count(*) FILTER (x BETWEEN 30 AND 120) AS between_30s_2m, count(*) FILTER (x > 120) AS over_2m FROM s GROUP BY 1, 2 HAVING conversions >= 3 ORDER BY conversions DESC, 1, 2 LIMIT 50""",
     "c14_funnel_daily": f""", {STAGES} SELECT e.day AS date, e.network, count(DISTINCT e.session_id) AS total_sessions, count(DISTINCT e.session_id) FILTER (clicks > 0) AS sessions_with_click, count(DISTINCT e.session_id) FILTER (scrolls > 0) AS sessions_with_scroll, count(DISTINCT e.session_id) FILTER (conv) AS conversions,
 {p('count(DISTINCT e.session_id) FILTER (conv)', 'count(DISTINCT e.session_id)')} AS daily_conversion_rate FROM e JOIN st USING (session_id) GROUP BY 1, 2""",
-    "v01_campaign_daily": f" SELECT day AS date, network, campaign_id, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, count(DISTINCT session_id) AS sessions, count(DISTINCT creative_id) AS creatives, {CTR} AS ctr_pct, {p('count(*) FILTER (type = ' + chr(39) + 'scroll' + chr(39) + ')', C)} AS scroll_rate_pct FROM ev WHERE {last(90)} GROUP BY 1, 2, 3",
-    "v02_creative_performance": clicks_by(f"(SELECT * FROM ev WHERE {last(30)})", "network, creative_id, headline, image_id", ", count(DISTINCT campaign_id) AS campaigns", "views >= 10"),
+    "v01_campaign_daily": f" SELECT day AS date, network, campaign_id, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, count(DISTINCT session_id) AS unique_sessions, count(DISTINCT user_id) AS unique_users, {CTR} AS ctr_pct, {p('count(*) FILTER (type = ' + chr(39) + 'scroll' + chr(39) + ')', V)} AS scroll_rate_pct FROM ev WHERE {last(90)} GROUP BY ALL",
+    "v02_creative_performance": clicks_by(f"(SELECT * FROM ev WHERE {last(30)})", "network, creative_id, headline", ", count(DISTINCT campaign_id) AS num_campaigns, min(ts) AS first_seen, max(ts) AS last_seen", "views >= 10"),
     "v03_network_daily": _NETWORK_DAILY,
     "v04_daily_session_summary": f", {sessions()} SELECT CAST(session_start AS DATE) AS date, network, count(*) AS sessions, {n('pageviews')} AS total_pageviews, {n('clicks')} AS total_clicks, {n('scrolls')} AS total_scroll_events, {n('dwells')} AS total_dwell_events, {WON} AS converted_sessions, {p(WON, 'count(*)')} AS conversion_rate_pct, round(avg(duration_seconds), 4) AS avg_duration_seconds, {BOUNCED} AS bounces, {p(BOUNCED, 'count(*)')} AS bounce_rate_pct, round(avg(unique_pages), 4) AS avg_depth FROM ses WHERE session_start >= DATE '2024-01-31' - 90 GROUP BY 1, 2",
     "v05_session_funnels": f""", {sessions()}, f AS (SELECT CAST(session_start AS DATE) AS date, network, campaign_id, count(*) FILTER (pageviews >= 1) AS landing_sessions, count(*) FILTER (clicks >= 1) AS engaged_sessions, count(*) FILTER (unique_pages >= 3) AS browsing_sessions, {WON} AS converted_sessions FROM ses WHERE session_start >= DATE '2024-01-31' - 30 GROUP BY 1, 2, 3)
@@ -242,7 +252,7 @@ SELECT *, {p('engaged_sessions', 'landing_sessions')} AS landing_to_engagement_p
     "v06_session_quality": f", {sessions()} SELECT network, campaign_id, {case('duration_seconds', [(10, '0-10s'), (30, '10-30s'), (60, '30-60s'), (180, '1-3m'), (300, '3-5m')], '5m+')} AS duration_bucket, count(*) AS sessions, {WON} AS conversions, {p(WON, 'count(*)')} AS conversion_rate_pct, round(avg(unique_pages), 4) AS avg_depth, {BOUNCED} AS bounces, {p(BOUNCED, 'count(*)')} AS bounce_rate_pct FROM ses WHERE session_start >= DATE '2024-01-31' - 30 GROUP BY 1, 2, 3",
     "v07_asset_summary": f""", {assets('ev')} SELECT network, kind, count(*) AS total_assets, {n('total_views')} AS views, {n('total_clicks')} AS clicks, {p('sum(total_clicks)', 'sum(total_views)')} AS overall_ctr, {n('total_conversions')} AS conversions, {p('sum(total_conversions)', 'sum(total_sessions)')} AS overall_conversion_rate,
 round(avg(avg_quality_score), 4) AS quality, count(*) FILTER (first_seen >= DATE '2024-01-24') AS new_assets_7d, count(*) FILTER (last_seen >= DATE '2024-01-24') AS active_assets_7d FROM ast WHERE first_seen >= DATE '2023-11-02' GROUP BY 1, 2""",
-    "v08_top_headlines": f", {assets('ev')} SELECT network, asset_id, content AS headline, total_views, total_clicks, {p('total_clicks', 'total_views')} AS ctr, total_conversions, campaign_count, first_seen, last_seen FROM ast WHERE kind = 'headline' AND last_seen >= DATE '2024-01-01' AND total_views >= 20",
+    "v08_top_headlines": f", {assets('ev')} SELECT network, asset_id, content AS headline, total_views, total_clicks, {p('total_clicks', 'total_views')} AS ctr, total_conversions, campaign_count, avg_quality_score, first_seen, last_seen FROM ast WHERE kind = 'headline' AND last_seen >= DATE '2024-01-01' AND total_views >= 20",
     "v09_asset_fatigue": f""", {assets('ev')}, d AS (SELECT day, headline, network, {V} AS v, {C} AS c FROM ev WHERE {last(30)} GROUP BY 1, 2, 3), m AS (SELECT headline, network, avg(100.0::DOUBLE * c / nullif(v, 0)) AS mean, stddev_samp(100.0::DOUBLE * c / nullif(v, 0)) AS dev, count(*) AS days_active FROM d GROUP BY 1, 2)
 SELECT m.headline, m.network, total_views, total_clicks, {p('total_clicks', 'total_views')} AS overall_ctr, round(mean, 2) AS avg_daily_ctr, round(dev, 2) AS ctr_volatility, days_active,
 CASE WHEN dev > 0.5 * mean THEN 'HIGH_VOLATILITY' WHEN avg_quality_score < 0.5 THEN 'LOW_QUALITY' WHEN days_active > 14 THEN 'POTENTIALLY_FATIGUED' ELSE 'HEALTHY' END AS fatigue_status FROM ast JOIN m ON m.headline = ast.content AND m.network = ast.network WHERE kind = 'headline' AND last_seen >= DATE '2024-01-24'""",
@@ -255,7 +265,7 @@ SELECT *, {p('clicks_7d', 'views_7d')} AS ctr_7d, {p('clicks_7d_prev', 'views_7d
     "v12_compatible": f", {COMPATIBLE} SELECT * FROM c",
     "v13_quality_filtered": f", {COMPATIBLE} SELECT ts, ip, ua, url, type, session_id, user_id, cookie_id, network, campaign_id, campaign_name, creative_id, headline, image_id, item_id, params, referrer, device_type FROM c WHERE is_valid AND is_verified AND quality_score >= 0.5 AND bot_probability < 0.5 AND fraud_score < 0.5",
     "v14_engagement": " SELECT ts, network, campaign_id, creative_id, headline, type, device_type, CAST(NULL AS VARCHAR) AS device_os, scroll_depth_pct, CAST(NULL AS BIGINT) AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, CAST(NULL AS BIGINT) AS viewport_width, CAST(NULL AS BIGINT) AS viewport_height, CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, CAST(NULL AS BIGINT) AS attribution_touches, CAST(NULL AS BIGINT) AS attribution_days_to_convert FROM ev WHERE type IN ('scroll', 'dwell', 'pageview')",
-    "v15_attribution_daily": f" SELECT day AS date, network, campaign_id, creative_id, headline, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, count(DISTINCT device_type) AS device_types, round(avg(CAST(coalesce(quality_score, 1) AS DOUBLE)), 6) AS avg_quality_score, count(*) FILTER (bot_probability > 0.5) AS bot_count, min(ts) AS first_event, max(ts) AS last_event FROM ev WHERE {last(90)} GROUP BY 1, 2, 3, 4, 5",
+    "v15_attribution_daily": f" SELECT day AS date, network, campaign_id, campaign_name, creative_id, headline, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, round(avg(attribution_touches), 6) AS avg_touches_to_convert, round(avg(attribution_days_to_convert), 6) AS avg_days_to_convert, count(DISTINCT device_type) AS device_types, count(DISTINCT device_os) AS os_types, round(avg(CAST(coalesce(quality_score, 1) AS DOUBLE)), 6) AS avg_quality_score, count(*) FILTER (coalesce(bot_probability, 0) > 0.5) AS bot_count, min(ts) AS first_event, max(ts) AS last_event FROM ev WHERE {last(90)} GROUP BY day, network, campaign_id, campaign_name, creative_id, headline",
     "v16_column_presence": f""", t AS (SELECT count(referrer) > 0 AS a, count(scroll_depth_pct) > 0 AS b, count(quality_score) > 0 AS c FROM ev WHERE {last(1)}),
 u(schema_level, has, yes, no) AS (SELECT 'V001 (base)', a, 'YES - Compatible', 'YES - Native' FROM t UNION ALL SELECT 'V002 (referrer/attribution)', a, 'YES - Native', 'NO - Missing columns' FROM t UNION ALL SELECT 'V003 (engagement)', b, 'YES - Native', 'NO - Missing columns' FROM t
 UNION ALL SELECT 'V004 (quality)', c, 'YES - Native', 'NO - Missing columns' FROM t) SELECT schema_level, CASE WHEN has THEN yes ELSE no END AS status FROM u""",
@@ -281,7 +291,6 @@ UNION ALL SELECT 'V004 (quality)', c, 'YES - Native', 'NO - Missing columns' FRO
 DATES: dict[str, str] = {
     **dict.fromkeys("r01_daily_summary c03_ctr_network_daily c04_ctr_matrix c14_funnel_daily v01_campaign_daily v03_network_daily v04_daily_session_summary v05_session_funnels v15_attribution_daily v20_network_performance q08_source_daily".split(), "date"),
     "r10a_creative_fatigue": "recommended_rotation_date",
-    "c02_ctr_creative": "first_day last_day",
     "v08_top_headlines": "first_seen last_seen",
     "v25_assets": "first_seen last_seen",
 }

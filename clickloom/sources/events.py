@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-START, END, AS_OF = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 29), dt.date(2024, 1, 31)
+#: The day that look-back reports over the example tables count from; their events are of January 2024.
+AS_OF = dt.date(2024, 1, 31)
 NETWORKS = ("taboola", "outbrain", "mgid", "revcontent")
 
 
@@ -53,6 +54,10 @@ def canonical(events: DataFrame) -> DataFrame:
         F.when(F.col("k") % 17 != 0, F.col("k") % 11 != 0).alias("is_verified"),
         F.when(F.col("k") % 6 == 0, F.concat(F.lit("https://www."), network, F.lit(".com/x"))).alias("referrer"),
         F.when(F.col("k") % 6 == 0, network).alias("referrer_network"),
+        F.when(F.col("k") % 10 != 9, F.concat(F.lit("Campaign "), (F.col("k") % 10).cast("string"))).alias("campaign_name"),
+        F.element_at(F.array(*map(F.lit, ("ios", "android", "windows", "linux"))), F.col("k") % 4 + 1).alias("device_os"),
+        F.when(F.col("type") == "conversion", (F.col("k") % 5 + 1).cast("long")).alias("attribution_touches"),
+        F.when(F.col("type") == "conversion", (F.col("k") % 9).cast("long")).alias("attribution_days_to_convert"),
     )
 
 
@@ -67,11 +72,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(read_table(spark, sf_dir, "events"))
 
 
-def between(e: DataFrame, start: dt.datetime = START, end: dt.datetime = END) -> DataFrame:
-    """The half-open range of a report."""
-    return e.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+def at(e: DataFrame, when: dt.datetime) -> Column:
+    """A point in time in the type of the events' `ts`."""
+    return F.lit(when).cast(e.schema["ts"].dataType)
+
+
+def between(e: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+    """The half-open range of a report; without a start or an end it is open there. The same days are asked of `day`, which may be a partition."""
+    if start is not None:
+        e = e.filter((F.col("ts") >= at(e, start)) & (F.col("day") >= F.lit(start.date())))
+    if end is not None:
+        e = e.filter((F.col("ts") < at(e, end)) & (F.col("day") <= F.lit(end.date())))
+    return e
 
 
 def since(e: DataFrame, days: int, as_of: dt.date = AS_OF) -> DataFrame:
     """Events of the last days before a day (and of that day)."""
-    return e.filter(F.col("ts") >= F.lit(dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)).cast("timestamp_ntz"))
+    return between(e, dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days))
