@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import attribution as at, engagement as en, fatigue as fa, funnels as fu, sessions as se, views as vi
 from ..sources.events import between, events
+from ..sources.lake import Source
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,11 @@ def _reports() -> list[Report]:
 REPORTS: dict[str, Report] = {r.name: r for r in _reports()}
 
 
+def lake_report(spark: SparkSession, source: Source, name: str, **params) -> DataFrame:
+    """Run a registered report over a lake."""
+    return REPORTS[name].over(source.reports(spark), **params)
+
+
 def run_report(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFrame:
     """Run a registered report; an unknown name is a KeyError that lists the known ones."""
     if name not in REPORTS:

@@ -264,7 +264,7 @@ SELECT g.*, b.network AS one_network, {p('total_clicks', 'total_views')} AS one_
 SELECT *, {p('clicks_7d', 'views_7d')} AS ctr_7d, {p('clicks_7d_prev', 'views_7d_prev')} AS ctr_7d_prev, CASE WHEN views_7d_prev > 0 THEN round(100.0::DOUBLE * (CAST(clicks_7d AS DOUBLE) / views_7d) / nullif(CAST(clicks_7d_prev AS DOUBLE) / views_7d_prev, 0) - 100, 2) END AS ctr_trend_pct, {p('clicks_total', 'views_total')} AS ctr_overall FROM g""",
     "v12_compatible": f", {COMPATIBLE} SELECT * FROM c",
     "v13_quality_filtered": f", {COMPATIBLE} SELECT ts, ip, ua, url, type, session_id, user_id, cookie_id, network, campaign_id, campaign_name, creative_id, headline, image_id, item_id, params, referrer, device_type FROM c WHERE is_valid AND is_verified AND quality_score >= 0.5 AND bot_probability < 0.5 AND fraud_score < 0.5",
-    "v14_engagement": " SELECT ts, network, campaign_id, creative_id, headline, type, device_type, CAST(NULL AS VARCHAR) AS device_os, scroll_depth_pct, CAST(NULL AS BIGINT) AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, CAST(NULL AS BIGINT) AS viewport_width, CAST(NULL AS BIGINT) AS viewport_height, CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, CAST(NULL AS BIGINT) AS attribution_touches, CAST(NULL AS BIGINT) AS attribution_days_to_convert FROM ev WHERE type IN ('scroll', 'dwell', 'pageview')",
+    "v14_engagement": " SELECT ts, network, campaign_id, creative_id, headline, type, device_type, device_os, scroll_depth_pct, CAST(NULL AS BIGINT) AS scroll_time_ms, dwell_time_ms, dwell_visible_pct, CAST(NULL AS BIGINT) AS viewport_width, CAST(NULL AS BIGINT) AS viewport_height, CAST(coalesce(quality_score, 1) AS DOUBLE) AS quality_score, attribution_touches, attribution_days_to_convert FROM ev WHERE type IN ('scroll', 'dwell', 'pageview')",
     "v15_attribution_daily": f" SELECT day AS date, network, campaign_id, campaign_name, creative_id, headline, {V} AS views, {C} AS clicks, count(*) FILTER (type = 'scroll') AS scrolls, count(*) FILTER (type = 'dwell') AS dwells, round(avg(attribution_touches), 6) AS avg_touches_to_convert, round(avg(attribution_days_to_convert), 6) AS avg_days_to_convert, count(DISTINCT device_type) AS device_types, count(DISTINCT device_os) AS os_types, round(avg(CAST(coalesce(quality_score, 1) AS DOUBLE)), 6) AS avg_quality_score, count(*) FILTER (coalesce(bot_probability, 0) > 0.5) AS bot_count, min(ts) AS first_event, max(ts) AS last_event FROM ev WHERE {last(90)} GROUP BY day, network, campaign_id, campaign_name, creative_id, headline",
     "v16_column_presence": f""", t AS (SELECT count(referrer) > 0 AS a, count(scroll_depth_pct) > 0 AS b, count(quality_score) > 0 AS c FROM ev WHERE {last(1)}),
 u(schema_level, has, yes, no) AS (SELECT 'V001 (base)', a, 'YES - Compatible', 'YES - Native' FROM t UNION ALL SELECT 'V002 (referrer/attribution)', a, 'YES - Native', 'NO - Missing columns' FROM t UNION ALL SELECT 'V003 (engagement)', b, 'YES - Native', 'NO - Missing columns' FROM t

@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..schema import EVENTS, evolved
+
 #: The day that look-back reports over the example tables count from; their events are of January 2024.
 AS_OF = dt.date(2024, 1, 31)
 NETWORKS = ("taboola", "outbrain", "mgid", "revcontent")
@@ -63,11 +65,17 @@ def canonical(events: DataFrame) -> DataFrame:
 
 def with_params(e: DataFrame) -> DataFrame:
     """Add the open parameter map; null values have no key."""
-    names = ("utm_source", "utm_medium", "network", "campaign_id", "creative_id", "tb_headline", "tb_image", "ob_creative")
+    names = ("utm_source", "utm_medium", "network", "campaign_id", "creative_id", "tb_headline", "tb_image", "ob_creative", "revenue")
     entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names], F.struct(F.lit("utm_campaign").alias("key"), F.col("campaign_id").alias("value")))
     return e.withColumn("params", F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull())))
 
 
+def lake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example table as events of a lake: report columns without a column in the event schema stand in the parameters."""
+    e = with_params(events(spark, sf_dir)).withColumn("event_date", F.col("day"))
+    return evolved(e).select(*EVENTS.fieldNames(), "event_date")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(read_table(spark, sf_dir, "events"))
 

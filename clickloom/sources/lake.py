@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
-from ..schema import EVENTS, compatible
+from ..schema import EVENTS, EXTRA, compatible, evolved
+from . import published
 
 
 @dataclass(frozen=True)
@@ -22,7 +23,13 @@ class Source:
         """All events with today's columns; files of older versions are read along with newer ones."""
         if self.catalog and self.warehouse:
             return compatible(spark.table(f"{self.catalog}.{self.table}"))
-        return compatible(spark.read.option("mergeSchema", "true").parquet(f"{self.path}/events"))
+        return compatible(_files(spark, self.path, spark.read.option("mergeSchema", "true")))
+
+    def reports(self, spark: SparkSession) -> DataFrame:
+        """The events with the columns that reports use. The schema is given, so that no file is opened to find it; values stay null where files lack them."""
+        if self.catalog and self.warehouse:
+            return report_view(evolved(spark.table(f"{self.catalog}.{self.table}")))
+        return report_view(_files(spark, self.path, spark.read.schema(LAKE)))
 
     def register(self, spark: SparkSession, name: str = "events") -> DataFrame:
         """The events as a temporary view for SQL, too."""
@@ -31,6 +38,34 @@ class Source:
         return e
 
 
+LAKE = T.StructType([*EVENTS.fields, *[T.StructField(n, t) for n, t in EXTRA], T.StructField("type_raw", T.StringType()), T.StructField("event_date", T.DateType())])
+
+
+def _files(spark: SparkSession, path: str, reader: DataFrameReader) -> DataFrame:
+    """The published folders of a lake; one without a log is read as it lies."""
+    folders = published.current(spark, path)
+    if folders is None:
+        return reader.parquet(f"{path}/events")
+    if not folders:
+        return spark.createDataFrame([], LAKE)
+    return reader.option("basePath", f"{path}/events").parquet(*[f"{path}/events/{x}" for x in folders]).drop("part")
+
+
+#: Report columns that stand in the open parameters, and their types.
+FROM_PARAMS = {
+    **dict.fromkeys(("utm_source", "utm_medium", "tb_headline", "tb_image", "ob_creative"), "string"),
+    "revenue": "decimal(18,2)",
+}
+
+
+def report_view(lake: DataFrame) -> DataFrame:
+    """The report columns over lake events: `day`, and what stands in the parameters. A range of days reaches the partitions, and one of `ts` the files."""
+    have = set(lake.columns)
+    day = F.col("event_date") if "event_date" in have else F.to_date("ts")
+    more = [F.try_element_at("params", F.lit(n)).try_cast(t).alias(n) for n, t in FROM_PARAMS.items() if n not in have]
+    return lake.select("*", day.alias("day"), *more)
+
+
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     """Gzipped JSON lines of structured events; lines that do not parse are kept in `_corrupt_record`."""
     schema = T.StructType([*EVENTS.fields, T.StructField("_corrupt_record", T.StringType())])

@@ -14,10 +14,18 @@ REFERRERS = (("google", "google"), ("facebook", "facebook"), ("fb.com", "faceboo
 IDS = {"session_id": ("sid", "session_id"), "user_id": ("uid", "user_id"), "cookie_id": ("cid", "cookie_id")}
 
 
-def read_lines(spark: SparkSession, path: str, streaming: bool = False, per_batch: int = 1000) -> DataFrame:
-    """Lines of finished log files with the file they come from."""
-    reader = spark.readStream.option("maxFilesPerTrigger", per_batch) if streaming else spark.read
-    return reader.format("text").option("pathGlobFilter", "raw-*.jsonl.ready").load(path).select("value", F.col("_metadata.file_name").alias("file"))
+def read_lines(spark: SparkSession, path: str, streaming: bool = False, per_batch: int = 1000, most_bytes: str | None = None, most_age: str | None = None) -> DataFrame:
+    """Lines of finished log files with the file they come from. A stream's batches are bounded by bytes, if given, else by files."""
+    reader = spark.read
+    if streaming:
+        reader = spark.readStream.option("maxBytesPerTrigger", most_bytes) if most_bytes else spark.readStream.option("maxFilesPerTrigger", per_batch)
+        reader = reader.option("maxFileAge", most_age) if most_age else reader
+    return reader.format("text").option("pathGlobFilter", "raw-*.jsonl.ready").load(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
+
+
+def of_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Lines of some log files with the file they come from."""
+    return spark.read.text(files).select("value", F.col("_metadata.file_name").alias("file"))
 
 
 def referrer_network(referrer: Column) -> Column:

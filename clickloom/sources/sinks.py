@@ -9,19 +9,26 @@ from pyspark.sql import DataFrame, functions as F
 from ..schema import evolved, sanitized
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Events as zstd Parquet below `path`/events, by event date and type; values out of range as null.
+#: Partitions by what happened, and by when its log arrived with the event date beside it.
+BY_EVENT = ("event_date", "type")
+BY_ARRIVAL = ("arrival_date", "arrival_hour", "event_date")
 
-    Rows are brought together by partition first, so that a task writes few files; adaptive execution splits large dates.
+
+def write_events(events: DataFrame, path: str, mode: str = "append", part: str | None = None, layout: tuple[str, ...] = BY_EVENT) -> None:
+    """Events as zstd Parquet below `path`/events, partitioned by `layout`; values out of range as null.
+
+    With a `part`, they replace that part of the lake and count when it is published. Rows are brought together by partition first, so that a task writes few files; adaptive execution splits large dates.
     """
     e = sanitized(evolved(events))
     if "event_date" not in e.columns:
         e = e.withColumn("event_date", F.to_date("ts"))
-    e.hint("rebalance", "event_date", "type").write.mode(mode).option("compression", "zstd").partitionBy("event_date", "type").parquet(f"{path}/events")
+    target = f"{path}/events/part={part}" if part else f"{path}/events"
+    e.hint("rebalance", *layout).write.mode("overwrite" if part else mode).option("compression", "zstd").partitionBy(*layout).parquet(target)
 
 
-def write_rejects(rejects: DataFrame, path: str) -> None:
-    rejects.withColumn("rejected_at", F.current_timestamp()).write.mode("append").json(f"{path}/rejects")
+def write_rejects(rejects: DataFrame, path: str, part: str | None = None) -> None:
+    """Rejected lines as JSON; with a `part`, a folder of its own that is written anew if the part is."""
+    rejects.withColumn("rejected_at", F.current_timestamp()).write.mode("overwrite" if part else "append").json(f"{path}/rejects/part={part}" if part else f"{path}/rejects")
 
 
 def report_path(folder: str, name: str, kind: str, day: dt.date) -> str:

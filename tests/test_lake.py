@@ -11,7 +11,7 @@ from clickloom.__main__ import main
 from clickloom.functions.maps import lower_keys, query_map, query_string
 from clickloom.functions.normalize import network_of, normalized
 from clickloom.operators import dimensions as di, sessions as se
-from clickloom.plans import compaction, migrations as mi
+from clickloom.plans import migrations as mi
 from clickloom.sources import lake, raw_logs, sinks
 from clickloom.sources.events import events, with_params
 from clickloom.streaming import ingest as st
@@ -107,7 +107,7 @@ def test_ingest_stream(spark, tmp_path):
     run()  # nothing is read twice
     back = lake.Source(path=str(tmp_path / "out")).events(spark)
     assert sorted((r["type"], str(r["event_date"])) for r in back.select("type", "event_date").collect()) == [("click", "2024-01-05"), ("pageview", "2024-01-04")]
-    assert spark.read.json(str(tmp_path / "out/batch=0/rejects")).count() == 1
+    assert spark.read.json(str(tmp_path / "out/rejects")).count() == 1
     (tmp_path / "in/raw-20240105-12.jsonl.ready").write_text(line({"type": "click"}))
     run()
     assert lake.Source(path=str(tmp_path / "out")).events(spark).count() == 3
@@ -156,14 +156,6 @@ def test_user_trees(spark):
     assert di.converting_sessions(e).first()["seq"] == 1
 
 
-def test_compaction(spark, tmp_path):
-    day = tmp_path / "events/event_date=2024-01-04/type=click"
-    spark.range(100).repartition(12).write.parquet(str(day))
-    done = compaction.compact_days(spark, str(tmp_path / "events"), dt.date(2024, 1, 5))
-    assert list(done.values()) == [True] and len(compaction.sizes(spark, str(day))) == 1 and spark.read.parquet(str(day)).count() == 100
-    assert compaction.compact(spark, str(day)) is False
-
-
 def test_migrations(spark, tmp_path):
     known = [mi.Migration.from_file(f"V00{i}__step_{i}.sql", f"SELECT {i}", f"SELECT -{i}") for i in (1, 2, 3)]
     m = mi.Migrations(spark, str(tmp_path / "ledger"), known)
