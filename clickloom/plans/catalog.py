@@ -24,6 +24,12 @@ class Report:
     ranged: bool = True
     params: dict = field(default_factory=dict)
 
+    @property
+    def description(self) -> str:
+        """What it shows, in a line."""
+        said = (inspect.getdoc(self.run) or "").split("\n")[0] if getattr(self.run, "__name__", "") != "<lambda>" else ""
+        return said or self.name.partition("_")[2].replace("_", " ").capitalize() + "."
+
     @property
     def looks_back(self) -> bool:
         found = inspect.signature(self.run).parameters.values()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -13,6 +14,9 @@ from ..operators import dimensions as di, sessions as se
 from ..schema import sanitized
 from ..sources.events import events, read_table, with_params
 from ..sources.lake import campaigns, creatives
+from ..sources.published import scratch
+from ..sources.registry import read_metrics, with_missing_days
+from ..sources.sinks import write_metrics
 from ..streaming.ingest import live_traffic
 from .oracle import BASE, C, V, us
 
@@ -122,6 +126,26 @@ def campaign_rates(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("rate", pct("clicks", "views"))
 
 
+def parameter_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Events by their whole set of parameters: maps are equal whatever the order of their keys, which here changes from event to event."""
+    e = with_params(events(spark, d))
+    e = e.withColumn("params", F.map_filter("params", lambda k, v: k.isin("network", "utm_medium", "campaign_id", "tb_headline")))
+    turned = F.map_from_entries(F.reverse(F.map_entries("params")))
+    g = e.select(F.when(F.col("event_id") % 2 == 0, F.col("params")).otherwise(turned).alias("params"), "type", "session_id").groupBy("params")
+    g = g.agg(F.count("*").alias("events"), n_if(is_type("click")).alias("clicks"), F.count_distinct("session_id").alias("sessions"))
+    named = lambda n: F.try_element_at("params", F.lit(n)).alias(n)
+    return g.select(query_string(F.col("params")).alias("params"), named("campaign_id"), named("tb_headline"), F.array_contains(F.map_keys("params"), "utm_medium").alias("has_medium"), "events", "clicks", "sessions")
+
+
+def registry_days(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and views of each network, from a metric registry that is written and read back for a list of days, two of which it does not have."""
+    path = scratch(spark, "registry")
+    m = events(spark, d).groupBy(F.col("day").alias("date"), "network").agg(n_if(is_type("pageview")).alias("impressions"), n_if(is_type("click")).alias("clicks"))
+    write_metrics(m, path)
+    rows, missing = read_metrics(spark, path, [dt.date(2024, 1, 20) + dt.timedelta(days=i) for i in range(14)])
+    return with_missing_days(spark, rows, missing).withColumn("date", F.col("date").cast("string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t01_user_trees": user_trees,
     "jn16_session_containment": session_containment,
@@ -140,12 +164,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t03_metric_upsert": metric_upsert,
     "str_hourly_windows": hourly_windows,
     "str_live_sessions": live_session_windows,
+    "agg16_parameter_groups": parameter_groups,
+    "src11_registry_days": registry_days,
 }
 
 _WHOLE = f"w AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 0 WHEN {us('lag(ts) OVER (PARTITION BY user_id ORDER BY ts)', 'ts')} // 60000000 > 30 THEN 1 ELSE 0 END AS st FROM ev), sq AS (SELECT *, CAST(sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS seq FROM w)"
 _GAPS = f"w AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR {us('lag(ts) OVER (PARTITION BY user_id ORDER BY ts)', 'ts')} > 1800000000 THEN 1 ELSE 0 END AS st FROM ev), sq AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS seq FROM w)"
 
+_PARAMS = [f"CASE WHEN {v} IS NOT NULL THEN '{n}=' || replace({v}, ' ', '%20') END" for n, v in (("campaign_id", "campaign_id"), ("network", "network"), ("tb_headline", "tb_headline"), ("utm_medium", "utm_medium"))]
+
 ORACLE_SQL: dict[str, str] = {
+    "agg16_parameter_groups": f"""{BASE} SELECT concat_ws('&', {", ".join(_PARAMS)}) AS params, campaign_id, tb_headline, utm_medium IS NOT NULL AS has_medium, count(*) AS events, {C} AS clicks, count(DISTINCT session_id) AS sessions
+FROM ev GROUP BY network, utm_medium, campaign_id, tb_headline""",
+    "src11_registry_days": f"""{BASE}, m AS (SELECT day, network, {V} AS impressions, {C} AS clicks FROM ev GROUP BY day, network), days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-20', TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT CAST(days.day AS VARCHAR) AS date, network, impressions, clicks, network IS NULL AS is_missing FROM days LEFT JOIN m ON m.day = days.day""",
     "t01_user_trees": f"""{BASE}, {_WHOLE}, a AS (SELECT user_id, arg_min(network, ts) AS acquired_by FROM ev WHERE network <> 'unknown' GROUP BY 1)
 SELECT user_id, count(DISTINCT seq) AS session_count, any_value(acquired_by) AS acquired_by, count(*) FILTER (type = 'conversion') AS conversions, count(*) AS events, count(DISTINCT day) AS active_days, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events_in_sessions FROM sq LEFT JOIN a USING (user_id) GROUP BY user_id""",
     "jn16_session_containment": f"""{BASE}, {_WHOLE}, b AS (SELECT user_id, seq, min(ts) AS session_start, max(ts) AS session_end FROM sq GROUP BY 1, 2) SELECT b.user_id, ts AS goal_ts, type AS goal, seq, session_start, session_end FROM ev JOIN b ON b.user_id = ev.user_id AND ts BETWEEN session_start AND session_end WHERE type IN ('conversion', 'purchase')""",

@@ -10,9 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..schema import VERSIONS
+from ..sources.published import files_below, read_text
 
 LEDGER = "version int, description string, applied_at timestamp, applied_by string, checksum string, rollback_sql string"
-FILE = re.compile(r"V(\d+)__(.+)\.sql$")
+FILE, BACK = re.compile(r"V(\d+)__((?:(?!\.rollback\.sql$).)+)\.sql$"), ".rollback.sql"
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,20 @@ class Migration:
         return cls(int(m[1]), m[2].replace("_", " "), sql, rollback)
 
 
+def from_folder(spark: SparkSession, folder: str) -> list[Migration]:
+    """The migrations of a folder: V001__name.sql, with V001__name.rollback.sql beside it where there is a way back. Two of one version are an error."""
+    names = [name for name, _ in files_below(spark, folder) if "/" not in name]
+    found = []
+    for name in names:
+        if FILE.search(name):
+            back = name.removesuffix(".sql") + BACK
+            found.append(Migration.from_file(name, read_text(spark, f"{folder}/{name}"), read_text(spark, f"{folder}/{back}") if back in names else None))
+    versions = [m.version for m in found]
+    if len(set(versions)) < len(versions):
+        raise ValueError(f"several migrations of one version: {sorted(versions)}")
+    return sorted(found, key=lambda m: m.version)
+
+
 class Migrations:
     """Applies migrations in order and records them in a Parquet ledger. Statements run through spark.sql."""
 
@@ -74,6 +89,41 @@ class Migrations:
         self._record(m, undone=False)
         return True
 
+    def changed(self) -> list[int]:
+        """Applied versions whose file is another one now."""
+        done = {r["version"]: r["checksum"] for r in self.ledger().select("version", "checksum").collect()}
+        return [v for v, m in self.known.items() if v in done and done[v] != m.checksum]
+
+    def plan(self, target: int | None = None) -> list[tuple[str, Migration]]:
+        """The steps to a version (the newest, if none is given) in order: `apply` upwards, or `roll back` downwards. Nothing is run.
+
+        A changed file, a gap and a step down without a way back are errors.
+        """
+        if self.changed():
+            raise ValueError(f"files of applied versions have changed: {self.changed()}")
+        now = self.current()
+        target = max([now, *self.known]) if target is None else target
+        if target and target not in self.known:
+            raise ValueError(f"no version {target}")
+        if target >= now:
+            steps = [("apply", m) for v, m in self.known.items() if now < v <= target]
+            if [m.version for _, m in steps] != list(range(now + 1, target + 1)):
+                raise ValueError(f"versions are missing between {now} and {target}")
+            return steps
+        ways = {r["version"]: r["rollback_sql"] for r in self.ledger().select("version", "rollback_sql").collect()}
+        down = sorted((v for v in ways if v > target), reverse=True)
+        if stuck := [v for v in down if not ways[v] or v not in self.known]:
+            raise ValueError(f"no way back from {stuck}")
+        return [("roll back", self.known[v]) for v in down]
+
+    def go(self, target: int | None = None) -> list[tuple[str, int]]:
+        """Take the steps of `plan`; each is in the ledger when it is done, so that a failure leaves a known version."""
+        done = []
+        for step, m in self.plan(target):
+            self.apply(m.version) if step == "apply" else self.roll_back(m.version)
+            done.append((step, m.version))
+        return done
+
     def apply_all(self) -> list[int]:
         return [m.version for m in self.pending() if self.apply(m.version)]
 

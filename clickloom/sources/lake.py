@@ -21,9 +21,19 @@ class Source:
 
     def events(self, spark: SparkSession) -> DataFrame:
         """All events with today's columns; files of older versions are read along with newer ones."""
+        return compatible(self.raw(spark))
+
+    def raw(self, spark: SparkSession) -> DataFrame:
+        """The events with the columns that the files have."""
         if self.catalog and self.warehouse:
-            return compatible(spark.table(f"{self.catalog}.{self.table}"))
-        return compatible(_files(spark, self.path, spark.read.option("mergeSchema", "true")))
+            return spark.table(f"{self.catalog}.{self.table}")
+        return _files(spark, self.path, spark.read.option("mergeSchema", "true"))
+
+    def dimension(self, spark: SparkSession, name: str, e: DataFrame | None = None) -> DataFrame:
+        """`campaigns` or `creatives`: the catalog's table, or what the events show."""
+        if self.catalog and self.warehouse and spark.catalog.tableExists(f"{self.catalog}.{name}"):
+            return spark.table(f"{self.catalog}.{name}")
+        return {"campaigns": campaigns, "creatives": creatives}[name](self.events(spark) if e is None else e)
 
     def reports(self, spark: SparkSession) -> DataFrame:
         """The events with the columns that reports use. The schema is given, so that no file is opened to find it; values stay null where files lack them."""

@@ -9,6 +9,7 @@ folders stay readable for those who have found them already, until `vacuum`. A l
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 
@@ -63,6 +64,17 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below the checkpoint folder; a local master without one gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clickloom-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def files_below(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """(path below the folder, bytes) of all data files."""
     fs, p = fs_of(spark, folder)
@@ -78,10 +90,10 @@ def files_below(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return sorted(found)
 
 
-def leaves(spark: SparkSession, root: str, part: str | None = None) -> list[str]:
-    """The folders with data files below `events` (or one part of it)."""
+def leaves(spark: SparkSession, root: str, part: str | None = None, data: str = EVENTS) -> list[str]:
+    """The folders with data files below the folder of data (or one part of it)."""
     below = f"part={part}/" if part else ""
-    return sorted({(below + name).rpartition("/")[0] for name, _ in files_below(spark, f"{root}/{EVENTS}/{below}")})
+    return sorted({(below + name).rpartition("/")[0] for name, _ in files_below(spark, f"{root}/{data}/{below}")})
 
 
 def publish(spark: SparkSession, root: str, name: str, added: list[str], removed: list[str] | tuple = (), **more) -> bool:
@@ -117,13 +129,13 @@ def adopt(spark: SparkSession, root: str) -> None:
         publish(spark, root, "adopted", leaves(spark, root))
 
 
-def vacuum(spark: SparkSession, root: str, older_than: float = 86_400.0) -> list[str]:
+def vacuum(spark: SparkSession, root: str, older_than: float = 86_400.0, data: str = EVENTS) -> list[str]:
     """Delete folders that have been replaced for so many seconds. What has never been published is left alone: it may be in the making."""
     gone = []
     for e in entries(spark, root):
         if time.time() - e["at"] >= older_than:
             for leaf in e["removed"]:
-                if is_there(spark, f"{root}/{EVENTS}/{leaf}"):
-                    delete(spark, f"{root}/{EVENTS}/{leaf}")
+                if is_there(spark, f"{root}/{data}/{leaf}"):
+                    delete(spark, f"{root}/{data}/{leaf}")
                     gone.append(leaf)
     return gone

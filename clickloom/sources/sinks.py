@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import evolved, sanitized
+from .published import files_below
 
 
 #: Partitions by what happened, and by when its log arrived with the event date beside it.
@@ -35,11 +36,38 @@ def report_path(folder: str, name: str, kind: str, day: dt.date) -> str:
     return f"{folder.rstrip('/')}/{day.isoformat()}_{name}.{kind}"
 
 
-def write_report(report: DataFrame, folder: str, name: str, day: dt.date, kinds: tuple[str, ...] = ("json",)) -> list[str]:
-    """A report as JSON rows or as CSV with a header and NULL for nulls; values keep their types."""
+def archive_path(folder: str, name: str, kind: str, at: dt.datetime) -> str:
+    """A run of a report by name, date and time: NAME/2024-01-31/20240131T020000Z.json."""
+    return f"{folder.rstrip('/')}/{name}/{at.date().isoformat()}/{at:%Y%m%dT%H%M%SZ}.{kind}"
+
+
+def archived_reports(spark: SparkSession, folder: str, name: str | None = None, latest: bool = False) -> DataFrame:
+    """What an archive holds, by its folders alone: name, date, run, kind, path, files and bytes; with `latest`, the last run of each day and kind."""
+    found: dict[str, list[int]] = {}
+    for path, size in files_below(spark, folder):
+        parts = path.split("/")
+        if len(parts) >= 3 and "." in parts[2] and name in (None, parts[0]):
+            found.setdefault("/".join(parts[:3]), []).append(size)
+    rows = []
+    for path, sizes in found.items():
+        report, date, run = path.split("/")
+        try:
+            at = dt.datetime.strptime(run.partition(".")[0], "%Y%m%dT%H%M%SZ")
+            rows.append((report, dt.date.fromisoformat(date), at.isoformat(), run.partition(".")[2], f"{folder.rstrip('/')}/{path}", len(sizes), sum(sizes)))
+        except ValueError:  # not a report
+            continue
+    table = spark.createDataFrame(rows, "name string, date date, run string, kind string, path string, files long, bytes long")
+    if latest:
+        columns = table.columns
+        table = table.groupBy("name", "date", "kind").agg(F.max_by(F.struct(*columns), "run").alias("r")).select("r.*")
+    return table
+
+
+def write_report(report: DataFrame, folder: str, name: str, day: dt.date, kinds: tuple[str, ...] = ("json",), at: dt.datetime | None = None) -> list[str]:
+    """A report as JSON rows or as CSV with a header and NULL for nulls; values keep their types. With `at`, it goes into the archive of that time."""
     paths = []
     for kind in kinds:
-        path = report_path(folder, name, kind, day)
+        path = archive_path(folder, name, kind, at) if at else report_path(folder, name, kind, day)
         if kind == "json":
             report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
         elif kind == "csv":

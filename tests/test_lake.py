@@ -175,9 +175,9 @@ def test_cli_and_sinks(spark, tmp_path, capsys):
     paths = capsys.readouterr().out.split()
     assert spark.read.json(paths[0]).count() == spark.read.option("header", True).csv(paths[1]).count() > 0
     with pytest.raises(SystemExit):
-        main(["run", "x", "--format", "both"], spark)
+        main(["--tables", SF, "run", "r01_daily_summary", "--format", "both"], spark)
     with pytest.raises(SystemExit):
-        main(["run", "v22_creative_ctr_change", "--end", "2024-01-20"], spark)
+        main(["--tables", SF, "run", "v22_creative_ctr_change", "--end", "2024-01-20"], spark)
     assert main(["--tables", SF, "run", "v22_creative_ctr_change", "--as-of", "2024-01-20", "--output", str(tmp_path / "day")], spark) == 0
     m = spark.createDataFrame([(20240105, 1), (20240106, 2)], "date int, x int")
     sinks.write_metrics(m, str(tmp_path / "m"))
