@@ -8,7 +8,7 @@ sections need half of it, the first-level heading none). Tags decide between equ
 
 What the contract leaves out (menus, headers, footers, sidebars, notices, adverts, forms, comments) is marked by tag, role, class or
 id, and marked blocks are pruned before the densities are taken. A mark that is no whole word, or does not come first in a
-compound one, is weak: the measure overrules it where the block holds at least OVERRULED times as much text outside links as the
+compound one, or may well name a part of the article there (`related-work`), is weak: the measure overrules it where the block holds at least OVERRULED times as much text outside links as the
 page's unmarked blocks together. So do marks of forms, as some pages are one form. Marks on html, body and main count for nothing.
 
 Defined cases: null and empty html give an empty text; html without tags is one block; a page without any density keeps all that is
@@ -21,7 +21,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +32,9 @@ from .common import filled, ship, text_steps, tidied
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-_TAG = re.compile(
-    r"<!--|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
-)
+_OPEN = re.compile(r"<!--|<[!?]|</?[a-zA-Z]")
+#: A whole tag; quotes count where a value begins, at any length, and one that stays open does not.
+_TAG = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 #: One whole attribute: its name, and its value in double, single or no quotes; a quote that stays open holds the rest.
 _ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -50,6 +51,8 @@ BESIDE = frozenset(
     "newsletter subscribe subscription paywall sidebar widget menu nav navbar navigation navigations breadcrumb breadcrumbs masthead footer comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended recommendations pagination pager toolbar login signin signup search contentinfo complementary alert form skip".split()
 )
+#: Of these, words that begin the name of an article's own parts too: first in a compound word, they are weak.
+AMBIGUOUS = frozenset("ad alert banner form login menu notice overlay promo related reply search share sharing signup skip social subscription".split())
 _NOT = frozenset("no not has with without is".split())  # these turn what follows in a compound word
 _OWN = frozenset("article entry post content story category tag".split())  # an article's own parts
 FREE, WEAK, STRICT = 0, 1, 2
@@ -99,7 +102,7 @@ def _word_mark(word: str, tag: str, in_article: bool) -> int:
     if not parts or tag == "article" and len(parts) > 1:
         return FREE
     if parts[0] in BESIDE:
-        return STRICT
+        return WEAK if len(parts) > 1 and parts[0] in AMBIGUOUS else STRICT
     if "header" in parts and not in_article and tag not in ("h1", "h2", "article") and parts[0] not in _OWN:
         return STRICT if len(parts) == 1 else WEAK
     return WEAK if any(x in BESIDE and y not in _NOT for y, x in zip(parts, parts[1:])) else FREE
@@ -131,15 +134,20 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order, without silent elements."""
     root = Node("#root", None)
     nodes, stack = [root], [root]
-    open_tags: Counter[str] = Counter()
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements on the stack
+    marked: Counter[str] = Counter()  # open elements with a mark
+    blocks = [0]  # blocks on the stack up to each element
 
     def close(depth: int) -> None:
-        open_tags.subtract(x.tag for x in stack[depth:])
-        del stack[depth:]
+        for x in reversed(stack[depth:]):
+            places[x.tag].pop()
+            marked[x.tag] -= x.mark > FREE
+        del stack[depth:], blocks[depth:]
 
     at, end = 0, len(page)
     while at < end:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
+        m = m and _TAG.match(page, m.start())  # a tag that does not end is text, with all that follows
         text = page[at : m.start() if m else end]
         if text:
             if stack[-1].tag == "head" and not text.isspace():
@@ -152,18 +160,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             over = page.find("-->", at)
             at = over + 3 if over >= 0 else end
             continue
-        tag = m.group(2) or m.group(5)
-        if tag is None:
+        if m.group(2) is None:
             continue
-        tag = tag.lower()
-        attributes = m.group(3) if m.group(2) else m.group(6)
-        if m.group(1) or m.group(4):  # an end tag
-            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
-                if stack[depth].tag == tag:
+        tag, attributes = m.group(2).lower(), m.group(3)
+        if m.group(1):  # an end tag; that of an inline element ends no block, but for marked elements that hold blocks
+            if places[tag]:
+                depth = places[tag][-1]
+                if tag not in INLINE or blocks[-1] == blocks[depth] or marked[tag]:
                     close(depth)
-                    break
-                if tag in INLINE and stack[depth].block and not any(x.tag == tag and x.mark for x in stack[1:depth]):
-                    break  # it may end a marked element that holds blocks
             continue
         closed = attributes.rstrip().endswith("/") and tag not in RAW
         if stack[-1].tag == "head" and tag not in _IN_HEAD:
@@ -176,21 +180,19 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             close(stack[-1].p)
         elif tag in CLOSES:
             ends, border = CLOSES[tag]
-            ended = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in border:
-                    break
-                if stack[depth].tag in ends:
-                    ended = depth
+            least = max((places[x][-1] for x in border if places[x]), default=0)
+            ended = [places[x][i] for x in ends if (i := bisect_right(places[x], least)) < len(places[x])]
             if ended:
-                close(ended)
+                close(min(ended))
         above = stack[-1]
         node = Node(tag, above, len(stack), STRICT if tag in SILENT else mark_of(tag, attributes, above.in_article) if tag not in VOID else FREE)
         above.children.append(node)
         nodes.append(node)
         if tag not in VOID and not closed:
+            places[tag].append(len(stack))
+            marked[tag] += node.mark > FREE
+            blocks.append(blocks[-1] + node.block)
             stack.append(node)
-            open_tags[tag] += 1
     return root, nodes
 
 

@@ -98,7 +98,7 @@ _GAP = r"\s*+[,.-]?+\s*+"
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+){_GAP})?{_DIGIT_WORD}(?:{_GAP}(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z]))+(?![A-Za-z0-9])", re.I)
 _DIGIT_PIECE = re.compile(rf"plus|{_DIGIT_WORD}|[\s,.-]+", re.I)
 #: Single characters with a blank after (before) each, up to (from) an "@".
-_SPACED_LEFT = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-][ ]){2,}(?=@)")
+_SPACED_LEFT = re.compile(r"(?<!\S)(?<!\s[A-Za-z0-9._%+-][ ])(?:[A-Za-z0-9._%+-][ ]){2,}+(?=@)")
 _SPACED_RIGHT = re.compile(r"(?<=@)(?:[ ][A-Za-z0-9.-](?!\S)){2,}")
 #: What stands for a sign, with the blanks around it. Blanks are looked at from the start of their run only.
 _RUN = r"(?<!\s)\s*+"
@@ -106,6 +106,8 @@ _AT = re.compile(rf"{_RUN}[\[({{<]\s*+(?:at|arroba|@)\s*+[\])}}>]\s*+|(?<!\s)\s+
 _DOT = re.compile(rf"{_RUN}[\[({{<]\s*+(?:dot|punkt|punto|\.)\s*+[\])}}>]\s*+|(?<!\s)\s++dot\s++|(?<=[A-Za-z0-9])_dot_(?=[A-Za-z0-9])|(?<!\s)\s++\.\s++", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]++")
 _NUMBER = re.compile(r"[0-9]++")
+#: What stands before numbers that are no address.
+_NUMBERED = re.compile(r"(?:version|release|section|chapter|\bv|\bver)[\s.:]*\Z", re.I)
 _HINT = re.compile(r"[\[({<]\s*+(?:at|arroba|dot|punkt|punto|\.|@)\s*+[\])}>]|[\s_]dot[\s_]|\s@|@\s|\s\.\s", re.I)
 
 #: Credentials: a named value, or a value of a well-known form.
@@ -235,10 +237,11 @@ def disguises(t: Traced) -> Traced:
         number = re.fullmatch(r"(?:.*[^0-9.])?((?:[0-9]+\.)*[0-9]+)", whole)
         if not number:
             continue
-        found, count, end, last = chain(start + number.start(1), _NUMBER)
-        if count == 3:
+        first = start + number.start(1)
+        found, count, end, last = chain(first, _NUMBER)
+        if count == 3 and not _NUMBERED.search(text, max(0, first - 16), first):
             edits += [(p, q, ".") for p, q in found if p not in taken]
-            seen = max(seen, end - 1)
+        seen = max(seen, end - 1)  # other counts are no address, nor is a part of them
     return t.rewritten(sorted(edits))
 
 

@@ -436,6 +436,13 @@ def test_pii_base(docs, odd, none):
         ("write to jane at site dot co dot uk now", "jane at site dot co dot uk"),
         ("call plus four one five five five five zero one two three now", "plus four one five five five five zero one two three"),
         ("jоhn@exаmple.com!", "jоhn@exаmple.com"),
+        ("host 10 dot 0 dot 0 dot 1 is up", "10 dot 0 dot 0 dot 1"),
+        ("host 10[.]0[.]0[.]1 is up", "10[.]0[.]0[.]1"),
+        ("host 10 . 0 . 0 . 1, up", "10 . 0 . 0 . 1"),
+        ("host 192.168 dot 0.1!", "192.168 dot 0.1"),
+        ("to jane_at_site_dot_org now", "jane_at_site_dot_org"),
+        ("to jane@site[.]org now", "jane@site[.]org"),
+        ("to j a n e @site.org now", "j a n e @site.org"),
         ("pay four 1 one one one one one one one one one one one one one one ok", "four 1 one one one one one one one one one one one one one one"),
     ],
 )
@@ -447,11 +454,34 @@ def test_pii_disguises(text, span):
 def test_pii_leaves_clean_text_alone(odd):
     for text in ("we met at noon dot", "one or two of them, one at a time", "look at this. Dot your i", ""):
         assert pii.redact(text) == text
+    for text in ("1 dot 2 dot 3 dot 4 dot 5", "1 . 2 . 3 . 4 . 5", "version 1 . 2 . 3 . 4", "300 dot 1 dot 1 dot 1", "one dot two dot"):
+        assert pii.redact(text) == text
     out = pii.redacted(odd)
     assert out.columns == odd.columns and sorted(out.collect(), key=str) == sorted(odd.collect(), key=str)
     assert pii.redact("a@b.cc and 10.0.0.1") == "<EMAIL> and <IP>"
 
 
+@pytest.mark.parametrize("piece", ["1 dot ", "1 . ", "1.1 dot ", "a at b dot ", "a@b dot ", "x_dot_", "[at] (dot) ", "one two ", "j @ ", "a b c "])
+def test_pii_long_disguises_are_linear(piece):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        text = piece * (n // len(piece)) + " @ "
+        began = time.process_time()
+        pii.find(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5 and took[1] < 20
+
+
+def test_pii_repeated_rows_and_spans(spark):
+    texts = ["mail a@b.cc or jane [at] site (dot) org", "host 10 dot 0 dot 0 dot 1", "", None, "x " * 300_000 + "a@b.cc"]
+    rows = [(i % 3, t) for i, t in enumerate(texts * 3)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, pii.span_list(pii.find(t or "")[1])) for i, t in rows]
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == sorted(want)
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -548,6 +578,32 @@ def test_page_density_chooses(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["related-work", "search-results", "banner-story", "share-article", "login-guide", "social-studies", "menu-planning"])
+def test_page_marks_that_name_the_article(name):
+    page = f'<body><h1>Headline</h1><div class="{name}"><p>The article is here with many words of its own.<p>And here with some more of them.</div><div>the end</div></body>'
+    assert "The article is here with many words of its own. And here with some more of them." in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p data-x="' + "a>" * 5000 + '">the article', "the article"),
+    ("<p data-x='" + 'a>"' * 5000 + "' class=x>the article", "the article"),
+    ('<p title="it"s>the article</p>', "the article"),
+    ('<p title="open>the article', "the article"),
+    ("the article <b", "the article <b"),
+])
+def test_page_long_and_odd_attributes(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<i><div>" * 20_000 + "</i>" * 20_000 + "the article", "<div>" * 5000 + "<li>x</li>" * 20_000, "<a x='>' " * 20_000, "<a " * 50_000, "</b>" * 50_000 + "<p>" * 20_000])
+def test_page_odd_nesting_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 5
+
+
 def brute_measure(page):
     """Densities and sums of a well-formed page's blocks in page order, straight from their definition."""
     import math
