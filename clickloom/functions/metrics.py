@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def n_if(condition: Column) -> Column:
@@ -32,8 +32,13 @@ def ctr(digits: int = 2) -> Column:
     return pct(n_if(is_type("click")), n_if(is_type("pageview")), digits)
 
 
-def with_total(df: DataFrame, column: str, total: str) -> DataFrame:
-    """Add the sum of a column over all rows: one row, joined to each. No window over everything, so nothing meets in one task."""
+def with_total(df: DataFrame, column: str, total: str, few: bool = False) -> DataFrame:
+    """Add the sum of a column over all rows: one row, joined to each. No window over everything, so nothing meets in one task.
+
+    The aggregation below is run once if the sum uses the same columns of it (Spark reuses the exchange); a table of few rows, as one for each bucket of a fixed list, takes a window instead.
+    """
+    if few:
+        return df.withColumn(total, F.sum(column).over(W.partitionBy()))
     return df.crossJoin(F.broadcast(df.agg(F.sum(column).alias(total))))
 
 

@@ -162,5 +162,5 @@ def dwell_inferred(e: DataFrame) -> DataFrame:
 def dwell_histogram(e: DataFrame) -> DataFrame:
     d = e.filter("type = 'dwell' and dwell_time_ms is not null")
     g = d.groupBy(bucket(F.col("dwell_time_ms"), DWELL_BUCKETS, "5m+").alias("dwell_bucket")).agg(F.count("*").alias("dwell_events"), F.count_distinct("session_id").alias("unique_sessions"))
-    g = with_total(g, "unique_sessions", "t").select("dwell_bucket", "dwell_events", "unique_sessions", pct("unique_sessions", "t", 1).alias("session_pct"))
+    g = with_total(g, "unique_sessions", "t", few=True).select("dwell_bucket", "dwell_events", "unique_sessions", pct("unique_sessions", "t", 1).alias("session_pct"))
     return g.orderBy(rank_in("dwell_bucket", [*[label for _, label in DWELL_BUCKETS], "5m+"]))

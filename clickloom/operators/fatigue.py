@@ -27,14 +27,11 @@ def daily_creatives(e: DataFrame, as_of: dt.date = AS_OF, window: int = 60, leas
 
 
 def rolling_ctr(daily: DataFrame, as_of: dt.date = AS_OF, length: int = 7, least: int = 50) -> DataFrame:
-    """CTR over the last days of each calendar day. Days without events are filled from the creative's first day on."""
+    """CTR over the last `length` days of each calendar day with `least` (1 or more) views in them, whether or not the day itself has any. One pass: each day counts towards the days that look back on it."""
     last = F.lit(as_of - dt.timedelta(days=1))
-    calendar = daily.groupBy(*CREATIVE).agg(F.min("day").alias("a")).filter(F.col("a") <= last)
-    calendar = calendar.select(*CREATIVE, F.explode(F.sequence("a", last, F.expr("interval 1 day"))).alias("day"))
-    full = calendar.join(daily, ["day", *CREATIVE], "left").fillna(0, ["views", "clicks"]).withColumn("n", F.datediff("day", F.lit(dt.date(1970, 1, 1))))
-    w = W.partitionBy(*CREATIVE).orderBy("n").rangeBetween(-(length - 1), 0)
-    r = full.select(*CREATIVE, "day", F.sum("views").over(w).alias("v"), F.sum("clicks").over(w).alias("c")).filter(F.col("v") >= least)
-    return r.select(*CREATIVE, "day", (F.lit(100.0) * F.col("c") / F.col("v")).alias("ctr"))
+    day = F.explode(F.sequence("day", F.least(F.date_add("day", length - 1), last), F.expr("interval 1 day")))
+    r = daily.filter(F.col("day") <= last).select(*CREATIVE, day.alias("day"), "views", "clicks").groupBy(*CREATIVE, "day").agg(F.sum("views").alias("v"), F.sum("clicks").alias("c"))
+    return r.filter(F.col("v") >= max(1, least)).select(*CREATIVE, "day", (F.lit(100.0) * F.col("c") / F.col("v")).alias("ctr"))
 
 
 def creative_fatigue(e: DataFrame, as_of: dt.date = AS_OF, least_daily: int = 10, least_rolling: int = 50, n: int | None = 50) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.metrics import is_type, n_if, pct, rank_in, seconds, top
-from .sessions import in_order
 
 DEEP = 3  # distinct pages that count as a conversion by depth
 STEPS = ((1, "Pricing View", ("/pricing",), ()), (2, "Signup", ("/signup",), ("signup",)), (3, "Checkout", ("/checkout",), ("purchase",)), (4, "Conversion", ("/thank-you",), ("conversion",)))
@@ -53,14 +52,15 @@ DROP_STAGES = ["no_engagement", "view_only", "clicked_no_scroll", "single_page",
 def drop_stages(e: DataFrame, least: int = 5) -> DataFrame:
     """At which of seven stages sessions of a campaign end."""
     s = e.filter("session_id is not null and campaign_id is not null").groupBy("session_id", "network", "campaign_id").agg(
-        in_order("type").alias("types"), F.count("*").alias("n"), F.count_distinct("url").alias("pages"), (n_if(is_type("conversion")) > 0).alias("converted")
+        F.min_by("type", F.struct("ts", "type")).alias("first"), *[(n_if(is_type(t)) > 0).alias(t) for t in ("click", "scroll")],
+        F.count("*").alias("n"), F.count_distinct("url").alias("pages"), (n_if(is_type("conversion")) > 0).alias("converted"),
     )
-    has = lambda *t: F.arrays_overlap("types", F.array(*map(F.lit, t)))
+    click, scroll = F.col("click"), F.col("scroll")
     stage = (
         F.when(F.col("n") == 1, "no_engagement")
-        .when((F.element_at("types", 1) == "pageview") & ~has("click", "scroll"), "view_only")
-        .when(has("click") & ~has("scroll"), "clicked_no_scroll")
-        .when(has("scroll") & (F.col("pages") < 2), "single_page")
+        .when((F.col("first") == "pageview") & ~click & ~scroll, "view_only")
+        .when(click & ~scroll, "clicked_no_scroll")
+        .when(scroll & (F.col("pages") < 2), "single_page")
         .when((F.col("pages") >= 2) & ~F.col("converted"), "multi_page_no_convert")
         .when(F.col("converted"), "converted")
         .otherwise("other")

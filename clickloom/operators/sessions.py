@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.metrics import bucket, is_type, n_if, pct, rank_in, seconds, top, with_total
-from ..sources.events import AS_OF, at, since
+from ..sources.events import AS_OF, at, between, since
 
 
 def gap_sessions(e: DataFrame, key: str = "user_id", timeout_minutes: float = 30.0) -> DataFrame:
@@ -75,7 +75,9 @@ def in_order(c: str):
 
 def common_paths(e: DataFrame, most_steps: int = 10, n: int = 50) -> DataFrame:
     """How often each sequence of viewed pages occurs."""
-    s = e.filter("session_id is not null and type = 'pageview'").groupBy("session_id").agg(in_order("url").alias("path"), F.count("*").alias("steps")).filter(F.col("steps") <= most_steps)
+    place = F.row_number().over(W.partitionBy("session_id").orderBy("ts", "url"))
+    s = e.filter("session_id is not null and type = 'pageview'").select("session_id", "ts", "url", place.alias("place")).filter(F.col("place") <= most_steps + 1)  # one more tells that there are too many
+    s = s.groupBy("session_id").agg(in_order("url").alias("path"), F.count("*").alias("steps")).filter(F.col("steps") <= most_steps)
     g = with_total(s.groupBy("path", "steps").agg(F.count("*").alias("frequency")), "frequency", "t")
     return top(g, n, F.desc("frequency"), F.asc("path")).select("path", "steps", "frequency", pct("frequency", "t").alias("percentage"))
 
@@ -125,10 +127,10 @@ def session_table(e: DataFrame) -> DataFrame:
 DURATIONS = [(10, "0-10s"), (30, "10-30s"), (60, "30-60s"), (180, "1-3m"), (300, "3-5m")]
 
 
-def recent_sessions(e: DataFrame, days: int, as_of: dt.date) -> DataFrame:
-    """The sessions that began in the last days before a day (or on it), whole."""
+def recent_sessions(e: DataFrame, days: int, as_of: dt.date, longest: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:
+    """The sessions that began in the last days before a day (or on it), whole. Events older than that by the longest session are not read."""
     start = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)
-    return session_table(e).filter(F.col("session_start") >= at(e, start))
+    return session_table(between(e, start - longest)).filter(F.col("session_start") >= at(e, start))
 
 
 def session_rows(e: DataFrame, as_of: dt.date = AS_OF, days: int = 7) -> DataFrame:

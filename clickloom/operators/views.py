@@ -211,10 +211,13 @@ def session_histogram(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
 
 
 def session_journeys(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
-    g = since(e, 7, as_of).filter("session_id is not null").groupBy("session_id", "user_id").agg(
+    """The pages of the sessions with the most events; lists are made of those sessions only."""
+    e = since(e, 7, as_of).filter("session_id is not null")
+    longest = top(e.groupBy("session_id", "user_id").agg(F.count("*").alias("n")).filter("n >= 2"), 50, F.desc("n"), F.asc("session_id")).withColumnRenamed("user_id", "owner")
+    e = e.alias("e").join(F.broadcast(longest.alias("s")), (F.col("e.session_id") == F.col("s.session_id")) & F.col("e.user_id").eqNullSafe(F.col("s.owner")), "left_semi")
+    return e.groupBy("session_id", "user_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "url"))), lambda x: x["url"]), " -> ").alias("journey"), F.count("*").alias("events"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end")
-    ).filter("events >= 2")
-    return top(g, 50, F.desc("events"), F.asc("session_id"))
+    ).orderBy(F.desc("events"), F.asc("session_id"))
 
 
 def user_totals(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
@@ -236,7 +239,7 @@ def engagement_levels(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
     level = F.when((v >= 5) & (m >= 5), "high").when((v >= 3) | (m >= 2), "medium").when(v >= 2, "low").otherwise("bounce")
     mean = lambda c: F.round(F.avg(c), 2)
     g = session_counts(e, as_of).groupBy(level.alias("engagement_level")).agg(F.count("*").alias("num_sessions"), mean("pageviews").alias("avg_pageviews"), mean("clicks").alias("avg_clicks"), mean("minutes").alias("avg_duration_minutes"))
-    return with_total(g, "num_sessions", "t").withColumn("pct_sessions", pct("num_sessions", "t")).drop("t")
+    return with_total(g, "num_sessions", "t", few=True).withColumn("pct_sessions", pct("num_sessions", "t")).drop("t")
 
 
 def link_decoration(e: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:

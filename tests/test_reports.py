@@ -45,7 +45,7 @@ def test_unknown_report(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    plan = catalog.run_report(spark, SF, "r02_ctr_by_campaign")._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.run_report(spark, SF, "r02_ctr_by_campaign", start=dt.datetime(2024, 1, 5), end=dt.datetime(2024, 1, 9))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "event_id" not in plan.split("ReadSchema")[1]
 
 
@@ -70,5 +70,29 @@ def test_means_on_a_rounding_border(spark):
     clicks = dict(enumerate([(1, 3), (2, 3), (1, 7), (2, 7), (3, 7), (4, 7), (5, 7), (0, 1)], 1))
     rows = [(dt.datetime(2024, 1, 10 + d), dt.date(2024, 1, 10 + d), "x", kind) for d, (c, v) in clicks.items() for kind in ["click"] * c + ["pageview"] * v]
     rows += [(dt.datetime(2024, 1, 30), dt.date(2024, 1, 30), "x", kind) for kind in ("click", "pageview")]
-    got = vi.ctr_change(spark.createDataFrame(rows, "ts timestamp_ntz, day date, h string, type string"), keys=("h",), least=1).first()
+    got = vi.ctr_change(spark.createDataFrame(rows, "ts timestamp_ntz, day date, h string, type string"), keys=("h",), known="h", least=1).first()
     assert (got["recent_ctr"], got["prior_ctr"]) == (100.0, 39.2863)
+
+
+@pytest.mark.parametrize("name", ["r10a_creative_fatigue", "r16_attribution_first_touch", "r17_attribution_last_touch", "r22_common_paths", "c09_dwell_histogram", "c12_funnel_drop_off", "q06_engagement_levels", "v04_daily_session_summary"])
+def test_events_are_read_once(spark, name):
+    report = catalog.run_report(spark, SF, name)
+    report.collect()
+    assert report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+def test_session_views_do_not_read_all_history(spark):
+    plan = catalog.run_report(spark, SF, "v05_session_funnels")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2023-12-25" in plan
+
+
+def test_buckets_come_in_order(spark):
+    order = lambda name, column: [r[column] for r in catalog.run_report(spark, SF, name).collect()]
+    found = order("c09_dwell_histogram", "dwell_bucket")
+    assert found == [x for x in ("0-5s", "5-10s", "10-20s", "20-30s", "30-60s", "1-2m", "2-5m", "5m+") if x in found]
+    stages = catalog.run_report(spark, SF, "c12_funnel_drop_off").collect()
+    rank = ["no_engagement", "view_only", "clicked_no_scroll", "single_page", "multi_page_no_convert", "converted", "other"].index
+    keys = [(r["campaign_id"], r["network"], rank(r["drop_stage"])) for r in stages]
+    assert keys == sorted(keys)
+    found = order("r27_returning_user_analysis", "user_segment")
+    assert found == [x for x in ("new", "returning_2", "returning_3_5", "returning_6_10", "returning_11_plus") if x in found]
