@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import filled, joined, ship, text_steps, tidied
 
@@ -239,7 +239,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, per_label: int = 1500, crop: int = 2000, most_rows: int = 12_000) -> LanguageModel | None:
-    """Train on at most most_rows hashed rows (per_label of each label, fewer if there are many labels) outside the held-out fold."""
+    """Train on at most most_rows hashed rows (per_label of each label, fewer if there are many labels; one of each at least) outside the held-out fold."""
     ship(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = known.groupBy("lang").count().orderBy("lang").collect()
@@ -255,8 +255,9 @@ def fit(docs: DataFrame, per_label: int = 1500, crop: int = 2000, most_rows: int
         .join(F.broadcast(shares), "lang")
         .filter(F.pmod(draw, F.lit(1 << 20)) < F.col("share") * (1 << 20))
         .select("lang", F.substring("text", start, F.lit(crop)).alias("part"), draw.alias("draw"))
+        .withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("draw", "part")))
+        .filter(F.col("place") <= each)  # of each label, so that no large one crowds out a small one
         .orderBy("draw", "lang", "part")
-        .limit(max(most_rows, len(counts)))
         .collect()
     )
     texts, labels, rows = [], [], []

@@ -61,6 +61,15 @@ def test_language_cases(odd, none, docs):
     assert one[0][0] == one[0][1] and one[1][0] == one[1][1]
 
 
+def test_language_rare_labels(spark):
+    """A label of one row is learned beside twenty of three hundred, and bounds hold."""
+    rows = [(i, f"{'abcdefghijklmnopqrst'[i % 20] * 6} {i} word", f"l{i % 20:02d}") for i in range(6000)]
+    for rare in range(4):
+        some = next(j for j in range(10_000 + 100 * rare, 20_000) if zlib.crc32(str(j).encode()) % 5)
+        model = langid.fit(spark.createDataFrame([*rows, (some, "zzz zzz zzz", "rare")], "doc_id long, text string, lang string"), most_rows=210)
+        assert "rare" in model.labels and len(model.labels) == 21
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
