@@ -118,6 +118,34 @@ rows AS (
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM rows, books"""
 
 
+def url_filter_sql() -> str:
+    """Rules, and decisions that reach aliases; links are read in their plain form (absolute, in double quotes, none in comments)."""
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rest = lambda x: f"CASE WHEN {x} LIKE '%://%' THEN substr({x}, strpos({x}, '://') + 3) ELSE '' END"
+    host, path = lambda x: lower(f"regexp_extract({x}, '^([^/?#]*)', 1)"), lambda x: f"regexp_extract({x}, '^[^/?#]*([^?#]*)', 1)"
+    node = lambda x: f"{host(x)} || coalesce(nullif({path(x)}, ''), '/') || regexp_extract({x}, '^[^?#]*(\\?[^#]*)', 1)"
+    fits = lambda h, p: f"({h} = h OR ends_with({h}, '.' || h)) AND starts_with({p}, p)"
+    return f"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+cut AS (SELECT page_id, url, html, {rest("url")} AS rest FROM pages),
+links AS (
+  SELECT rest, unnest([regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), regexp_extract(html, '<meta http-equiv="refresh" content="[0-9]+; *url=([^"]*)"', 1)]) AS link FROM cut WHERE rest <> '' AND html IS NOT NULL
+), pairs AS (SELECT {node("rest")} AS a, {node("goal")} AS b FROM (SELECT rest, {rest("link")} AS goal FROM links) WHERE goal <> ''),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT a, a FROM pairs UNION SELECT b, b FROM pairs),
+reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+judged AS (
+  SELECT node, verdict, row_number() OVER (PARTITION BY node ORDER BY length(h || p) DESC) AS r FROM (SELECT DISTINCT b AS node FROM edges) JOIN rules ON {fits(host("node"), path("node"))}
+), inherited AS (
+  SELECT a AS node FROM reach JOIN judged ON judged.node = reach.b AND r = 1 GROUP BY a HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+), own AS (
+  SELECT page_id, url, rule, verdict FROM (
+    SELECT DISTINCT page_id, url, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id, url ORDER BY length(h || p) DESC) AS r
+    FROM (SELECT DISTINCT page_id, url, rest FROM cut) JOIN rules ON {fits(host("rest"), path("rest"))}) WHERE r = 1
+)
+SELECT cut.page_id, {host("cut.rest")} AS host, {path("cut.rest")} AS path, rule, coalesce(verdict, CASE WHEN inherited.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM cut LEFT JOIN own ON own.page_id = cut.page_id AND own.url IS NOT DISTINCT FROM cut.url LEFT JOIN inherited ON cut.rest <> '' AND inherited.node = {node("cut.rest")}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
@@ -148,18 +176,7 @@ WITH v AS (
 ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
-    "op10_url_filter": r"""
-WITH cut AS (
-  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
-), rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-fits AS (
-  SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS r
-  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
-)
-SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id AND r = 1
-""",
+    "op10_url_filter": url_filter_sql(),
     "op11_vector_codes": vector_codes_sql(),
     "op13_fill_middle": r"""
 WITH units AS (

@@ -99,6 +99,35 @@ def test_fingerprint_likeness(spark, docs, none):
     assert not fingerprint.fingerprints(none).collect()
 
 
+def test_fingerprint_likeness_against_jaccard():
+    """Texts of different words that share a part: the estimate against the exact similarity of their shingles."""
+    draw = random.Random(3)
+    errors = []
+    for trial in range(60):
+        words = [f"w{trial}x{i}" for i in range(600)]
+        share = draw.randrange(0, 301)
+        a, b = words[:300], words[:share] + words[300 : 600 - share]
+        sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (a, b)]
+        x, y = (fingerprint.sums([" ".join(w)]) for w in (a, b))
+        errors.append(float(fingerprint.likeness(x, y)[0]) - len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+    assert np.abs(errors).max() < 0.2 and np.abs(errors).mean() < 0.06 and abs(np.mean(errors)) < 0.03
+
+
+def test_fingerprint_of_equal_lines(spark):
+    draw = random.Random(4)
+    rows = []
+    for group in range(20):
+        lines = [f"line {group} {i} " + "w " * draw.randrange(5) for i in range(12)] + [f"twice {group}"] * 2
+        for copy in range(3):
+            draw.shuffle(lines)
+            rows.append((10 * group + copy, "\n".join(lines)))
+        rows.append((10 * group + 3, "\n".join(lines[:-1])))
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for group in range(20):
+        assert len({got[10 * group + copy] for copy in range(3)}) == 1 and got[10 * group + 3] != got[10 * group]
+    assert len(set(got.values())) == 40
+
+
 def test_fingerprint_algebra():
     whole, a, b = (fingerprint.sums([t]) for t in ("one two three four\nx y\n\nz", "one two three four", "x y\n\nz"))
     both = fingerprint.combine(a, b)
@@ -868,6 +897,30 @@ def test_url_aliases(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, more).collect()}[7] == "block"
 
 
+def test_url_aliases_against_reachability(spark):
+    """Chains, stars and cycles of canonical links and refreshes over allowed and blocked hosts, against recursive SQL."""
+    import duckdb
+    import pandas as pd
+
+    from clickloom.llm.queries import ORACLE_SQL
+
+    draw = random.Random(5)
+    hosts = ["a.com", "B.com", "example.com", "evil.net", "example.net", "c.org", "d.io", "e.io"]
+    url = lambda i: f"http://{hosts[i % len(hosts)]}/{('de', 'en', 'fr', 'x')[i // 8 % 4]}/{i}" + "?q=1" * (i % 7 == 0)
+    rows = []
+    for i in range(600):
+        goal = draw.choice([None, None, i + 1, i + 40, draw.randrange(600)])
+        kind = draw.choice(['<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'])
+        rows.append((i, url(i), "<p>x" if goal is None else "<head>" + kind.format(url(goal) + "#top" * (i % 5 == 0)) + "</head>"))
+    rows += [rows[7], (601, None, rows[3][2]), (602, "no host", rows[3][2]), (603, "http://f.io", None)]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841  read by the SQL
+    want = sorted(duckdb.sql(ORACLE_SQL["op10_url_filter"]).fetchall(), key=str)
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in got.collect()), key=str) == want
+    inherited = [r for r in want if r[3] is None and r[4] == "block"]
+    assert len(inherited) > 30 and any(r[3] is None and r[4] == "allow" for r in want)
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 
