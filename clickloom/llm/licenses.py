@@ -16,11 +16,13 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -37,6 +39,21 @@ NOTICES = (
     ("licensed under the apache license version 2", "apache-2", {"apache": 1, "2|two|ii": 0}),
     ("apache license version 2", "apache-2", {"apache": 1, "2|two|ii": 0}),
     ("apache software license", "apache", {"apache": 1}),
+    ("apache license 2 0", "apache-2", {"apache": 1, "2|two|ii": 0}),
+    ("spdx license identifier mit", "mit", {"spdx": 1, "mit": 0}),
+    ("spdx license identifier apache 2 0", "apache-2", {"spdx": 1, "apache": 1, "2": 0}),
+    ("spdx license identifier bsd", "bsd", {"spdx": 1, "bsd": 0}),
+    ("spdx license identifier isc", "isc", {"spdx": 1, "isc": 0}),
+    ("spdx license identifier gpl", "gpl", {"spdx": 1, "gpl": 0}),
+    ("spdx license identifier lgpl", "lgpl", {"spdx": 1, "lgpl": 0}),
+    ("spdx license identifier agpl", "agpl", {"spdx": 1, "agpl": 0}),
+    ("spdx license identifier mpl", "mpl", {"spdx": 1, "mpl": 0}),
+    ("spdx license identifier cc0", "cc0", {"spdx": 1, "cc0": 0}),
+    ("gnu gpl v3", "gpl", {"gnu": 0, "gpl": 0}),
+    ("gnu gpl v2", "gpl", {"gnu": 0, "gpl": 0}),
+    ("gnu lgpl", "lgpl", {"gnu": 0, "lgpl": 0}),
+    ("gnu agpl", "agpl", {"gnu": 0, "agpl": 0}),
+    ("creative commons attribution 4 0", "cc-by", {"attribution": 2, "4|3|2": 0}),
     ("creative commons attribution noncommercial", "cc-by-nc", {"noncommercial": 2}),
     ("creative commons attribution sharealike", "cc-by-sa", {"sharealike": 2}),
     ("creative commons attribution noderivatives", "cc-by-nd", {"noderivatives": 2}),
@@ -70,8 +87,8 @@ NOTICES = (
     ("zope public license", "zpl", {"zope": 0}),
     ("redistribution and use in source and binary forms", "bsd", {}),
     ("under the bsd license", "bsd", {"bsd": 0}),
-    ("bsd 3 clause license", "bsd", {"bsd": 0}),
-    ("bsd 2 clause license", "bsd", {"bsd": 0}),
+    ("bsd 3 clause", "bsd", {"bsd": 0}),
+    ("bsd 2 clause", "bsd", {"bsd": 0}),
     ("under the isc license", "isc", {"isc": 0}),
     ("permission to use copy modify and or distribute this software for any purpose", "isc", {}),
     ("under the zlib license", "zlib", {"zlib": 0}),
@@ -165,9 +182,13 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int]]:
                     found[key] = (match.end(), edits)
                 a = reach = match.end()
     # of overlapping matches of one label the one with the fewest edits stays
-    kept = []
-    for (label, start), (end, edits) in sorted(found.items(), key=lambda x: (x[1][1], x[0][1])):
-        if all(label != k[0] or end <= k[1] or start >= k[2] for k in kept):
+    kept, taken = [], {}  # of each label: starts and ends in order, that do not overlap
+    for (label, start), (end, edits) in sorted(found.items(), key=lambda x: (x[1][1], x[0][1], x[0][0])):
+        starts, ends = taken.setdefault(label, ([], []))
+        i = bisect_right(starts, start)
+        if (i == 0 or ends[i - 1] <= start) and (i == len(starts) or end <= starts[i]):
+            starts.insert(i, start)
+            ends.insert(i, end)
             kept.append((label, start, end, edits))
     return sorted(kept, key=lambda k: (k[1], k[0]))
 
@@ -175,18 +196,20 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int]]:
 def scan(text: str) -> tuple:
     """The output columns after doc_id for one text."""
     words = b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()) + b" "
-    n_words = words.count(b" ") - 1 if len(words) > 2 else 0
+    blanks = np.flatnonzero(np.frombuffer(words, dtype=np.uint8) == 32)
+    before = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  blanks before a place
+    n_words = len(blanks) - 1 if len(words) > 2 else 0
     base, labels, spans, score = [], set(), [], 0.0
     for phrase, label in PHRASES.items():
         for at in places(words, phrase.encode()):
-            base.append(words.count(b" ", 0, at))
+            base.append(before(at))
             labels.add(label)
             score = 1.0
     near = fuzzy(words)
     if near:
         spans_of = [m.span() for m in _WORD.finditer(text)]
         for label, start, end, edits in near:
-            first, last = words.count(b" ", 0, start) - 1, words.count(b" ", 0, end) - 1
+            first, last = before(start) - 1, before(end) - 1
             spans.append({"label": label, "start": spans_of[max(first, 0)][0], "end": spans_of[max(last, 0)][1], "edits": edits})
             score = max(score, 1.0 - edits / max(1, end - start))
     every = labels | {s["label"] for s in spans}

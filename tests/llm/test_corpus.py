@@ -419,6 +419,33 @@ def test_licenses_against_edit_distance():
             assert edits and s["edits"] >= min(edits), (text, s)
 
 
+@pytest.mark.parametrize(
+    "text, label",
+    [("Apache License 2.0", "apache-2"), ("Apache License, Version 2.0", "apache-2"), ("GNU GPL v3", "gpl"), ("bsd-3-clause", "bsd"), ("SPDX-License-Identifier: MIT", "mit"),
+     ("SPDX-License-Identifier: Apache-2.0", "apache-2"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"), ("SPDX-License-Identifier: LGPL-2.1", "lgpl"), ("creative commons attribution 4.0", "cc-by")],
+)
+def test_names_of_licenses(text, label):
+    assert licenses.scan(f"see {text} here")[5] == label and licenses.scan(text)[5] == label
+
+
+def test_many_notices_in_one_text_are_linear():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        began = time.process_time()
+        found = licenses.scan("under the mit license and gnu general public license " * n)
+        took.append(time.process_time() - began)
+        assert found[1] == n and len(found[7]) >= 2 * n
+    assert took[1] < 24 * took[0]
+
+
+def test_ties_of_labels():
+    """Overlapping matches of one label give one span, those of two labels one each."""
+    spans = licenses.scan("licensed under the apache license version 2 and the mit license")[7]
+    assert [s["label"] for s in spans] == ["apache-2", "mit"] and all(s["edits"] == 0 for s in spans)
+
+
 def test_licenses_repeated_and_long(spark):
     text = "word " * 200_000 + "under the mit license " + "word " * 200_000 + "mozila public license"
     rows = [(1, text), (1, text), (2, "apache license version 2 " * 3)]
