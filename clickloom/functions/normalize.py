@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .maps import lower_keys
 
-# How networks are known (utm_source values, key prefix, click ids) and where they keep each field.
+# How networks are known (utm_source values, key prefix, click ids), and the keys that may hold each field, in order.
 NETWORKS: dict[str, tuple[tuple[str, ...], str | None, tuple[str, ...]]] = {
     "taboola": (("taboola", "tb"), "tb_", ()),
     "outbrain": (("outbrain", "ob"), "ob_", ()),
@@ -16,17 +16,80 @@ NETWORKS: dict[str, tuple[tuple[str, ...], str | None, tuple[str, ...]]] = {
     "meta": (("facebook", "instagram", "meta"), None, ("fbclid", "igshid")),
 }
 UNKNOWN = "unknown"
-_GOOGLE_AD, _META_AD = "adgroupid adgroup_id feeditemid feed_item_id", "ad_id adid"
-FIELDS: dict[str, dict[str, str]] = {
-    "campaign_id": {**dict.fromkeys(("taboola", "outbrain", "mgid", "revcontent", UNKNOWN), "utm_campaign"), **dict.fromkeys(("googleads", "meta"), "utm_campaign campaignid campaign_id")},
-    "ad_id": {"taboola": "tb_item", "outbrain": "ob_item", "mgid": "mg_id", "revcontent": "rc_id", "googleads": _GOOGLE_AD, "meta": _META_AD, UNKNOWN: "ad_id adid item"},
-    "creative_id": {"taboola": "tb_image", "outbrain": "ob_creative", "mgid": "mg_id", "revcontent": "rc_id", "googleads": _GOOGLE_AD + " utm_content", "meta": _META_AD + " adset_id adsetid utm_content", UNKNOWN: "creative creative_id asset"},
-    "publisher_id": {"taboola": "tb_publisher tb_site", "outbrain": "ob_publisher ob_site", "mgid": "mg_site mg_publisher", "revcontent": "rc_site rc_publisher", "googleads": "siteid site_id", "meta": "siteid site_id", UNKNOWN: "publisher pub site"},
-    "placement_id": {"taboola": "tb_placement", "outbrain": "ob_placement", "mgid": "mg_placement", "revcontent": "rc_placement", "googleads": "targetid target_id placement", "meta": "placementid placement_id", UNKNOWN: "placement position"},
-    "headline": {"taboola": "tb_headline", "outbrain": "", "mgid": "mg_title", "revcontent": "rc_title", "googleads": "headline keyword placement utm_term target", "meta": "headline ad_name adname utm_term", UNKNOWN: "headline title head"},
-    "image_id": {"taboola": "tb_image", "outbrain": "ob_creative", "mgid": "mg_image", "revcontent": "rc_thumb", "googleads": "imageid image_id creative", "meta": "imageid image_id creative", UNKNOWN: "image img thumb thumbnail"},
-    "item_id": {"taboola": "tb_item", "outbrain": "ob_item", "mgid": "mg_id", "revcontent": "rc_id", "googleads": "feeditemid feed_item_id adgroupid adgroup_id", "meta": "ad_id adid adset_id adsetid", UNKNOWN: "item asset"},
-}
+FIELDS: dict[str, dict[str, tuple[str, ...]]] = {
+    "campaign_id": {
+        "taboola": ("utm_campaign",),
+        "outbrain": ("utm_campaign",),
+        "mgid": ("utm_campaign",),
+        "revcontent": ("utm_campaign",),
+        "googleads": ("utm_campaign", "campaignid", "campaign_id"),
+        "meta": ("utm_campaign", "campaignid", "campaign_id"),
+        UNKNOWN: ("utm_campaign",),
+    },
+    "ad_id": {
+        "taboola": ("tb_item",),
+        "outbrain": ("ob_item",),
+        "mgid": ("mg_id",),
+        "revcontent": ("rc_id",),
+        "googleads": ("adgroupid", "adgroup_id", "feeditemid", "feed_item_id"),
+        "meta": ("ad_id", "adid"),
+        UNKNOWN: ("ad_id", "adid", "item"),
+    },
+    "creative_id": {
+        "taboola": ("tb_image",),
+        "outbrain": ("ob_creative",),
+        "mgid": ("mg_id",),
+        "revcontent": ("rc_id",),
+        "googleads": ("adgroupid", "adgroup_id", "feeditemid", "feed_item_id", "utm_content"),
+        "meta": ("ad_id", "adid", "adset_id", "adsetid", "utm_content"),
+        UNKNOWN: ("creative", "creative_id", "asset"),
+    },
+    "publisher_id": {
+        "taboola": ("tb_publisher", "tb_site"),
+        "outbrain": ("ob_publisher", "ob_site"),
+        "mgid": ("mg_site", "mg_publisher"),
+        "revcontent": ("rc_site", "rc_publisher"),
+        "googleads": ("siteid", "site_id"),
+        "meta": ("siteid", "site_id"),
+        UNKNOWN: ("publisher", "pub", "site"),
+    },
+    "placement_id": {
+        "taboola": ("tb_placement",),
+        "outbrain": ("ob_placement",),
+        "mgid": ("mg_placement",),
+        "revcontent": ("rc_placement",),
+        "googleads": ("targetid", "target_id", "placement"),
+        "meta": ("placementid", "placement_id"),
+        UNKNOWN: ("placement", "position"),
+    },
+    "headline": {
+        "taboola": ("tb_headline",),
+        "outbrain": (),
+        "mgid": ("mg_title",),
+        "revcontent": ("rc_title",),
+        "googleads": ("headline", "keyword", "placement", "utm_term", "target"),
+        "meta": ("headline", "ad_name", "adname", "utm_term"),
+        UNKNOWN: ("headline", "title", "head"),
+    },
+    "image_id": {
+        "taboola": ("tb_image",),
+        "outbrain": ("ob_creative",),
+        "mgid": ("mg_image",),
+        "revcontent": ("rc_thumb",),
+        "googleads": ("imageid", "image_id", "creative"),
+        "meta": ("imageid", "image_id", "creative"),
+        UNKNOWN: ("image", "img", "thumb", "thumbnail"),
+    },
+    "item_id": {
+        "taboola": ("tb_item",),
+        "outbrain": ("ob_item",),
+        "mgid": ("mg_id",),
+        "revcontent": ("rc_id",),
+        "googleads": ("feeditemid", "feed_item_id", "adgroupid", "adgroup_id"),
+        "meta": ("ad_id", "adid", "adset_id", "adsetid"),
+        UNKNOWN: ("item", "asset"),
+    },
+}
 
 
 def _starts(prefix: str):
@@ -45,7 +108,7 @@ def network_of(params: Column) -> Column:
 
 def field_of(params: Column, network: Column, field: str) -> Column:
     """A field's value: the first of the network's candidate keys that is there (lower-case keys)."""
-    lists = F.create_map(*[x for name, keys in FIELDS[field].items() for x in (F.lit(name), F.array(*map(F.lit, keys.split())).cast("array<string>"))])
+    lists = F.create_map(*[x for name, keys in FIELDS[field].items() for x in (F.lit(name), F.array(*map(F.lit, keys)).cast("array<string>"))])
     found = F.transform(F.try_element_at(lists, network), lambda k: F.try_element_at(params, k))
     return F.try_element_at(F.filter(found, lambda v: v.isNotNull()), F.lit(1))
 
