@@ -36,4 +36,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         small = large.join(least, "high").select(F.col("m").alias("low"), F.explode(moved).alias("high"))
         before, edges = edges, written(small.filter("low < high").distinct().coalesce(files), "star")
         discard(before)
-    return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
+    stars = edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
+    stars = stars.unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
+    stars._path = edges._path  # so `discard` deletes the edges
+    return stars
