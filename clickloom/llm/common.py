@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +28,7 @@ KEPT_WORDS, LONGEST_WORD = 100_000, 48
 
 
 BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -86,6 +88,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files when the query has ended; its result has to be written. The session's setting is put back."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one for files that tasks write themselves; it goes with the written tables."""
     if not _TABLES:

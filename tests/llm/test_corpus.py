@@ -198,7 +198,7 @@ def test_jaccard_components(spark, docs, odd, none, n, p, q):
     assert not jaccard.similarity_components(none, n, p, q).collect()
 
 
-@pytest.mark.parametrize("changed", [{}, {"DIRECT": 0.02}, {"DIRECT": 0.02, "SMALL": 2}, {"LARGE": 4}, {"BROADCAST_ROWS": 0, "GROUP": 3}], ids=str)
+@pytest.mark.parametrize("changed", [{}, {"DIRECT": 0.02}, {"DIRECT": 0.02, "SMALL": 2}, {"LARGE": 4}, {"BROADCAST_ROWS": 0, "GROUP": 3}, {"ONE_TURN": 0}], ids=str)
 def test_jaccard_routes(spark, monkeypatch, changed):
     """Every route (direct or further rounds, small or led buckets, broadcast or shuffle) gives the same components."""
     for name, value in changed.items():
