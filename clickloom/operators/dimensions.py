@@ -83,10 +83,15 @@ def user_trees(e: DataFrame, goals: tuple[str, ...] = ("conversion",)) -> DataFr
 
 
 def converting_sessions(e: DataFrame, goals: tuple[str, ...] = ("conversion", "purchase")) -> DataFrame:
-    """Each goal event with the session that holds it: equal user, and its time within the session's bounds."""
-    s = summed(minute_sessions(e), "user_id", "seq").select("user_id", "seq", "session_start", "session_end", "source_network")
-    c = e.filter(F.col("type").isin(*goals)).select("user_id", F.col("ts").alias("goal_ts"), F.col("type").alias("goal"))
-    return c.join(s, "user_id").filter("goal_ts between session_start and session_end")
+    """Each goal event with the session that holds it: equal user, and its time within the session's bounds.
+
+    A user's sessions do not overlap and goals are events of them, so a goal's own session is the one that holds it: its bounds come from
+    windows over (user, seq), which need no further shuffle, and no session meets a goal of another one. Goals without a time are in none.
+    """
+    w = W.partitionBy("user_id", "seq")
+    s = minute_sessions(e.select("user_id", "ts", "type", "network")).withColumns({"session_start": F.min("ts").over(w), "session_end": F.max("ts").over(w), "source_network": F.min_by("network", "ts").over(w)})
+    goal = s.filter(F.col("type").isin(*goals) & F.col("ts").isNotNull())
+    return goal.select("user_id", F.col("ts").alias("goal_ts"), F.col("type").alias("goal"), "seq", "session_start", "session_end", "source_network")
 
 
 def enriched(e: DataFrame, creatives: DataFrame) -> DataFrame:

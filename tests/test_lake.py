@@ -156,6 +156,22 @@ def test_user_trees(spark):
     assert di.converting_sessions(e).first()["seq"] == 1
 
 
+def test_converting_sessions_meet_only_their_own_goals(spark):
+    """A user with very many sessions and goals: as the join by bounds, with one shuffle and no join in the plan."""
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)
+    rows = [("bot", at(40 * i + j), ("click", "conversion", "purchase")[j % 3], f"n{i % 3}") for i in range(60) for j in range(4)]
+    rows += [("u", at(0), "click", "x"), ("u", at(30), "conversion", "y"), ("u", None, "conversion", "z"), (None, at(5), "conversion", "x"), ("v", at(3), "purchase", None)]
+    e = spark.createDataFrame(rows, "user_id string, ts timestamp_ntz, type string, network string")
+    got = di.converting_sessions(e)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    numbered = di.minute_sessions(e)
+    s = numbered.groupBy("user_id", "seq").agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.min_by("network", "ts").alias("source_network"))
+    c = e.filter("type in ('conversion', 'purchase')").select("user_id", F.col("ts").alias("goal_ts"), F.col("type").alias("goal"))
+    want = c.join(s, "user_id").filter("goal_ts between session_start and session_end").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 60 * 2 + 2
+
+
 def test_migrations(spark, tmp_path):
     known = [mi.Migration.from_file(f"V00{i}__step_{i}.sql", f"SELECT {i}", f"SELECT -{i}") for i in (1, 2, 3)]
     m = mi.Migrations(spark, str(tmp_path / "ledger"), known)
