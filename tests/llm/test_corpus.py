@@ -232,6 +232,25 @@ def test_jaccard_large_group(spark):
     assert sorted(got, key=str) == sorted(brute_components(near, 3, 90, 100) + [(r["doc_id"], 5, 2000) for r in same], key=str)
 
 
+@pytest.mark.parametrize("copies", [8, 120])
+def test_jaccard_common_passage(spark, monkeypatch, copies):
+    """Texts that share half of their words meet in many buckets, but are not compared all with all."""
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(100)]
+    rows = [Row(doc_id=i, text=" ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(100)])) for i in range(copies)]
+    rows += [Row(doc_id=1000 + i, text=f"{rows[i]['text']} and more") for i in (0, 1)]
+    asked, verified = [], jaccard.verified
+
+    def counted(pairs, *others):
+        asked.append(pairs.filter("not deep").count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = [tuple(r) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80, 100)
+    assert sum(asked) <= 4
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
