@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from clickloom.operators import views as vi
 from clickloom.plans import catalog, extras, oracle
@@ -39,6 +40,19 @@ def test_report(spark, tables, name):
     assert normal(got) == normal(want)
 
 
+def test_percentiles_of_odd_groups(spark):
+    """Places are exact for repeated, missing and far-off values and for missing keys, and no task gathers a group's values."""
+    rows = [("a", None, float(i % 7)) for i in range(200)] + [(None, "x", 1e9), (None, "x", None), ("b", "x", None)]
+    rows += [("c", "y", v) for v in (-5.0, 3.0, 3.0, 1e300)] + [("c", "z", float(i * i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, m string, v double")
+    for p in (0.0, 0.5, 0.9, 1.0):
+        want = df.rollup("k", "m").agg(F.grouping_id().alias("level"), F.percentile("v", F.lit(p)).alias("p")).filter("p is not null")
+        got = extras.rollup_percentile(df, ["k", "m"], "v", p)
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, (tuple(r) for r in want.collect())))
+    plan = extras.lineitem_profile(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan
+
+
 def test_unknown_report(spark):
     with pytest.raises(KeyError, match="r01_daily_summary"):
         catalog.run_report(spark, SF, "nothing")
