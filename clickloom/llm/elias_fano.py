@@ -14,6 +14,7 @@ import numpy as np
 
 CHUNK = 128  # numbers; 2 * CHUNK high bits are WORDS words
 WORDS = 2 * CHUNK // 64
+WALK = 4  # numbers of one high part that a search looks at one by one
 STEP = 1 << 14  # places or keys at a time, so that the work stays in the processor's cache
 U64 = np.uint64
 _ONE, _SIX = U64(1), [(U64(w), U64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
@@ -110,9 +111,23 @@ class Monotone:
         bucket, target = rest >> width, rest & ((1 << width) - 1)
         zeros = ~self.high[chunk]
         counts = np.bitwise_count(zeros).cumsum(axis=1, dtype=np.int64)
-        end = _select(zeros, counts, bucket) - bucket  # numbers with this high part: from `low` to `end`
-        low = np.where(bucket > 0, _select(zeros, counts, np.maximum(bucket - 1, 0)) - np.maximum(bucket - 1, 0), 0)
-        high = end.copy()
+        i = _select(zeros, counts, bucket) - bucket - 1  # the last number that has no larger high part, and its bit if it has this one
+        bit = i + bucket
+        open_ = np.arange(len(chunk))
+        for _ in range(WALK):  # most high parts have few numbers
+            open_ = open_[bit[open_] >= 0]
+            open_ = open_[(self.high[chunk[open_], bit[open_] >> 6] >> (bit[open_] & 63).astype(U64)) & _ONE == 1]
+            value = self._low(chunk[open_], i[open_], width[open_])
+            hit = open_[value == target[open_]]
+            out[some[hit]] = np.minimum(chunk[hit] * CHUNK + i[hit], self.n - 1)  # the last number fills its chunk
+            open_ = open_[value > target[open_]]
+            i[open_] -= 1
+            bit[open_] -= 1
+        if not len(open_):
+            return out
+        some, chunk, width, bucket, target, high = some[open_], chunk[open_], width[open_], bucket[open_], target[open_], i[open_] + 1
+        low = np.where(bucket > 0, _select(zeros[open_], counts[open_], np.maximum(bucket - 1, 0)) - np.maximum(bucket - 1, 0), 0)
+        end = high.copy()
         open_ = np.flatnonzero(low < high)
         while len(open_):  # the successor of the low part
             middle = (low[open_] + high[open_]) // 2

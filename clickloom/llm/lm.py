@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _LOWER, _SPACE, STEP_BYTES, U64, filled, mix, shared_folder, ship, text_steps, tidied
+from .common import _LOWER, _SPACE, STEP_BYTES, U64, filled, mix, shared_folder, ship, shuffles_dropped, text_steps, tidied
 from .elias_fano import Monotone, from_buffer, packed, to_bytes
 
 STEP_TOKENS = 1 << 20
@@ -258,7 +258,8 @@ def keys_of(trie: Trie, k: int, ids: np.ndarray, heads: np.ndarray, place: np.nd
         place = places(trie, 2, ids, heads)
     at = np.flatnonzero(context >= 0)
     place, before = place[at], before[at]
-    successor = np.where(place >= 0, place - trie.levels[0].pointers(before), trie.v + 1)  # the last number is no one's
+    words, back = np.unique(before, return_inverse=True)
+    successor = np.where(place >= 0, place - trie.levels[0].pointers(words)[back], trie.v + 1)  # the last number is no one's
     return at, context[at] * trie.stride + successor, context[at]
 
 
@@ -335,8 +336,8 @@ def _sent(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["shard", "keys", "counts"])
 
 
-def _merged(sent: DataFrame, folder: str, share_of=None, stride: int = 1) -> list:
-    """Merge what was sent, shard by shard, into files; a row for each file."""
+def _merged(sent: DataFrame, folder: str, share_of=None, stride: int = 1, last: bool = False) -> list:
+    """Merge what was sent, shard by shard, into files; a row for each file. Nothing asks for the sums of the last level of several."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_unplaned(x).cumsum() for x in group["keys"]])
@@ -346,11 +347,13 @@ def _merged(sent: DataFrame, folder: str, share_of=None, stride: int = 1) -> lis
         if share_of:
             arrays["share"] = logs(counts / share_of(keys // stride))
         save(f"{folder}/keys-{shard:08d}", arrays)
-        save(f"{folder}/sums-{shard:08d}", {"sum": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)})
+        if not last:
+            save(f"{folder}/sums-{shard:08d}", {"sum": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)})
         load.cache_clear()
         return pd.DataFrame({"shard": [shard], "first": [keys[0]], "entries": [len(keys)], "tokens": [counts.sum()], "last": [keys[-1]], "last_count": [counts[-1]]})
 
-    return sent.groupBy("shard").applyInPandas(run, "shard int, first long, entries long, tokens long, last long, last_count long").collect()
+    with shuffles_dropped(sent.sparkSession):
+        return sent.groupBy("shard").applyInPandas(run, "shard int, first long, entries long, tokens long, last long, last_count long").collect()
 
 
 def _words(docs: DataFrame, folder: str, block_tokens: int) -> Trie:
@@ -376,7 +379,7 @@ def _words(docs: DataFrame, folder: str, block_tokens: int) -> Trie:
     return Trie((Level.of(folder, rows),), sum(r["tokens"] for r in rows) - texts, sum(r["entries"] for r in rows) - 1, seed)
 
 
-def _next_level(docs: DataFrame, trie: Trie, folder: str, block_tokens: int) -> Trie:
+def _next_level(docs: DataFrame, trie: Trie, folder: str, block_tokens: int, last: bool) -> Trie:
     k = len(trie.levels) + 1
     above = trie.levels[-1]
 
@@ -391,7 +394,7 @@ def _next_level(docs: DataFrame, trie: Trie, folder: str, block_tokens: int) ->
             rank = first + tokens * ((keys % trie.stride) / trie.stride)
             yield _sent(keys, counts.astype(np.int64), np.maximum.accumulate((rank // block_tokens).astype(np.int64)))
 
-    rows = _merged(docs.select("text").mapInArrow(_mapped(run), SHARED), folder, lambda context: above.sums(context)[1], trie.stride)
+    rows = _merged(docs.select("text").mapInArrow(_mapped(run), SHARED), folder, lambda context: above.sums(context)[1], trie.stride, last)
     grown = replace(trie, levels=(*trie.levels, Level.of(folder, rows)))
     _weigh(docs, grown)
     return grown
@@ -438,7 +441,7 @@ def learn(docs: DataFrame, order: int = 2, block_tokens: int = BLOCK_TOKENS) ->
     if not trie.n:
         return Trie()
     for k in range(2, order + 1):
-        trie = _next_level(docs, trie, f"{root}/{k}", block_tokens)
+        trie = _next_level(docs, trie, f"{root}/{k}", block_tokens, k == order)
     return trie
 
 

@@ -72,6 +72,24 @@ def test_against_dictionaries(docs, odd, order, block):  # noqa: F811
             assert abs(a[4] - b[4]) <= a[1] * 0.002 * order  # 16-bit logarithms
 
 
+def test_query_learns_triples(spark, docs):  # noqa: F811
+    """The query's scores are those of three levels, in which words stand as relative successors."""
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = Brute([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for r in QUERIES["op12_lm_scores"](spark, SF).filter("doc_id % 5 = 0").collect():
+        assert abs(r["score"] - model.score(texts[r["doc_id"]])) <= r["n_tokens"] * 0.006
+
+
+def test_searches_in_uneven_chunks():
+    """Searches agree with a set where many numbers share a high part, and where few do."""
+    rng = np.random.default_rng(5)
+    for parts in ((np.arange(127), [10**12]), (rng.integers(0, 300, 200), rng.integers(0, 10**9, 700)), (rng.integers(0, 10**15, 3000),)):
+        values = np.unique(np.concatenate(parts))
+        asked = np.unique(np.concatenate([values, values + 1, values - 1, rng.integers(0, values[-1] + 2, 500)]))
+        places = {int(x): i for i, x in enumerate(values)}
+        assert Monotone(packed(values)).find(asked).tolist() == [places.get(int(x), -1) for x in asked]
+
+
 def test_query(spark, docs):  # noqa: F811
     rows = QUERIES["op12_lm_scores"](spark, SF).collect()
     held = [r for r in rows if r["held_out"]]
