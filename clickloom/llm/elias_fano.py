@@ -2,7 +2,7 @@
 
 Of the numbers of a chunk, less its first one, the low bits stand in a fixed width side by side; the high bits are a unary bit vector of
 two bits a number at most: number i with high part h sets bit h + i. The first numbers of the chunks are kept as they are, so that a
-search bisects those and then looks into four words. All operations take arrays of places or keys at once.
+search bisects those and then looks into two words. All operations take arrays of places or keys at once.
 """
 
 from __future__ import annotations
@@ -12,27 +12,28 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CHUNK = 128  # numbers; 2 * CHUNK high bits are WORDS words
-WORDS = 2 * CHUNK // 64
+CHUNK = 64  # numbers; their 2 * CHUNK high bits are two words
 WALK = 4  # numbers of one high part that a search looks at one by one
 STEP = 1 << 14  # places or keys at a time, so that the work stays in the processor's cache
 U64 = np.uint64
-_ONE, _SIX = U64(1), [(U64(w), U64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
-
-
-def _select(words: np.ndarray, counts: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of bit number k that is set in each row of words; counts are the set bits up to each word's end."""
-    at = (counts <= k[:, None]).sum(axis=1)
-    row = np.arange(len(k))
-    rest = k - np.where(at > 0, counts[row, at - 1], 0)
-    word, place = words[row, at], at * 64
-    for width, mask in _SIX:
-        low = np.bitwise_count(word & mask).astype(np.int64)
-        go = rest >= low
-        rest -= np.where(go, low, 0)
+_ONE, _HALVES = U64(1), [(U64(w), U64((1 << w) - 1)) for w in (32, 16, 8)]
+#: The place of bit number k that is set in a byte, at byte * 8 + k; 0 where there are fewer.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], dtype=np.uint8).ravel()
+
+
+def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of bit number k that is set in each row of two words."""
+    inside = np.bitwise_count(words[:, 0])
+    go = k >= inside
+    word = np.where(go, words[:, 1], words[:, 0])
+    rest, place = k.astype(np.uint8) - inside * go, go * np.uint8(64)  # all of these fit into bytes
+    for width, mask in _HALVES:
+        inside = np.bitwise_count(word & mask)
+        go = rest >= inside
+        rest -= inside * go
         word = np.where(go, word >> width, word)
-        place += np.where(go, int(width), 0)
-    return place
+        place += go * np.uint8(width)
+    return (place + _IN_BYTE[((word & U64(255)) << U64(3)).astype(np.int64) + rest]).astype(np.int64)
 
 
 def packed(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -48,18 +49,18 @@ def packed(values: np.ndarray) -> dict[str, np.ndarray]:
     bits = np.zeros((chunks, 2 * CHUNK), dtype=np.uint8)
     np.put_along_axis(bits, (rest >> width[:, None]) + np.arange(CHUNK), 1, axis=1)
     high = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-    start = np.concatenate([[0], np.cumsum(width * (CHUNK // 64))])
+    start = np.concatenate([[0], np.cumsum(width)])
     low = np.zeros(start[-1] + 1, dtype="<u8")
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
         x = (rest[own] & ((1 << w) - 1)).astype(U64)
-        words = np.zeros((len(own), w * (CHUNK // 64) + 1), dtype=U64)
+        words = np.zeros((len(own), w + 1), dtype=U64)
         for i in range(CHUNK):
             at, shift = divmod(i * w, 64)
             words[:, at] |= x[:, i] << U64(shift)
             if shift + w > 64:
                 words[:, at + 1] |= x[:, i] >> U64(64 - shift)
-        low[start[own][:, None] + np.arange(w * (CHUNK // 64))] = words[:, :-1]
+        low[start[own][:, None] + np.arange(w)] = words[:, :-1]
     return {"n": np.array([n]), "first": first, "start": start, "high": high, "low": low}
 
 
@@ -69,10 +70,10 @@ class Monotone:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n = int(arrays["n"][0])
         self.first, self.start, self.low = arrays["first"], arrays["start"], arrays["low"]
-        self.high = arrays["high"].reshape(-1, WORDS)
+        self.high = arrays["high"].reshape(-1, 2)
 
     def _width(self, chunk: np.ndarray) -> np.ndarray:
-        return (self.start[chunk + 1] - self.start[chunk]) // (CHUNK // 64)
+        return self.start[chunk + 1] - self.start[chunk]
 
     def _low(self, chunk: np.ndarray, i: np.ndarray, width: np.ndarray) -> np.ndarray:
         bit = i * width
@@ -87,8 +88,8 @@ class Monotone:
 
     def _at(self, places: np.ndarray) -> np.ndarray:
         chunk, i = places // CHUNK, places % CHUNK
-        words, width = self.high[chunk], self._width(chunk)
-        place = _select(words, np.bitwise_count(words).cumsum(axis=1, dtype=np.int64), i)
+        width = self._width(chunk)
+        place = _select(self.high[chunk], i)
         return self.first[chunk] + (((place - i) << width) | self._low(chunk, i, width))
 
     def values(self) -> np.ndarray:
@@ -110,8 +111,7 @@ class Monotone:
         chunk, rest, width = chunk[some], rest[some], width[some]
         bucket, target = rest >> width, rest & ((1 << width) - 1)
         zeros = ~self.high[chunk]
-        counts = np.bitwise_count(zeros).cumsum(axis=1, dtype=np.int64)
-        i = _select(zeros, counts, bucket) - bucket - 1  # the last number that has no larger high part, and its bit if it has this one
+        i = _select(zeros, bucket) - bucket - 1  # the last number that has no larger high part, and its bit if it has this one
         bit = i + bucket
         open_ = np.arange(len(chunk))
         for _ in range(WALK):  # most high parts have few numbers
@@ -126,7 +126,7 @@ class Monotone:
         if not len(open_):
             return out
         some, chunk, width, bucket, target, high = some[open_], chunk[open_], width[open_], bucket[open_], target[open_], i[open_] + 1
-        low = np.where(bucket > 0, _select(zeros[open_], counts[open_], np.maximum(bucket - 1, 0)) - np.maximum(bucket - 1, 0), 0)
+        low = np.where(bucket > 0, _select(zeros[open_], np.maximum(bucket - 1, 0)) - np.maximum(bucket - 1, 0), 0)
         end = high.copy()
         open_ = np.flatnonzero(low < high)
         while len(open_):  # the successor of the low part

@@ -41,8 +41,8 @@ from .elias_fano import Monotone, from_buffer, packed, to_bytes
 STEP_TOKENS = 1 << 20
 BLOCK_TOKENS = 2 << 20
 START, END = 1 << 62, (1 << 62) - 1  # the keys of the start mark (after those of all words) and of the end
-LONGEST = 256  # bytes of a word that is hashed by byte and place
-_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+LONGEST = 256  # bytes of a word that is not hashed by digest
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)  # so many of eight bytes
 SCALE = 2048  # steps of a 16-bit logarithm in a power of ten
 SHARED = "shard int, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -123,20 +123,11 @@ class Level:
         return out
 
     def take(self, places: np.ndarray, read) -> np.ndarray:
-        """read(block, places in it) for places in any order."""
+        """read(block, places in it) for ascending places, so that each block has a slice of them: however many blocks there are, each place is seen once."""
         if not len(places):
             return np.empty(0, dtype=np.int64)
-        of = np.searchsorted(self.entries, places, side="right") - 1
-        blocks = np.unique(of)
-        if len(blocks) == 1:
-            return read(int(blocks[0]), places - self.entries[blocks[0]])
-        out = None
-        for block in blocks.tolist():
-            own = np.flatnonzero(of == block)
-            got = read(block, places[own] - self.entries[block])
-            out = np.empty(len(places), dtype=got.dtype) if out is None else out
-            out[own] = got
-        return out
+        cuts = np.searchsorted(places, self.entries)
+        return np.concatenate([read(block, places[cuts[block] : cuts[block + 1]] - self.entries[block]) for block in np.flatnonzero(np.diff(cuts)).tolist()])
 
     def shares(self, places: np.ndarray) -> np.ndarray:
         """Relative frequencies after their contexts."""
@@ -174,10 +165,9 @@ class Trie:
 
 
 @lru_cache(maxsize=8)
-def _factors(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each byte, and an odd one for each place in a word."""
-    numbers = mix(mix(np.array([seed], dtype=U64)) + np.arange(1, 257 + LONGEST, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return numbers[:256], numbers[256:] | U64(1)
+def _starts(seed: int) -> np.ndarray:
+    """Where the hash of a word of each length begins."""
+    return mix(mix(np.array([seed], dtype=U64)) + np.arange(LONGEST + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def _digest(word: bytes, seed: int) -> int:
@@ -185,18 +175,23 @@ def _digest(word: bytes, seed: int) -> int:
 
 
 def _hashed(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """62-bit keys of the words in some bytes, and where they start: sums of products of byte and place, scrambled; long words by digest."""
-    of_byte, of_place = _factors(seed)
-    x = np.frombuffer(data, dtype=np.uint8)
-    inside = ~_BLANK[x]
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    """62-bit keys of the words in some bytes, and where they start: eight bytes after eight bytes, scrambled; long words by digest."""
+    padded = b" " + data + b" " * 8
+    x = np.frombuffer(padded, dtype=np.uint8)
+    blank = (x == 32) | (x - np.uint8(9) <= 4)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
     start, lengths = edges[::2], edges[1::2] - edges[::2]
-    if not len(start):
-        return np.empty(0, np.int64), start
-    before = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(before, lengths)
-    sums = np.add.reduceat(of_byte[x[inside]] * of_place[np.minimum(place, LONGEST - 1)], before)
-    keys = (mix(sums + lengths.astype(U64)) >> U64(2)).astype(np.int64)
+    eights = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, offset=0, strides=(1,))  # from each byte on
+    sums = _starts(seed)[np.minimum(lengths, LONGEST)]
+    if len(start):
+        sums = mix(sums ^ (eights[start + 1] & _BYTES[np.minimum(lengths, 8)]))
+    own = np.flatnonzero((lengths > 8) & (lengths <= LONGEST))
+    done = 8
+    while len(own):
+        sums[own] = mix(sums[own] ^ (eights[start[own] + done + 1] & _BYTES[np.minimum(lengths[own] - done, 8)]))
+        done += 8
+        own = own[lengths[own] > done]
+    keys = (sums >> U64(2)).astype(np.int64)
     for i in np.flatnonzero(lengths > LONGEST).tolist():
         keys[i] = _digest(data[start[i] : start[i] + lengths[i]], seed)
     return keys, start
@@ -233,44 +228,58 @@ def text_keys(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(keys, np.cumsum(counts), END), counts + 1
 
 
-def numbers(trie: Trie, keys: np.ndarray) -> np.ndarray:
-    """The numbers of words."""
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens by their numbers: `ids`; `words` are the different ones in ascending order (the unknown ones apart), which `back` deals to the tokens. `heads` are the first tokens of texts."""
+
+    ids: np.ndarray
+    words: np.ndarray
+    back: np.ndarray
+    heads: np.ndarray
+    known: np.ndarray  # places in `words`
+
+
+def numbers(trie: Trie, keys: np.ndarray, sizes: np.ndarray) -> Tokens:
+    """The tokens of texts of some sizes."""
     different, back = np.unique(keys, return_inverse=True)
     found = trie.levels[0].find(different) if trie.levels else np.full(len(different), -1)
-    return np.where(found < 0, trie.v + 1, found)[back]
+    words = np.where(found < 0, trie.v + 1, found)
+    return Tokens(words[back], words, back, np.cumsum(sizes) - sizes, np.flatnonzero(found >= 0))
 
 
-def keys_of(trie: Trie, k: int, ids: np.ndarray, heads: np.ndarray, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens whose context of k - 1 words is known, the keys of their k-grams, and the places of the contexts.
+def keys_of(trie: Trie, k: int, tokens: Tokens, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose context of k - 1 words is known, and the keys of their k-grams.
 
-    `heads` are the first tokens of texts, and `place` the places of the (k - 1)-grams that end at each token (-1: none).
+    `place` has the places of the (k - 1)-grams that end at each token (-1: none).
     """
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[heads] = trie.v
+    ids, heads = tokens.ids, tokens.heads
     if k == 2:
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[heads] = trie.v
         at = np.flatnonzero(before <= trie.v)
-        return at, before[at] * trie.stride + ids[at], before[at]
+        return at, before[at] * trie.stride + ids[at]
     context = np.empty_like(place)
     context[1:] = place[:-1]
     context[heads] = -1
     if k > 3:  # the relative successor is always that of a pair
-        place = places(trie, 2, ids, heads)
+        place = places(trie, 2, tokens)
     at = np.flatnonzero(context >= 0)
-    place, before = place[at], before[at]
-    words, back = np.unique(before, return_inverse=True)
-    successor = np.where(place >= 0, place - trie.levels[0].pointers(words)[back], trie.v + 1)  # the last number is no one's
-    return at, context[at] * trie.stride + successor, context[at]
+    place = place[at]
+    firsts = np.zeros(len(tokens.words), dtype=np.int64)  # of the successors of each word
+    firsts[tokens.known] = trie.levels[0].pointers(tokens.words[tokens.known])
+    successor = np.where(place >= 0, place - firsts[tokens.back[at - 1]], trie.v + 1)  # the last number is no one's
+    return at, context[at] * trie.stride + successor
 
 
-def places(trie: Trie, k: int, ids: np.ndarray, heads: np.ndarray, visit=None) -> np.ndarray:
+def places(trie: Trie, k: int, tokens: Tokens, visit=None) -> np.ndarray:
     """The place of the k-gram that ends at each token, -1 where the trie has none. `visit` sees each level's different keys."""
     place = None
     for level in range(2, k + 1):
-        at, key, context = keys_of(trie, level, ids, heads, place)
+        at, key = keys_of(trie, level, tokens, place)
         different, back = np.unique(key, return_inverse=True)
         found = trie.levels[level - 1].find(different)
-        place = np.full(len(ids), -1, dtype=np.int64)
+        place = np.full(len(tokens.ids), -1, dtype=np.int64)
         place[at] = found[back]
         if visit:
             visit(level, at, back, different // trie.stride, found)
@@ -385,13 +394,14 @@ def _next_level(docs: DataFrame, trie: Trie, folder: str, block_tokens: int, las
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, sizes in _texts(batches, 0, trie.seed):
-            ids, heads = numbers(trie, found), np.cumsum(sizes) - sizes
-            at, key, context = keys_of(trie, k, ids, heads, places(trie, k - 1, ids, heads) if k > 2 else None)
+            tokens = numbers(trie, found, sizes)
+            _, key = keys_of(trie, k, tokens, places(trie, k - 1, tokens) if k > 2 else None)
             if not len(key):
                 continue
             keys, counts = np.unique(key, return_counts=True)
-            first, tokens = above.sums(keys // trie.stride)
-            rank = first + tokens * ((keys % trie.stride) / trie.stride)
+            context = keys // trie.stride
+            before, inside = above.sums(context)
+            rank = before + inside * ((keys - context * trie.stride) / trie.stride)
             yield _sent(keys, counts.astype(np.int64), np.maximum.accumulate((rank // block_tokens).astype(np.int64)))
 
     rows = _merged(docs.select("text").mapInArrow(_mapped(run), SHARED), folder, lambda context: above.sums(context)[1], trie.stride, last)
@@ -450,12 +460,12 @@ def learn(docs: DataFrame, order: int = 2, block_tokens: int = BLOCK_TOKENS) ->
 
 def probabilities(trie: Trie, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token of some texts: how often it has been learned, and its probability after the words before it."""
-    ids, heads = numbers(trie, keys), np.cumsum(sizes) - sizes
-    count = np.zeros(len(ids), dtype=np.int64)
     if not trie.levels:
-        return count, np.ones(len(ids))
-    known = np.flatnonzero(ids < trie.v)
-    count[known] = trie.levels[0].sums(ids[known])[1]
+        return np.zeros(len(keys), dtype=np.int64), np.ones(len(keys))
+    tokens = numbers(trie, keys, sizes)
+    count = np.zeros(len(tokens.words), dtype=np.int64)
+    count[tokens.known] = trie.levels[0].sums(tokens.words[tokens.known])[1]
+    count = count[tokens.back]
     p = (count + trie.v / (trie.v + 1)) / (trie.n + trie.v)
 
     def visit(level: int, at: np.ndarray, back: np.ndarray, context: np.ndarray, found: np.ndarray) -> None:
@@ -464,7 +474,7 @@ def probabilities(trie: Trie, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.n
         share[some] = trie.levels[level - 1].shares(found[some])
         p[at] = ((1 - unseen) * share)[back] + unseen[back] * p[at]
 
-    places(trie, len(trie.levels), ids, heads, visit)
+    places(trie, len(trie.levels), tokens, visit)
     return count, p
 
 

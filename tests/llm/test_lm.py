@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,3 +171,27 @@ def test_sequences(n, most):
     assert (Monotone(packed(again)).values() == again).all()
     clusters = np.unique(np.concatenate([np.arange(300), (1 << 61) + np.arange(n) * 3]))
     assert (Monotone(packed(clusters)).find(clusters) == np.arange(len(clusters))).all()
+
+
+def test_work_of_a_lookup_does_not_grow_with_the_blocks():
+    """Places of many blocks are dealt to them once, not compared with every block."""
+
+    def seconds(blocks):
+        ends = np.arange(blocks + 1) * (1_000_000 // blocks)
+        level = lm.Level("", np.arange(blocks), ends[:-1], ends, ends)
+        places, least = np.arange(0, 1_000_000, 2), math.inf
+        for _ in range(3):
+            began = time.process_time()
+            assert (level.take(places, lambda b, i: i + ends[b]) == places).all()
+            least = min(least, time.process_time() - began)
+        return least
+
+    assert seconds(1000) < 10 * seconds(10) + 0.03
+
+
+def test_words_of_all_lengths_by_eight_bytes():
+    """Words that agree in their first bytes, or but for their length, have keys of their own wherever they stand."""
+    words = ["a" * n for n in range(1, 260)] + ["a" * n + "b" for n in range(259)] + ["é" * n for n in range(1, 130)]
+    keys = lm.text_keys([" ".join(words)], 3)[0].tolist()
+    assert len({*keys}) == len(words) + 1
+    assert [lm.text_keys([f"x\n{w}"], 3)[0].tolist()[1] for w in words] == keys[:-1]
