@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import filled, joined, ship, text_steps, tidied
+from .common import filled, joined, ship, text_steps, tidied, tidy
 
 BUCKETS = 1 << 16
 BUCKET_SHIFT, KNOWN_BITS = np.uint32(16), 20
@@ -265,7 +265,10 @@ def fit(docs: DataFrame, per_label: int = 1500, crop: int = 2000, most_rows: int
         texts += [row["part"], row["part"][: 20 + 13 * (i % 20)]]
         labels += [row["lang"]] * 2
         rows += [zlib.crc32(row["part"].encode("utf-8", "surrogatepass"))] * 2
-    return train(texts, labels, rows)
+    try:
+        return train(texts, labels, rows)
+    finally:  # the driver has other steps to run
+        tidy()
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

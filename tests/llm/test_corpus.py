@@ -251,6 +251,24 @@ def test_jaccard_common_passage(spark, monkeypatch, copies):
     assert sum(asked) <= 4
 
 
+def test_jaccard_buckets_by_sketches(spark, monkeypatch):
+    """Texts that only share a passage meet in buckets of middle size; their sketches rule all pairs out before any text is read again."""
+    rng = random.Random(12)
+    common = [f"w{i}" for i in range(100)]
+    rows = [Row(doc_id=i, text=" ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(100)])) for i in range(40)]
+    rows += [Row(doc_id=1000 + i, text=f"{rows[i]['text']} and more") for i in (0, 1)]
+    asked, verified = [], jaccard.verified
+
+    def counted(pairs, *others):
+        asked.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = [tuple(r) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80, 100)
+    assert sum(asked) <= 4
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
