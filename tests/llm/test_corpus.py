@@ -269,6 +269,28 @@ def test_jaccard_buckets_by_sketches(spark, monkeypatch):
     assert sum(asked) <= 4
 
 
+def test_jaccard_sketches_pass_no_driver(spark):
+    """The sketches of the sets are joined by shuffles, and of the tables that go to all executors wide ones have fewer rows."""
+    rng = random.Random(13)
+    texts = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate([*texts, texts[0] + " more"])], "doc_id long, text string")
+    sizes = jaccard.sketch(docs, 3, 80, 100).select("doc_id", "n_shingles", "bits").cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = jaccard.fitting(spark.createDataFrame([(0, i) for i in range(1, 7)], "a long, b long"), sizes, 80, 100)
+        met = jaccard.met_within(spark.createDataFrame([(1, i) for i in range(7)], "key long, doc long"), sizes, 80, 100)
+        for found in (pairs, met):
+            assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+            assert [tuple(r) for r in found.collect()] == [(0, 6)]
+        rows = jaccard.BROADCAST_ROWS // 2
+        sent = [jaccard.small(spark.range(rows).select(*[F.col("id").alias(f"c{i}") for i in range(n)]))._jdf.queryExecution().analyzed().toString() for n in (2, 5)]
+        assert ["broadcast" in x for x in sent] == [True, False]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sizes.unpersist()
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
