@@ -30,13 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import filled, joined, ship, text_steps, tidied, tidy
+from .common import WIDE_STEP_BYTES, filled, joined, ship, text_steps, tidied, tidy
 
 BUCKETS = 1 << 16
 BUCKET_SHIFT, KNOWN_BITS = np.uint32(16), 20
 KNOWN_SHIFT = np.uint32(32 - KNOWN_BITS)
 ORDERS = (3, 4, 5)
 UNKNOWN = "und"
+TEXTS = 64  # that training takes the subwords of at a time
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
 
 
@@ -138,9 +139,9 @@ def train(
     ids: list[np.ndarray] = []
     weight: list[np.ndarray] = []
     met = np.zeros(1 << KNOWN_BITS, dtype=np.uint8)
-    for a in range(0, len(texts), 256):  # in steps: only the distinct buckets of each text stay in memory
-        parts = subwords([t.lower() for t in texts[a : a + 256]])
-        for i in range(min(256, len(texts) - a)):
+    for a in range(0, len(texts), TEXTS):  # in steps: only the distinct buckets of each text stay in memory
+        parts = subwords([t.lower() for t in texts[a : a + TEXTS]])
+        for i in range(min(TEXTS, len(texts) - a)):
             value = np.concatenate([x[e[i] : e[i + 1]] for x, e in parts])
             found, count = np.unique((value >> BUCKET_SHIFT).astype(np.int32), return_counts=True)
             ids.append(found)
@@ -178,7 +179,7 @@ def train(
         return model
     kept = [texts[i].lower() for i in held]
     noise = [corrupted(t, j % 4, rng) for j, t in enumerate(kept)]
-    z, seen, counts = zip(*(activations(model, x) for x in (kept, noise)))
+    z, seen, counts = zip(*([np.concatenate(c) for c in zip(*(activations(model, x[a : a + TEXTS]) for a in range(0, len(x), TEXTS)))] for x in (kept, noise)))
     best = np.inf
     for t in np.geomspace(0.005, 20, 101):
         logp = z[0] / t - np.logaddexp.reduce(z[0] / t, axis=1, keepdims=True)
@@ -246,7 +247,8 @@ def fit(docs: DataFrame, per_label: int = 1500, crop: int = 2000, most_rows: int
     if not counts:
         return None
     each = min(per_label, max(1, most_rows // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * each / r["count"])) for r in counts], "lang string, share double")
+    # from Arrow: a list of rows would start Python workers of another kind, which stay beside those of the steps to come
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "share": pa.array([min(1.0, 1.2 * each / r["count"]) for r in counts], pa.float64())}))
     draw = F.xxhash64("doc_id", F.length("text"))
     length = F.length("text")
     start = 1 + F.pmod(F.xxhash64("text"), F.greatest(length - crop, F.lit(0)) + 1).cast("int")  # copies give equal crops
@@ -278,7 +280,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, scores, accepted = [], [], []
-            for _, texts in text_steps(pc.utf8_lower(filled(batch.column(2)))):
+            for _, texts in text_steps(pc.utf8_lower(filled(batch.column(2))), WIDE_STEP_BYTES):
                 label, score, yes = predict(sent.value, texts)
                 labels += label
                 scores.append(score)
@@ -300,7 +302,7 @@ def accepted_documents(docs: DataFrame, model: LanguageModel | None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [predict(sent.value, texts)[2] for _, texts in text_steps(pc.utf8_lower(filled(batch.column(at))))]
+            keep = [predict(sent.value, texts)[2] for _, texts in text_steps(pc.utf8_lower(filled(batch.column(at))), WIDE_STEP_BYTES)]
             yield batch.filter(pa.array(np.concatenate(keep).astype(bool) if keep else np.empty(0, bool)))
 
     return docs.mapInArrow(tidied(run), docs.schema)

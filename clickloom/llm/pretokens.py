@@ -25,6 +25,7 @@ from .common import STEP_BYTES, U64, mix, steps, text_steps
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 LONG = 64  # code points; longer pre-tokens are encoded by themselves
+SPLIT_BYTES = STEP_BYTES // 2  # of text that is split at a time; its arrays are many times as large
 ROUND_BYTES = 4 << 20  # of text whose new pre-tokens are encoded together
 KEPT = 400_000  # encoded pre-tokens that a worker keeps
 _BASE = int.from_bytes(os.urandom(8), "little") | 1
@@ -40,7 +41,7 @@ def _powers(n: int) -> list[np.ndarray]:
         powers = np.full(n, base, dtype=U64)
         powers[0] = 1
         made.append(np.cumprod(powers, dtype=U64))
-    if n <= STEP_BYTES + 1:
+    if n <= SPLIT_BYTES + 1:
         _POWERS[:] = made
     return made
 
@@ -163,7 +164,7 @@ class IdCache:
             if len(self.hashes) > KEPT:
                 self.clear()
             fresh: dict[int, str] = {}
-            read = [(a + first, texts, self._read(texts, fresh)) for first, texts in text_steps(column.slice(a, b - a))]
+            read = [(a + first, texts, self._read(texts, fresh)) for first, texts in text_steps(column.slice(a, b - a), SPLIT_BYTES)]
             if fresh:
                 self._add(np.fromiter(fresh, dtype=U64, count=len(fresh)), self.encode(list(fresh.values())))
             while read:

@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 from pyspark.sql import Row, functions as F
 
 from clickloom.llm import bpe, components, fingerprint, html_text, jaccard, langid, licenses, packing, pii, pretokens, topk, url_filter
+from clickloom.llm.common import BATCH_BYTES, BATCH_BYTES_KEY
 from clickloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -1026,3 +1029,38 @@ def test_pipeline(spark, docs):
     assert not any(pii.plain(r["text"])["email"] for r in at.collect())
     out = C.run(spark, SF)
     assert out.agg(F.count_distinct("doc_id")).first()[0] == sizes[3]
+
+
+def traced(steps):
+    """MB that going through the steps takes at most, as Python and numpy see it."""
+    tracemalloc.start()
+    try:
+        for _ in steps:
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pipeline_worker_memory(spark, docs, monkeypatch):
+    """What a worker takes beside its executor's JVM does not follow the batch, and the classifier's table starts no workers of another kind."""
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("rows through Python workers"))
+        model = langid.fit(docs)
+    assert len(model.labels) > 1
+    texts = [f"{i} einige words de un texte " * 80 for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    runs = []
+    monkeypatch.setattr(langid, "tidied", lambda run: runs.append(run) or run)
+    langid.accepted_documents(spark.createDataFrame([], "doc_id long, text string"), model)
+    assert traced(runs[0](iter([batch]))) < 15
+    cache = pretokens.IdCache(lambda pieces: [[0]] * len(pieces))
+    pretokens.classes()
+    assert traced(cache.batches(batch.column("text"))) < 48
+    import corpus_pipeline as C
+
+    for _, stage in C.STAGES[:3:2]:
+        spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
+        stage(spark, docs, SF)
+        assert int(spark.conf.get(BATCH_BYTES_KEY)) == C.BATCH
+    spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
