@@ -272,6 +272,61 @@ def test_jaccard_buckets_by_sketches(spark, monkeypatch):
     assert sum(asked) <= 4
 
 
+def test_jaccard_long_texts_by_sketches(spark, monkeypatch):
+    """Long texts that only share a passage may differ in more places than BITS; wider sketches rule their pairs out before any text is read again."""
+    rng = random.Random(14)
+    common = [f"w{i}" for i in range(1500)]
+    rows = [Row(doc_id=i, text=" ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(1200 + 60 * i)])) for i in range(12)]
+    rows += [Row(doc_id=1000 + i, text=f"{rows[i]['text']} and more") for i in (0, 1)]
+    asked, verified = [], jaccard.verified
+
+    def counted(pairs, *others):
+        asked.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = [tuple(r) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80, 100)
+    assert sum(asked) <= 2
+
+
+def test_jaccard_wide_sketches(spark):
+    """Parity bits differ in at most as many places as the sets, also where one sketch is twice as wide as the other; far sets are told apart."""
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    pairs = []
+    for apart, m1, m2 in ((300, 4096, 8192), (300, 4096, 4096), (3000, 4096, 8192), (3000, 4096, 4096), (3000, 512, 4096)):
+        y = np.concatenate([x[apart:], rng.integers(0, 2**63, 100).astype(np.uint64)])
+        pairs.append((*[jaccard.parity(s) + (jaccard.parity(s, m) if m > jaccard.BITS else []) for s, m in ((x, m1), (y, m2))], apart + 100))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x array<long>, y array<long>, apart int")
+    fits = lambda most: [r[0] for r in df.orderBy("i").select(jaccard.wide_sketches_fit(F.col("x"), F.col("y"), most)).collect()]
+    assert fits(F.col("apart")) == [True] * 5
+    assert fits(F.lit(1000)) == [True, True, False, False, True]
+
+
+def test_jaccard_keys_in_turns(spark, monkeypatch):
+    """A turn reads the columns of its own keys only, and of the common keys only a turn's are sent to all executors at once."""
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(40))) for i in range(90)] + [(100 + i, " ".join(f"y{j}" for j in range(200 + i))) for i in range(9)], "doc_id long, text string")
+    sketches = jaccard.written(jaccard.sketch(docs, 3, 80, 100), "sketches")
+    plan = jaccard.keys_in(sketches, 5, 16, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert {c for c in range(16) if re.search(rf"keys[12]_{c}\b", plan)} == {5}
+    sent, small = [], jaccard.small
+    monkeypatch.setattr(jaccard, "ONE_TURN", 0)
+    monkeypatch.setattr(jaccard, "small", lambda df: sent.append(df.count()) or small(df))
+    buckets, members = ([sorted(map(tuple, t.collect())) for t in tables] for tables in jaccard.met_keys(sketches))
+    assert len(sent) == 16 and sum(sent) > 100 and max(sent) < sum(sent) / 4
+    monkeypatch.setattr(jaccard, "ONE_TURN", 10**9)
+    assert [sorted(sum(x, [])) for x in (buckets, members)] == [sorted(map(tuple, t[0].collect())) for t in jaccard.met_keys(sketches)]
+
+
+def test_jaccard_leaves_largest_buckets(spark):
+    """A document leaves as many of its largest buckets as it can do without; one that can do without none stays in all."""
+    members = [(key, n, doc, 1, slack) for doc, slack in ((1, 2), (2, 1), (3, -1), (4, 9)) for key, n in ((10, 3), (11, 70), (12, 5), (13, 70))]
+    left = jaccard.staying(spark.createDataFrame(members, "key long, n long, doc long, part int, slack int"))
+    assert sorted(map(tuple, left.collect())) == [(10, 1), (10, 2), (10, 3), (11, 2), (11, 3), (12, 1), (12, 2), (12, 3), (13, 3)]
+
+
 def test_jaccard_sketches_pass_no_driver(spark):
     """The sketches of the sets are joined by shuffles, and of the tables that go to all executors wide ones have fewer rows."""
     rng = random.Random(13)
