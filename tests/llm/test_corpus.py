@@ -327,6 +327,13 @@ def test_jaccard_leaves_largest_buckets(spark):
     assert sorted(map(tuple, left.collect())) == [(10, 1), (10, 2), (10, 3), (11, 2), (11, 3), (12, 1), (12, 2), (12, 3), (13, 3)]
 
 
+def test_jaccard_shared_leads(spark):
+    """Buckets of one group share a lead, also if it is in few of them; a bucket of strangers that one member of the group is in keeps its own."""
+    wide = spark.createDataFrame([(1, d) for d in range(1, 9)] + [(2, d) for d in range(3, 9)] + [(3, 2), (3, 3), (3, 5)] + [(4, d) for d in (8, 20, 21, 22)], "key long, doc long")
+    leads = spark.createDataFrame([(1, 1, 90), (2, 4, 50), (3, 3, 50), (4, 20, 4)], "key long, lead long, company long")
+    assert sorted(map(tuple, jaccard.shared_leads(wide, leads).collect())) == [(1, 1), (2, 1), (3, 1), (4, 20)]
+
+
 def test_jaccard_sketches_pass_no_driver(spark):
     """The sketches of the sets are joined by shuffles, and of the tables that go to all executors wide ones have fewer rows."""
     rng = random.Random(13)
