@@ -334,6 +334,16 @@ def test_jaccard_shared_leads(spark):
     assert sorted(map(tuple, jaccard.shared_leads(wide, leads).collect())) == [(1, 1), (2, 1), (3, 1), (4, 20)]
 
 
+def test_jaccard_turns_join_nothing(spark, monkeypatch):
+    """The documents whose keys are counted are picked once, in a written table, however many turns there are."""
+    seen, met_keys = [], jaccard.met_keys
+    monkeypatch.setattr(jaccard, "met_keys", lambda one: seen.append(one._jdf.queryExecution().optimizedPlan().toString()) or met_keys(one))
+    monkeypatch.setattr(jaccard, "ONE_TURN", 0)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40 + i // 2))) for i in range(6)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard.similarity_components(docs, 3, 80, 100).collect()) == [0] * 6
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
 def test_jaccard_sketches_pass_no_driver(spark):
     """The sketches of the sets are joined by shuffles, and of the tables that go to all executors wide ones have fewer rows."""
     rng = random.Random(13)
