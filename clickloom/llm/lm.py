@@ -34,9 +34,9 @@ import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled, shared_folder, ship, shuffles_dropped, text_steps, tidied
+from . import words
+from .common import STEP_BYTES, filled, shared_folder, ship, shuffles_dropped, text_steps, tidied
 from .elias_fano import Monotone, from_buffer, packed, to_bytes
-from .words import text_keys
 
 STEP_TOKENS = 1 << 20
 BLOCK_TOKENS = 2 << 20
@@ -162,6 +162,11 @@ class Trie:
 # --- words -----------------------------------------------------------------------------------------------------------
 
 
+def text_keys(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of all texts one after the other, and the number of tokens of each: its words and the end."""
+    return words.text_keys(texts, seed, STEP_BYTES)
+
+
 @dataclass(frozen=True)
 class Tokens:
     """Tokens by their numbers: `ids`; `words` are the different ones in ascending order (the unknown ones apart), which `back` deals to the tokens. `heads` are the first tokens of texts."""
